@@ -255,7 +255,7 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
     """
     settings = settings or IndexSettings()
     spark = vectors.sparkSession
-    rows = vectors.select("id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2")).filter(F.col("id").isNotNull() & (F.size("vector") == size))
+    rows = vectors.select("id", "vector", F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2")).filter(F.col("id").isNotNull() & (F.size("vector") == size) & F.exists("vector", lambda x: x != 0))
     # Ids with several vectors: as a rule none. One narrow pass counts the rows as well.
     by_id = rows.groupBy("id").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n"))
     several = by_id.filter("low <> high")
