@@ -34,7 +34,7 @@ class IndexSettings:
     separation: float = 0.8  # pivots are less similar to each other than this
     vectors_a_pivot: int = 16  # there are no more pivots than that many vectors give
     prefix: int = 8  # length of the order of pivots
-    posts: int = 4  # inverted files that hold a vector
+    posts: int = 3  # inverted files that hold a vector
     long_file: int = 4_096  # an expected file of more vectors than this is divided
     inner_posts: int = 8  # files inside a divided one that hold a vector
     inner_file: int = 64  # vectors that a file inside a divided one should hold
@@ -124,7 +124,7 @@ POSTED = "file int, is_query boolean, id string, vector binary, prefix binary"
 
 def _rows(ids: pa.Array, values: np.ndarray, prefix: np.ndarray, pick: np.ndarray, files: np.ndarray, query: np.ndarray) -> pa.RecordBatch:
     raw = np.ascontiguousarray(values[pick])
-    order = np.ascontiguousarray(prefix[pick].astype(np.int32))
+    order = np.ascontiguousarray(prefix[pick].astype(np.uint16))  # pivots are fewer than 65,536
     as_binary = lambda a: pa.FixedSizeBinaryArray.from_buffers(pa.binary(a.shape[1] * a.itemsize), len(a), [None, pa.py_buffer(a)]).cast(pa.binary())
     return pa.RecordBatch.from_arrays(
         [pa.array(files.astype(np.int32)), pa.array(query), ids.take(pa.array(pick)), as_binary(raw), as_binary(order)],
@@ -236,7 +236,7 @@ def search_table(table: pa.Table, k: int, rerank: int) -> pa.Table:
         return flat[start : start + len(column) * width].reshape(-1, width)[first]
 
     kind = np.float64 if len(table.column("vector")[0].as_py()) == 8 * int(table.schema.metadata[b"size"]) else np.float32
-    q, m, similarity, rank = search_file(keys[first].astype("U"), binary("vector", kind), binary("prefix", np.int32), table.column("is_query").to_numpy()[first], k, rerank)
+    q, m, similarity, rank = search_file(keys[first].astype("U"), binary("vector", kind), binary("prefix", np.uint16), table.column("is_query").to_numpy()[first], k, rerank)
     own = ids.take(pa.array(first))
     return pa.table({"id": own.take(pa.array(q)), "neighbour": own.take(pa.array(m)), "similarity": pa.array(similarity), "rank": pa.array(rank.astype(np.int32))})
 
