@@ -162,7 +162,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, min_tile: int = MIN_TILE, b
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                     for key, n, tiles in index.matches(text):
                         found.append((doc_id, key, n, sum(k for *_, k in tiles), max(k for *_, k in tiles), [{"item_start": i, "doc_start": j, "words": k} for i, j, k in tiles]))
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "item_words", "matched_words", "longest_tile", "tiles"])
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "item_words", "matched_words", "longest_tile", "tiles"], dtype=object)
 
         part = texts.mapInPandas(search, shape)
         out = part if out is None else out.unionByName(part)

@@ -146,7 +146,8 @@ def look_alike_map(counts: dict[str, int]) -> dict[str, str]:
 
     rewrite: dict[str, str] = {}
     for members in sets.classes():
-        best = "" if "" in members else max(members, key=lambda x: (frequency(x), -len(x), [-ord(ch) for ch in x]))
+        composed = [x for x in members if unicodedata.normalize("NFC", x) == x] or members
+        best = "" if "" in members else max(composed, key=lambda x: (frequency(x), unicodedata.normalize("NFKC", x) == x, -len(x), [-ord(ch) for ch in x]))
         rewrite |= {x: best for x in members if x != best and x}
     return rewrite
 
@@ -154,6 +155,8 @@ def look_alike_map(counts: dict[str, int]) -> dict[str, str]:
 class Rewriter:
     """Rewrites texts by a map of patterns; picklable, the automaton is built where it is used."""
 
+    passes = 8  # each but the first only follows up what the one before brought together
+
     def __init__(self, rewrite: dict[str, str]) -> None:
         self.rewrite = rewrite
         self.automaton = None
@@ -174,7 +177,7 @@ class Rewriter:
             for k, v in self.rewrite.items():
                 self.automaton.add_word(k, (len(k), v))
             self.automaton.make_automaton()
-        while True:
+        for _ in range(self.passes):
             text = unicodedata.normalize("NFC", text) if not text.isascii() else text
             out, last = [], 0
             for end, (length, to) in self.automaton.iter_long(text):
@@ -183,9 +186,8 @@ class Rewriter:
             if not out:
                 return text
             out.append(text[last:])
-            if (new := "".join(out)) == text:
-                return text
-            text = new
+            text = "".join(out)
+        return text
 
 
 MARKED = re.compile("[^\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f][\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
@@ -205,7 +207,7 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for batch in batches:
         counts.update(count_forms(batch["text"].dropna()))
-    yield pd.DataFrame({"form": list(counts.keys()), "n": list(counts.values())})
+    yield pd.DataFrame({"form": list(counts.keys()), "n": list(counts.values())}, dtype=object)
 
 
 def form_counts(texts: DataFrame) -> dict[str, int]:
@@ -225,7 +227,7 @@ def canonical_forms(records: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series) -> pd.Series:
-        return texts.map(rewriter, na_action="ignore")
+        return pd.Series([rewriter(t) for t in texts], dtype=object)
 
     return records.withColumn("form", rewrite(F.col("text")))
 

@@ -50,8 +50,8 @@ def public_tokens(documents: DataFrame, path: str) -> DataFrame:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         for texts in batches:
-            sizes = [len(e.ids) for e in tokenizer.encode_batch(list(texts.fillna("")), add_special_tokens=False)]
-            yield pd.Series(sizes, index=texts.index).where(texts.notna())
+            sizes = [len(e.ids) for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            yield pd.Series([None if t is None else n for t, n in zip(texts, sizes, strict=True)], dtype=object)
 
     return documents.withColumn("n_tokens", count("text"))
 

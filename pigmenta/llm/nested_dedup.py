@@ -83,7 +83,7 @@ def merkle(tree: tuple) -> tuple[bytes, str]:
 def _hash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         made = [merkle(parse(c)) for c in batch["content"]]
-        yield pd.DataFrame({"key": batch["key"], "root": [d for d, _ in made], "structure": [s for _, s in made]})
+        yield pd.DataFrame({"key": list(batch["key"]), "root": [d for d, _ in made], "structure": [s for _, s in made]}, dtype=object)
 
 
 def root_digests(records: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def classify(text: str, q: Quality, font_size: int | None = None, larger_than: f
         or encoded > 0.5
         or hexes > 0.5
         or (q.words >= 5 and q.top_word_share >= 0.5)
-        or (q.words >= 6 and q.top_bigram_coverage >= 0.5)
+        or (q.words >= 8 and len({fold(w) for w in words}) <= 0.3 * q.words)
     ):
         return JUNK
     if len(lines) == 1 and len(words) <= 14 and sentences == 0 and FURNITURE.search(stripped) and (_PAGE.search(stripped) or q.symbol_ratio > 0.1 or q.words <= 8):
@@ -189,10 +189,8 @@ def text_quality(blocks: DataFrame, common_words: DataFrame, *, title_size: floa
                     continue
                 q = measure(text, common)
                 rows.append({"block_id": block_id, **asdict(q), "kind": classify(text, q, None if pd.isna(size) else size, title_size)})
-            out = pd.DataFrame(rows, columns=["block_id", *Quality.__dataclass_fields__, "kind"])
-            for c in ("words", "lines"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            out = pd.DataFrame(rows, columns=["block_id", *Quality.__dataclass_fields__, "kind"], dtype=object)
+            yield out.where(out.notna(), None)
 
     return blocks.select("block_id", "text", "font_size").mapInPandas(batches, f"block_id {key}, {STATISTICS}, kind string")
 

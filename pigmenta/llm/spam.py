@@ -50,6 +50,7 @@ class StuffingLimits:
     tag_words: float = 3.6  # words a tag has on average, at most
     tags: int = 5  # tags that make a list, at least
     fragment_words: int = 7  # a fragment has as many words at most
+    ended_fragment_words: int = 5  # and this many if it ends like a sentence
     link_words: int = 8  # words around each link of a link line, at most
     repeated: int = 3  # times a fragment occurs to count as repeated
     window: int = 40  # words of the running window
@@ -158,7 +159,7 @@ def stuffing(text: str, function_words: frozenset[str], monotonous: float, limit
         own = len(set(words)) / len(words) if len(words) >= limits.least_window else 1.0
         if dull >= 0.5 * len(words) and (longest <= limits.phrase_words or own <= monotonous):
             out["keywords"] += size
-        elif functional == 0 and len(words) <= limits.fragment_words and lines[" ".join(words)] >= limits.repeated:
+        elif functional == 0 and len(words) <= (limits.ended_fragment_words if _ENDED.search(segment.rstrip()) else limits.fragment_words) and lines[" ".join(words)] >= limits.repeated:
             out["keywords"] += size
         elif functional <= 0.02 * len(words) and len(words) >= 3 * limits.sentence_words and not _ENDED.search(segment.rstrip()):
             out["tags"] += size
@@ -191,9 +192,9 @@ def calibrate(documents: DataFrame, limits: StuffingLimits | None = None) -> Cal
                 if shares:
                     counts["share", label, f"{sum(shares) / len(shares):.2f}"] += 1
             if len(counts) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "lang", "value", "n"])
+                yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "lang", "value", "n"], dtype=object)
                 counts.clear()
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "lang", "value", "n"])
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "lang", "value", "n"], dtype=object)
 
     counted = documents.select("text", "lang").filter("text is not null").mapInPandas(count, "what string, lang string, value string, n long")
     both = counted.unionByName(counted.filter(F.col("lang") != ALL).withColumn("lang", F.lit(ALL)))
@@ -229,7 +230,7 @@ def stuffed_shares(documents: DataFrame, limits: StuffingLimits | None = None) -
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [stuffing(text or "", *usual.of(language(lang), limits), limits) for text, lang in zip(part["text"], part["lang"], strict=True)]
-            yield pd.DataFrame(rows, columns=["links", "tags", "keywords", "stuffed"]).assign(doc_id=part["doc_id"].to_numpy())[["doc_id", "links", "tags", "keywords", "stuffed"]]
+            yield pd.DataFrame(rows, columns=["links", "tags", "keywords", "stuffed"], dtype=float).assign(doc_id=part["doc_id"].to_numpy())[["doc_id", "links", "tags", "keywords", "stuffed"]]
 
     return documents.select("doc_id", "text", "lang").mapInPandas(judge, f"doc_id {key}, links double, tags double, keywords double, stuffed double")
 

@@ -128,7 +128,7 @@ def _plan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, limit, overlap in zip(batch["text"], batch["max_chars"], batch["overlap_chars"], strict=True):
             cuts.append([{"start": a, "end": b, "cut_kind": KINDS[k] if k < len(KINDS) else LAST} for a, b, k in plan_cuts(text, int(limit), int(overlap))])
         batch = batch.drop(columns=["max_chars", "overlap_chars"])
-        batch["cuts"] = cuts
+        batch["cuts"] = pd.Series(cuts, index=batch.index, dtype=object)
         yield batch
 
 
