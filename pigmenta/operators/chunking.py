@@ -98,7 +98,7 @@ def recursive_pieces(size: int, overlap: int) -> object:
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: split_recursively(t, size, overlap), na_action="ignore")
+            yield pd.Series([None if t is None else split_recursively(t, size, overlap) for t in texts], dtype=object)
 
     return split
 
@@ -206,6 +206,6 @@ def semantic_chunks(rows: DataFrame, keys: list[str], text: str, vector: str, or
 
     @F.pandas_udf("array<string>")
     def bring_to_size(pieces: pd.Series) -> pd.Series:
-        return pieces.map(lambda p: constrain_sizes(list(p), least, most, overlap))
+        return pd.Series([constrain_sizes(list(p), least, most, overlap) for p in pieces], dtype=object)
 
     return listed.select(*keys, F.posexplode(bring_to_size("pieces")).alias("chunk_no", "text"))

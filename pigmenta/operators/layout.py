@@ -79,7 +79,7 @@ def without_near_duplicates(words: DataFrame, per: list[str], least: float = 0.6
                     keep.append(x)
             return [int(k["seq"]) for k in keep]
 
-        return groups.map(one)
+        return pd.Series([one(g) for g in groups], dtype=object)
 
     ids = grouped.select(*per, "text", F.explode(kept("boxes")).alias("seq"))
     return words.join(ids, [*per, "text", "seq"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def size_constraints(spark: SparkSession, d: str) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def sized(groups):  # noqa: ANN001, ANN202
-        return groups.map(lambda g: chunking.constrain_sizes([x["unit"] for x in g], boundaries=[bool(x["is_heading"]) for x in g]))
+        return pd.Series([chunking.constrain_sizes([x["unit"] for x in g], boundaries=[bool(x["is_heading"]) for x in g]) for g in groups], dtype=object)
 
     return listed.select("page_id", F.posexplode(sized("u")).alias("chunk_no", "chunk"))
 

@@ -59,7 +59,7 @@ def rewritten(questions: DataFrame, rewrite: Callable[[str], str] | None = None)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(rewrite, na_action="ignore")
+        return pd.Series([None if t is None else rewrite(t) for t in texts], dtype=object)
 
     return questions.withColumn("search_text", run("question"))
 
@@ -70,6 +70,6 @@ def answers(contexts: DataFrame, ask: Answerer | None = None, system: str = "Ans
 
     @F.pandas_udf("string")
     def run(question: pd.Series, context: pd.Series) -> pd.Series:
-        return pd.Series([chosen(system, f"{c or ''}\n\n{q or ''}") for q, c in zip(question, context, strict=True)])
+        return pd.Series([chosen(system, f"{c or ''}\n\n{q or ''}") for q, c in zip(question, context, strict=True)], dtype=object)
 
     return contexts.withColumn("answer", run("question", "context"))
