@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pigmenta.session import cut_lineage
+
 # Letters of other scripts that are drawn like a Latin letter, before it.
 DRAWN_ALIKE = (
     # Cyrillic
@@ -240,7 +242,8 @@ def look_alike_pairs(records: DataFrame) -> DataFrame:
     together, so exact copies are never paired; the rows given out are those asked for.
     """
     formed = canonical_forms(records.select("field_name", "key", "text").filter(F.col("text").isNotNull() & F.col("key").isNotNull()))
-    keyed = (
+    # Hashes and keys are narrow; written once, no text is rewritten for each of their uses.
+    keyed = cut_lineage(
         formed.filter(F.regexp_replace("form", r"(?U)^\s+$", "") != "")
         .select("field_name", F.sha2("form", 256).alias("form_id"), F.sha2("text", 256).alias("text_id"), "key")
         .distinct()
