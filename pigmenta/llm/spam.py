@@ -118,12 +118,12 @@ def segments_of(text: str) -> list[str]:
 def stuffing(text: str, function_words: frozenset[str], monotonous: float, limits: StuffingLimits) -> dict[str, float]:
     """Shares of a text's characters by what they are: links, tags, keywords; and their sum as ``stuffed``."""
     segments = segments_of(text)
-    sizes = [len(s) - sum(map(str.isspace, s)) for s in segments]
+    sizes = [len("".join(s.split())) for s in segments]
     total = sum(sizes)
     out = {"links": 0.0, "tags": 0.0, "keywords": 0.0, "stuffed": 0.0}
     if not total:
         return out
-    worded = [[fold(w) for w in _WORD.findall(s)] for s in segments]
+    worded = [_WORD.findall(fold(s)) for s in segments]
     lines = Counter(" ".join(w) for w in worded)
     whole = [w for ws in worded for w in ws]
     marked = [False] * len(whole)
@@ -139,7 +139,7 @@ def stuffing(text: str, function_words: frozenset[str], monotonous: float, limit
         links = [m.group() for m in _LINK.finditer(segment)] if _MAYBE_LINK.search(segment) else []
         if links:
             around = _WORD.findall(_LINK.sub(" ", segment))
-            linked = sum(len(x) - sum(map(str.isspace, x)) for x in links)
+            linked = sum(len("".join(x.split())) for x in links)
             if linked >= 0.5 * size or (
                 len(around) <= limits.link_words * len(links) and (not _ENDED.search(segment.rstrip()) or not any(fold(w) in function_words for w in around))
             ):
@@ -177,33 +177,35 @@ def calibrate(documents: DataFrame, limits: StuffingLimits | None = None) -> Cal
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "lang", "value", "n"], dtype=object)
+
         for part in parts:
             for text, lang in zip(part["text"], part["lang"], strict=True):
-                label = language(lang)
+                labels = {language(lang), ALL}
                 whole: list[str] = []
                 for s in segments_of(text):
                     raw = _WORD.findall(s)
-                    whole += map(fold, raw)
+                    whole += _WORD.findall(fold(s))
                     if len(raw) >= limits.sentence_words and _ENDED.search(s.rstrip()):
-                        for w in set(raw):
-                            if w.islower():
-                                counts["word", label, fold(w)] += 1
+                        for w in {fold(w) for w in raw if w.islower()}:
+                            for label in labels:
+                                counts["word", label, w] += 1
                 shares = window_shares(whole, limits)
                 if shares:
-                    counts["share", label, f"{sum(shares) / len(shares):.2f}"] += 1
+                    for label in labels:
+                        counts["share", label, f"{sum(shares) / len(shares):.2f}"] += 1
             if len(counts) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "lang", "value", "n"], dtype=object)
+                yield rows()
                 counts.clear()
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["what", "lang", "value", "n"], dtype=object)
+        yield rows()
 
     counted = documents.select("text", "lang").filter("text is not null").mapInPandas(count, "what string, lang string, value string, n long")
-    both = counted.unionByName(counted.filter(F.col("lang") != ALL).withColumn("lang", F.lit(ALL)))
-    sums = both.groupBy("what", "lang", "value").agg(F.sum("n").alias("n"))
+    sums = counted.groupBy("what", "lang", "value").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("what", "lang").orderBy(F.desc("n"), "value")
-    top = sums.filter("what = 'share'").unionByName(
-        sums.filter("what = 'word'").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limits.function_words).drop("r")
-    )
-    rows = top.collect()  # at most 40 words and 101 shares a label
+    # At most 40 words and 101 shares a label; labels have two letters.
+    rows = sums.withColumn("r", F.row_number().over(order)).filter((F.col("what") == "share") | (F.col("r") <= limits.function_words)).collect()
     out = Calibration()
     for label in {r["lang"] for r in rows}:
         out.function_words[label] = frozenset(r["value"] for r in rows if r["lang"] == label and r["what"] == "word")

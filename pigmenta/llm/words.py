@@ -16,6 +16,8 @@ _PLAIN = re.compile(r"(?:[^\W_]|[̀-ͯ])+")
 
 def fold(text: str) -> str:
     """``text`` without letter case; all forms of i, dotted or not, are one letter."""
+    if text.isascii():
+        return text.lower()
     folded = unicodedata.normalize("NFC", text).replace("İ", "i").replace("ı", "i").casefold()
     return folded.replace("i" + DOT_ABOVE, "i")
 
