@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pigmenta.llm.words import number_aware_words
-from pigmenta.session import attach_hot_aware
+from pigmenta.session import attach_hot_aware, cut_lineage
 
 # A tree: ("text", words) | ("field", name, tree) | ("fields", [trees], unordered) | ("list", [trees], ordered).
 
@@ -115,10 +115,14 @@ def copies_of(records: DataFrame) -> DataFrame:
     groups = hashed.groupBy("root").agg(
         F.min("key").alias("representative"), F.count("*").alias("copies"), F.min("structure").alias("low"), F.max("structure").alias("high")
     )
-    sure = groups.filter("low = high and copies > 1").select("root", "representative", "copies")
-    keyed = hashed.select("root", "key")
+    # What is joined is narrow and written once: groups that have copies, and the digests of all records.
+    groups = cut_lineage(groups.filter("copies > 1").select("root", "representative", "copies", (F.col("low") == F.col("high")).alias("sure")))
+    sure = groups.filter("sure").drop("sure")
+    keyed = cut_lineage(hashed.select("root", "key"))
     found = attach_hot_aware(keyed, sure, "root", "copies").select("key", "representative", "copies")
-    collided = hashed.join(groups.filter("low <> high").select("root"), "root", "left_semi")
+    collided = hashed.join(groups.filter("not sure").select("root"), "root", "left_semi")
     apart = collided.groupBy("root", "structure").agg(F.min("key").alias("representative"), F.count("*").alias("copies")).filter("copies > 1")
     rest = collided.select("root", "structure", "key").join(apart, ["root", "structure"]).select("key", "representative", "copies")
+    if not groups.filter("not sure").limit(1).count():  # as a rule no digests collide
+        return found.filter("key <> representative").distinct()
     return found.unionByName(rest).filter("key <> representative").distinct()
