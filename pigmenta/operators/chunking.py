@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.text import sentences, strip
 from pigmenta.functions.vectors import cosine_distance
+from pigmenta.session import totals_before
 
 
 def sliding_pieces(text: Column, size: int, overlap: int) -> Column:
@@ -21,25 +22,33 @@ def sliding_pieces(text: Column, size: int, overlap: int) -> Column:
     return F.filter(F.transform(starts, lambda i: strip(F.substring(text, i + 1, F.lit(size)))), lambda p: p != "")
 
 
-def numbered(df: DataFrame, column: str, per: list[str], order: list[str]) -> DataFrame:
-    """Adds a counter from 0 on, by an explicit order within each group."""
-    return df.withColumn(column, F.row_number().over(Window.partitionBy(*per).orderBy(*order)) - 1)
-
-
 def parent_child(pages: DataFrame, parent_size: int = 1024, parent_overlap: int = 128, child_size: int = 256, child_overlap: int = 32) -> DataFrame:
     """Children of the parents of each page: source, page_number, page_id, parent_no, parent_id,
     parent_text, child_no, child_id, chunk_index, chunk_length, text.
 
-    ``pages``: source, page_number, page_id, text. Parents are cut from a page and counted over
+    ``pages``: source, page_number, page_id (unique), text. Parents are cut from a page and counted over
     the pages of a source in order of page number and id; children are cut from the stripped
     parent and counted over the source; ``chunk_index`` is the place within the parent.
     """
-    pieces = pages.select("source", "page_number", "page_id", F.posexplode(sliding_pieces(F.col("text"), parent_size, parent_overlap)).alias("pos", "parent_text"))
-    parents = numbered(pieces, "parent_no", ["source"], ["page_number", "page_id", "pos"])
-    children = parents.select(
-        "source", "page_number", "page_id", "parent_no", "parent_text", F.posexplode(sliding_pieces(F.col("parent_text"), child_size, child_overlap)).alias("chunk_index", "text")
+    parents = sliding_pieces(F.col("text"), parent_size, parent_overlap)
+    nested = F.transform(parents, lambda p: sliding_pieces(p, child_size, child_overlap))
+    rows = pages.select("source", "page_number", "page_id", parents.alias("parents"), nested.alias("nested")).filter(F.size("parents") > 0)
+    # Counters over a source come from counts of its pages, which are narrow.
+    counts = rows.select("source", "page_number", "page_id", F.size("parents").alias("p"), F.aggregate("nested", F.lit(0), lambda n, c: n + F.size(c)).alias("c"))
+    offsets = totals_before(counts, ["source"], ["page_number", "page_id"], ["p", "c"]).select("page_id", "p_before", "c_before")
+    starts = F.aggregate("nested", F.array(F.lit(0)), lambda n, c: F.concat(n, F.array(F.element_at(n, -1) + F.size(c))))
+    placed = rows.join(offsets, "page_id").withColumn("starts", starts)
+    each = placed.select("source", "page_number", "page_id", "p_before", "c_before", "starts", F.posexplode(F.arrays_zip("parents", "nested")).alias("pos", "x"))
+    children = each.select(
+        "source",
+        "page_number",
+        "page_id",
+        (F.col("p_before") + F.col("pos")).alias("parent_no"),
+        F.col("x.parents").alias("parent_text"),
+        (F.col("c_before") + F.get("starts", F.col("pos"))).alias("first"),
+        F.posexplode("x.nested").alias("chunk_index", "text"),
     )
-    counted = numbered(children, "child_no", ["source"], ["parent_no", "chunk_index"])
+    counted = children.withColumn("child_no", F.col("first") + F.col("chunk_index")).drop("first")
     stem = F.regexp_replace("source", r"\.[^.]+$", "")
     return counted.withColumns(
         {
@@ -108,10 +117,14 @@ def structural_parent_child(sections: DataFrame, parent_size: int = 2000, parent
 
     Ids are counted per document before equal contents are dropped, so they may have gaps.
     """
-    parents = sections.select("doc_id", "section_no", "heading", F.posexplode(recursive_pieces(parent_size, parent_overlap)("text")).alias("pos", "parent_text"))
-    parents = numbered(parents, "parent_no", ["doc_id"], ["section_no", "pos"])
-    children = parents.select("doc_id", "parent_no", "heading", "parent_text", F.posexplode(recursive_pieces(child_size, child_overlap)("parent_text")).alias("child_pos", "content"))
-    children = numbered(children, "child_no", ["doc_id"], ["parent_no", "child_pos"]).select(
+    cut = sections.select("doc_id", "section_no", "heading", recursive_pieces(parent_size, parent_overlap)("text").alias("parents"))
+    sizes = cut.select("doc_id", "section_no", F.size("parents").alias("n"))
+    offsets = totals_before(sizes, ["doc_id"], ["section_no"], ["n"]).select("doc_id", "section_no", "n_before")
+    parents = cut.join(offsets, ["doc_id", "section_no"]).select("doc_id", "heading", "n_before", F.posexplode("parents").alias("pos", "parent_text"))
+    nested = parents.select("doc_id", "heading", (F.col("n_before") + F.col("pos")).alias("parent_no"), "parent_text", recursive_pieces(child_size, child_overlap)("parent_text").alias("nested"))
+    inner = totals_before(nested.select("doc_id", "parent_no", F.size("nested").alias("n")), ["doc_id"], ["parent_no"], ["n"]).select("doc_id", "parent_no", "n_before")
+    children = nested.join(inner, ["doc_id", "parent_no"]).select("doc_id", "parent_no", "heading", "parent_text", "n_before", F.posexplode("nested").alias("child_pos", "content"))
+    children = children.withColumn("child_no", F.col("n_before") + F.col("child_pos")).select(
         "doc_id", F.concat(F.lit("p"), "parent_no").alias("parent_id"), F.concat(F.lit("c"), "child_no").alias("child_id"), "child_no", "heading", "content", "parent_text"
     )
     return keep_first(children, F.struct("doc_id", "content"), ["child_no"]) if dedupe else children

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pigmenta.functions.vectors import cosine_distance, dot, doubles, norm
+from pigmenta.session import query_blocks
 
 METRICS = {
     "cosine": cosine_distance,
@@ -24,14 +27,15 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, *, metric: str =
     """query_id, id, distance, rank of the ``k`` nearest rows of each query.
 
     ``corpus``: id, embedding and whatever ``where`` needs; the predicate goes to the scan.
-    ``queries``: query_id, query_embedding; the stated query set, which is sent to the corpus in
-    place. Distances are rounded, ties go to the smaller id. The first ``k`` are taken in every
+    ``queries``: query_id, query_embedding; the stated query set, sent to the corpus in blocks. Distances are rounded, ties go to the smaller id. The first ``k`` are taken in every
     task before anything moves. Null vectors are left out.
     """
     rows = corpus.filter(where) if where is not None else corpus
-    pairs = rows.select("id", "embedding").filter("embedding is not null").crossJoin(F.broadcast(queries.select("query_id", "query_embedding").filter("query_embedding is not null")))
-    scored = pairs.select("query_id", "id", (F.round(METRICS[metric](F.col("embedding"), F.col("query_embedding")), decimals) + F.lit(0.0)).alias("distance"))
-    return rank_within(scored, "query_id", ["distance", "id"], k)
+    known = rows.select("id", "embedding").filter("embedding is not null")
+    distance = (F.round(METRICS[metric](F.col("embedding"), F.col("query_embedding")), decimals) + F.lit(0.0)).alias("distance")
+    asked = queries.select("query_id", "query_embedding").filter("query_embedding is not null")
+    parts = [rank_within(known.crossJoin(F.broadcast(q)).select("query_id", "id", distance), "query_id", ["distance", "id"], k) for q in query_blocks(asked, "query_id")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pigmenta.functions.text import strip
+from pigmenta.session import totals_before
 
 BOLD_FLAG = 16
 BULLETS = "•-*‣◦"
@@ -25,9 +26,10 @@ def font_sizes(spans: DataFrame) -> DataFrame:
 
 def body_size(rows: DataFrame, per: str, size: str, weight: Column, order: list[str], default: float = 10.0) -> DataFrame:
     """The most frequent size of each group by weight; of equals the one seen first; a default for groups without sizes."""
-    ranked = rows.withColumn("_o", F.row_number().over(Window.partitionBy(per).orderBy(*order)))
-    sums = ranked.filter(F.col(size).isNotNull()).groupBy(per, size).agg(F.sum(weight).alias("w"), F.min("_o").alias("first"))
-    best = sums.groupBy(per).agg(F.max_by(size, F.struct("w", -F.col("first"))).alias("body_size"))
+    first = F.min(F.struct(*order))
+    sums = rows.filter(F.col(size).isNotNull()).groupBy(per, size).agg(F.sum(weight).alias("w"), first.alias("first"))
+    most = sums.groupBy(per).agg(F.max("w").alias("w"))
+    best = sums.join(most, [per, "w"]).groupBy(per).agg(F.min_by(size, "first").alias("body_size"))
     return rows.select(per).distinct().join(best, per, "left").withColumn("body_size", F.coalesce(F.col("body_size").cast("double"), F.lit(default)))
 
 
@@ -317,22 +319,26 @@ def sections(pages: DataFrame, doc: str, order: list[str]) -> DataFrame:
     one's; of equal headings the last stands, at the place of the first; the last heading may be
     without a body.
     """
-    lines = pages.select(doc, *order, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    by = [*order, "line_no"]
-    w = Window.partitionBy(doc).orderBy(*by)
-    marked = lines.withColumn("is_heading", F.col("line").startswith("## "))
-    numbered = marked.withColumn("no", F.sum(F.col("is_heading").cast("int")).over(w)).filter("no > 0").withColumn("at", F.row_number().over(w))
+    is_heading = lambda line: line.startswith("## ")
+    counts = pages.select(doc, *order, F.size(F.filter(F.split("text", "\n"), is_heading)).alias("n"))
+    offsets = totals_before(counts, [doc], order, ["n"]).drop("n")
+    lines = pages.select(doc, *order, "text").join(offsets, [doc, *order]).select(doc, *order, "n_before", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    on_page = Window.partitionBy(doc, *order).orderBy("line_no")
+    numbered = lines.withColumn("is_heading", is_heading(F.col("line"))).withColumn("no", F.col("n_before") + F.sum(F.col("is_heading").cast("int")).over(on_page)).filter("no > 0")
     title = strip(F.regexp_replace("line", r"^##\s+", ""))
+    part = F.when(~F.col("is_heading"), F.struct(*order, "line_no", "line"))
     folded = numbered.groupBy(doc, "no").agg(
-        F.max(F.when(F.col("is_heading"), title)).alias("title"),
-        strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_heading"), F.struct("at", "line")))), lambda x: x["line"]), "\n")).alias("body"),
+        F.max(F.when(F.col("is_heading"), title)).alias("title"), strip(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["line"]), "\n")).alias("body")
     )
     # A run of headings without a body belongs to the next one with a body (or to the last).
-    back = Window.partitionBy(doc).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    run = folded.withColumn("run", F.coalesce(F.sum((F.col("body") != "").cast("int")).over(back), F.lit(0)))
-    joined = run.groupBy(doc, "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "title"))), lambda x: x["title"]), " ").alias("heading"), F.max("body").alias("body"))
-    same = Window.partitionBy(doc, "heading")
-    return joined.withColumn("section_no", F.min("run").over(same)).withColumn("last", F.max("run").over(same)).filter("run = last").select(doc, "section_no", "heading", "body")
+    full = numbered.groupBy(doc, "no").agg(F.max((~F.col("is_heading") & (strip(F.col("line")) != "")).cast("int")).alias("full"))
+    runs = totals_before(full, [doc], ["no"], ["full"]).select(doc, "no", F.col("full_before").alias("run"))
+    joined = (
+        folded.join(runs, [doc, "no"])
+        .groupBy(doc, "run")
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "title"))), lambda x: x["title"]), " ").alias("heading"), F.max("body").alias("body"))
+    )
+    return joined.groupBy(doc, "heading").agg(F.min("run").alias("section_no"), F.max_by("body", "run").alias("body")).select(doc, "section_no", "heading", "body")
 
 
 def font_sections(blocks: DataFrame, doc: str, order: list[str], *, factor: float = 1.15) -> DataFrame:
@@ -341,15 +347,16 @@ def font_sections(blocks: DataFrame, doc: str, order: list[str], *, factor: floa
     Blocks before the first heading make a section without one; of headings in a row the last
     counts; a heading without text makes none.
     """
-    w = Window.partitionBy(doc).orderBy(*order)
     marked = blocks.withColumn("is_heading", F.coalesce(F.col("font_size") > factor * F.col("body_size"), F.lit(False)))
-    numbered = marked.withColumns({
-        "section_no": F.sum(F.col("is_heading").cast("int")).over(w),
-        "heading": F.last(F.when(F.col("is_heading"), strip(F.col("text"))), ignorenulls=True).over(w),
-        "at": F.row_number().over(w),
-    }).filter("not is_heading")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("at", F.regexp_replace(strip(F.col("text")), "\n", " ").alias("t")))), lambda x: x["t"])
-    return numbered.groupBy(doc, "section_no").agg(F.max("heading").alias("heading"), F.array_join(parts, " ").alias("text")).filter("text <> ''")
+    counts = totals_before(marked.select(doc, *order, F.col("is_heading").cast("int").alias("n")), [doc], order, ["n"])
+    numbered = marked.join(counts.select(doc, *order, (F.col("n_before") + F.col("n")).alias("section_no")), [doc, *order])
+    part = F.when(~F.col("is_heading"), F.struct(*order, F.regexp_replace(strip(F.col("text")), "\n", " ").alias("t")))
+    parts = F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"])
+    return (
+        numbered.groupBy(doc, "section_no")
+        .agg(F.max(F.when(F.col("is_heading"), strip(F.col("text")))).alias("heading"), F.array_join(parts, " ").alias("text"))
+        .filter("text <> ''")
+    )
 
 
 def noise_tenths(text: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pigmenta.functions.text import tokens
 from pigmenta.operators.dense import rank_within
+from pigmenta.session import query_blocks
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -25,7 +27,8 @@ class SparseIndex:
 
 def build_index(documents: DataFrame) -> SparseIndex:
     """Index of (id, text); documents without a token count towards the corpus."""
-    words = documents.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    # Texts move once, by id; counting terms, scoring and adding up a document's score then need no further move.
+    words = documents.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).repartition("id")
     corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
     postings = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     counted = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -38,9 +41,9 @@ def build_index(documents: DataFrame) -> SparseIndex:
 def score(index: SparseIndex, queries: DataFrame) -> DataFrame:
     """query_id, id, score of every document with a term of a query (query_id, query_text).
 
-    A term that a query repeats counts as often. The query set is stated and small against the
-    corpus; its terms are joined with the term statistics first, so only postings of terms that
-    are asked for are scored.
+    A term that a query repeats counts as often. The query set is a block of a stated one, small
+    enough to be broadcast; its terms are joined with the term statistics first, so only postings
+    of terms that are asked for are scored.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighted = asked.join(index.terms.select("term", "idf"), "term")
@@ -56,12 +59,16 @@ def sparse_top_k(index: SparseIndex, queries: DataFrame, k: int, *, where: Colum
     to scored documents. Scores are rounded, ties go to the smaller id. Documents that share no
     term score 0 and fill the list: only the ``k`` smallest ids can, so no more are looked at.
     """
-    scored = score(index, queries)
-    ids = index.ids
-    if where is not None:
-        ids = rows.filter(where).select("id")
-        scored = scored.join(ids, "id", "left_semi")
-    fill = ids.orderBy("id").limit(k)
-    zero = queries.select("query_id").distinct().crossJoin(F.broadcast(fill)).select("query_id", "id", F.lit(0.0).alias("score"))
-    best = scored.select("query_id", "id", "score").unionByName(zero).groupBy("query_id", "id").agg((F.round(F.sum("score"), decimals) + F.lit(0.0)).alias("score"))
-    return rank_within(best, "query_id", [F.desc("score"), "id"], k)
+    ids = index.ids if where is None else rows.filter(where).select("id")
+    fill = ids.distinct().orderBy("id").limit(k)
+
+    def block_top(block: DataFrame) -> DataFrame:
+        scored = score(index, block)
+        if where is not None:
+            scored = scored.join(ids, "id", "left_semi")
+        best = rank_within(scored.select("query_id", "id", (F.round("score", decimals) + F.lit(0.0)).alias("score")), "query_id", [F.desc("score"), "id"], k).drop("rank")
+        zero = block.select("query_id").distinct().crossJoin(F.broadcast(fill)).select("query_id", "id", F.lit(0.0).alias("score"))
+        merged = best.unionByName(zero).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+        return rank_within(merged, "query_id", [F.desc("score"), "id"], k)
+
+    return reduce(DataFrame.unionByName, [block_top(q) for q in query_blocks(queries, "query_id")])

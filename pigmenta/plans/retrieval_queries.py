@@ -310,23 +310,29 @@ SELECT 'flat' AS mode, query_id, list_sort(list(DISTINCT p)) AS pages, count(*)
 UNION ALL SELECT 'parent_child', query_id, list_sort(list(DISTINCT p)), count(*) FROM g GROUP BY query_id"""
 
 
+def _embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "child_chunks").filter("text is not null and embedding is not null and size(embedding) = 64 and parent_id is not null and chunk_index_in_page is not null and not exists(embedding, x -> isnan(x))")
+    once = chunking.keep_first(rows.select("child_id", "parent_id", "text", "chunk_index_in_page", "embedding"), F.col("child_id"), ["parent_id"])
+    return once.withColumn("o", F.struct("chunk_index_in_page", "child_id"))
+
+
 def semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _vectors(spark, d)
-    return chunking.semantic_groups(rows, ["label"], "embedding", "id").select("id", "label", rounded(F.col("distance")).alias("distance"), "is_break", F.col("group_no").cast("long").alias("group_no"))
+    grouped = chunking.semantic_groups(_embedded_chunks(spark, d), ["parent_id"], "embedding", "o")
+    return grouped.select("child_id", "parent_id", rounded(F.col("distance")).alias("distance"), "is_break", F.col("group_no").cast("long").alias("group_no"))
 
 
-SQL["semantic_breaks"] = f"""
-WITH {VECTORS}, n AS (SELECT *, lead(e) OVER (PARTITION BY label ORDER BY id) AS qe FROM v),
-m AS (SELECT id, label, CASE WHEN qe IS NOT NULL THEN round(1 - list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe)) + 1e-10), 9) END AS distance FROM n),
-t AS (SELECT *, coalesce(distance > round(quantile_cont(distance, 0.9) OVER (PARTITION BY label), 9), false) AS is_break FROM m)
-SELECT id, label, round(distance, 6) + 0.0 AS distance, is_break,
-  CAST(coalesce(sum(CAST(is_break AS INTEGER)) OVER (PARTITION BY label ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS group_no FROM t"""
+SQL["semantic_breaks"] = """
+WITH r AS (SELECT DISTINCT ON (child_id) child_id, parent_id, chunk_index_in_page AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM child_chunks
+  WHERE text IS NOT NULL AND len(embedding) = 64 AND parent_id IS NOT NULL AND chunk_index_in_page IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x))) ORDER BY child_id, parent_id),
+n AS (SELECT *, lead(e) OVER (PARTITION BY parent_id ORDER BY i, child_id) AS qe FROM r),
+m AS (SELECT child_id, parent_id, i, CASE WHEN qe IS NOT NULL THEN round(1 - list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe)) + 1e-10), 9) END AS distance FROM n),
+t AS (SELECT *, coalesce(distance > round(quantile_cont(distance, 0.9) OVER (PARTITION BY parent_id), 9), false) AS is_break FROM m)
+SELECT child_id, parent_id, round(distance, 6) + 0.0 AS distance, is_break,
+  CAST(coalesce(sum(CAST(is_break AS INTEGER)) OVER (PARTITION BY parent_id ORDER BY i, child_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS group_no FROM t"""
 
 
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "child_chunks").filter("text is not null and embedding is not null and size(embedding) = 64 and parent_id is not null and chunk_index_in_page is not null")
-    once = chunking.keep_first(rows.select("child_id", "parent_id", "text", "chunk_index_in_page", "embedding"), F.col("child_id"), ["parent_id"])
-    return chunking.semantic_chunks(once.withColumn("o", F.struct("chunk_index_in_page", "child_id")), ["parent_id"], "text", "embedding", "o")
+    return chunking.semantic_chunks(_embedded_chunks(spark, d), ["parent_id"], "text", "embedding", "o")
 
 
 # Graph retrieval.

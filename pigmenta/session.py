@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +58,33 @@ def attach_hot_aware(rows: DataFrame, groups: DataFrame, key: str, count: str, *
     hot_rows = rows.join(F.broadcast(hot), key)
     cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return hot_rows.unionByName(cold_rows)
+
+
+def totals_before(rows: DataFrame, per: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Adds ``<value>_before``: the sum of each value over the earlier rows of its group.
+
+    A group may hold any share of the rows: they are sorted by range over all tasks, summed up
+    within a range, and ranges of a group (few, whatever its size) get what went before them.
+    ``order`` must tell the rows of a group apart. Give narrow rows: they are written once, so
+    that ranges stay what they are.
+    """
+    placed = cut_lineage(rows.repartitionByRange(*per, *order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy("_range", *per).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_range", *per).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = Window.partitionBy(*per).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select(
+        F.col("_range").alias("_at"), *[F.col(f"`{p}`").alias(f"_per{i}") for i, p in enumerate(per)], *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values]
+    )
+    same = reduce(lambda a, b: a & b, [F.col(f"`{p}`").eqNullSafe(F.col(f"_per{i}")) for i, p in enumerate(per)], F.col("_range") == F.col("_at"))
+    inside = placed.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(earlier), F.lit(0)) for v in values})
+    joined = inside.join(offsets, same)
+    return joined.withColumns({f"{v}_before": F.col(f"{v}_before") + F.col(f"_{v}") for v in values}).drop("_range", "_at", *[f"_per{i}" for i in range(len(per))], *[f"_{v}" for v in values])
+
+
+def query_blocks(queries: DataFrame, key: str, *, block: int = 2048) -> list[DataFrame]:
+    """A stated query set in blocks of about ``block`` rows, each small enough to be broadcast.
+
+    The set is counted; its blocks are taken by hash of the key, so they are the same each time.
+    """
+    n = -(-queries.count() // block)
+    return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b) for b in range(n)]
