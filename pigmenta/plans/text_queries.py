@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pigmenta.functions.text import hyphen_joined, hyphen_wrapped, tokens
-from pigmenta.operators import chunking, layout
+from pigmenta.operators import chunking, layout, semantic
 from pigmenta.session import table
 from pigmenta.sources import readers, store
 
@@ -305,11 +305,84 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["incremental_ingest"] = "SELECT page_id, source FROM pages ANTI JOIN (SELECT DISTINCT source FROM child_chunks) USING (source)"
 
+def page_subset(spark: SparkSession, d: str) -> DataFrame:
+    return readers.selected_pages(table(spark, d, "pages"), [1, 2]).select("page_id", "source", "page_number")
+
+
+SQL["page_subset"] = "SELECT page_id, source, page_number FROM pages WHERE page_number IN (1, 2)"
+
+
+def get_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "child_chunks").select("parent_id").distinct()
+    return table(spark, d, "parent_chunks").join(ids, "parent_id", "left_semi").select("parent_id", F.char_length("text").alias("chars")).distinct()
+
+
+SQL["get_by_ids"] = "SELECT DISTINCT parent_id, length(text) AS chars FROM parent_chunks WHERE parent_id IN (SELECT parent_id FROM child_chunks)"
+
+
+def collection_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "child_chunks").groupBy("source").agg(F.count("*").alias("chunks"), F.count_distinct("parent_id").alias("parents"))
+
+
+SQL["collection_counts"] = "SELECT source, count(*) AS chunks, count(DISTINCT parent_id) AS parents FROM child_chunks GROUP BY source"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks as spans of their lines, bold where a line is in capitals."""
+    rows = table(spark, d, "blocks").filter("text is not null and bbox is not null").select("block_id", F.coalesce("font_size", F.lit(10)).alias("s"), "bbox", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    y = F.col("bbox.y0") + F.col("seq") * 12.0
+    return rows.select(F.col("block_id").alias("doc_id"), F.lit(1).alias("page"), "seq", F.col("bbox.x0").alias("x0"), y.alias("y0"), F.col("bbox.x1").alias("x1"), (y + 10.0).alias("y1"), "text", F.col("s").cast("double").alias("size"), F.when(F.col("text") == F.upper("text"), 16).otherwise(0).alias("flags"))
+
+
+SPANS = """sp AS (SELECT block_id AS doc_id, generate_subscripts(l, 1) - 1 AS seq, bbox, unnest(l) AS text, CAST(coalesce(font_size, 10) AS DOUBLE) AS size
+  FROM (SELECT *, string_split(text, chr(10)) AS l FROM blocks WHERE text IS NOT NULL AND bbox IS NOT NULL))"""
+
+
+def font_census(spark: SparkSession, d: str) -> DataFrame:
+    return layout.font_sizes(_spans(spark, d)).groupBy("size").agg(F.sum("chars").alias("chars"), F.count("*").alias("spans"))
+
+
+SQL["font_census"] = f"WITH {SPANS} SELECT size, CAST(sum(length({strip_sql('text')})) AS BIGINT) AS chars, count(*) AS spans FROM sp WHERE {strip_sql('text')} <> '' GROUP BY size"
+
+
+def block_scan(spark: SparkSession, d: str) -> DataFrame:
+    spans = _spans(spark, d).withColumns({"block_no": F.lit(0), "line_no": F.col("seq")})
+    return readers.blocks_from_spans(spans).select("doc_id", "text", "font_size")
+
+
+SQL["block_scan"] = f"WITH {SPANS} SELECT doc_id, string_agg(text, chr(10) ORDER BY seq) AS text, CAST(max(size) AS INTEGER) AS font_size FROM sp GROUP BY doc_id"
+
+
+def styled_words(spark: SparkSession, d: str) -> DataFrame:
+    spans = _spans(spark, d)
+    words = spans.select("doc_id", "page", "seq", (F.col("x0") + 1).alias("x0"), (F.col("y0") + 7).alias("y0"), (F.col("x0") + 21).alias("x1"), (F.col("y0") + 15).alias("y1"), "text")
+    styled = layout.styled_words(words, spans)
+    return styled.select("doc_id", "seq", "size", "is_bold")
+
+
+def flat_section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    clean = layout.without_noise(_sized_blocks(spark, d))
+    parts = layout.font_sections(clean, "source", ["page", "seq", "block_id"])
+    return parts.select("source", "section_no", "heading", F.posexplode(chunking.recursive_pieces(500, 50)("text")).alias("chunk_no", "chunk"))
+
+
+def semantic_text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return semantic.semantic_text_chunks(table(spark, d, "pages").filter("text is not null").select("page_id", "text"), ["page_id"])
+
+
+def hybrid_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return semantic.hybrid_chunks(table(spark, d, "pages").filter("text is not null").select("page_id", "text"), ["page_id"])
+
+
+def semantic_children(spark: SparkSession, d: str) -> DataFrame:
+    return semantic.semantic_children(table(spark, d, "parent_chunks").filter("text is not null").groupBy("parent_id").agg(F.min("text").alias("text")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         nonblank_pages, tokenize_counts, sentence_split, sliding_chunks, parent_child_chunks, chunk_dedupe, recursive_split, structural_units, unit_headings, size_constraints,
         body_size_mode, noise_score, noise_filter, sections_from_fonts, structural_chunks, sections_from_headings, boilerplate_lines, hyphen_join, gap_projection, box_overlap,
-        dedupe_words, xy_cut, neighbour_window, upsert_last_wins, incremental_ingest,
+        page_subset, get_by_ids, collection_counts, font_census, block_scan, styled_words, flat_section_chunks, semantic_text_chunks, hybrid_chunks, semantic_children, dedupe_words, xy_cut, neighbour_window, upsert_last_wins, incremental_ingest,
     )
 }

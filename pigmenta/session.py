@@ -30,15 +30,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *, per_task_bytes: int = 2 << 20) -> DataFrame:
-    """Spread a narrow input over enough tasks for work that is heavy per byte.
+    """Spread an input of few files over enough tasks for work that is heavy per byte.
 
     A scan makes tasks by file size alone, so a few megabytes of text would be one task however
-    costly each row is. Rows move once, evenly; the number of tasks follows the optimizer's size
-    estimate and is never less than the cluster's cores.
+    costly each row is. An input that already has a task for every core is left in place; a
+    smaller one moves once, evenly.
     """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // per_task_bytes)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if plan.toRdd().getNumPartitions() >= cores:
+        return df
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(cores, -(-size // per_task_bytes)))
 
 
 def attach_hot_aware(rows: DataFrame, groups: DataFrame, key: str, count: str, *, hot_groups: int = 1000) -> DataFrame:

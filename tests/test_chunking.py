@@ -85,3 +85,34 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "source string, page_number int, page_id long, text string")
     assert c.parent_child(empty).count() == 0
     assert c.structural_units(empty, ["page_id"]).count() == 0
+
+
+def test_semantic_and_hybrid_chunks(spark):
+    from pigmenta.operators import semantic
+
+    text = "# Baş\n\n" + "Boya kurur. Boya sürülür. Kedi uyur. Köpek koşar. " * 12 + "\n\nkısa"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "tek cümle")], "id int, text string")
+    got = {}
+    for r in semantic.semantic_text_chunks(df, ["id"]).orderBy("chunk_no").collect():
+        got.setdefault(r["id"], []).append(r["chunk"])
+    assert set(got) == {1, 3} and all(len(c) <= 1800 for cs in got.values() for c in cs)
+    assert "".join(" ".join(got[1]).split()) == "".join(text.split())
+    hybrid = [r["chunk"] for r in semantic.hybrid_chunks(df.filter("id = 1"), ["id"]).orderBy("chunk_no").collect()]
+    assert hybrid[0].startswith("# Baş") and hybrid[-1].endswith("kısa")
+    parents = df.withColumnRenamed("id", "parent_id")
+    assert {r["parent_id"] for r in semantic.semantic_children(parents).collect()} == {1, 3}
+
+
+def test_totals_before_over_a_hot_group(spark):
+    from pigmenta.session import totals_before
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, F.lit("hot")).otherwise(F.lit(None)).alias("g"), "id", F.lit(1).alias("n"))
+    got = totals_before(rows, ["g"], ["id"], ["n"])
+    assert got.count() == 1000
+    assert got.filter("n_before <> case when id < 900 then id else id - 900 end").count() == 0
+
+
+def test_structural_ids_leave_gaps(spark):
+    sections = spark.createDataFrame([("d", 1, "H", "aynı metin"), ("d", 2, "I", "aynı metin"), ("d", 3, None, "başka")], "doc_id string, section_no int, heading string, text string")
+    rows = c.structural_parent_child(sections).orderBy("child_no").collect()
+    assert [(r["parent_id"], r["child_id"], r["content"]) for r in rows] == [("p0", "c0", "aynı metin"), ("p2", "c2", "başka")]

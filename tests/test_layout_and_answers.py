@@ -129,3 +129,23 @@ def test_range_text_and_lists(spark):
     assert answers.list_answer(df.withColumn("g", F.lit(1)), ["g"], "name", F.lit("")).first()["answer"] == "Eşleşen ürünler:\n\n• a\n• b\n• c"
     lines = answers.value_lines(df, "name", [("Sarfiyat", answers.range_text(F.col("lo"), F.col("hi"), F.col("u")))]).collect()
     assert {r["name"] for r in lines} == {"a", "b"}
+
+
+def test_open_routes_go_to_the_hook(spark):
+    questions = spark.createDataFrame([(1, "sarfiyat bilgisi"), (2, "Silka Flora"), (3, "depolama bilgisi")], "id long, question string")
+    products = spark.createDataFrame([("Silka",), ("Flora",)], "name string")
+    said = {"sarfiyat bilgisi": ("metadata_question", "sarfiyat"), "Silka Flora": ("comparison", ""), "depolama bilgisi": ("metadata_question", "doku")}
+    got = {r["id"]: r["intent"] for r in intent.routed(questions, products, lambda q: said[q]).collect()}
+    assert got == {1: "metadata_question", 2: "comparison", 3: "default_qa"}
+    assert {r["intent"] for r in intent.routed(questions, products).collect()} == {"default_qa"}
+
+
+def test_query_blocks_cover_all(spark):
+    from pigmenta.operators import dense
+    from pigmenta.session import query_blocks
+
+    q = spark.range(50).select(F.col("id").alias("query_id"), F.array(F.col("id").cast("float"), F.lit(1.0)).alias("query_embedding"))
+    blocks = query_blocks(q, "query_id", block=10)
+    assert len(blocks) == 5 and sum(b.count() for b in blocks) == 50
+    corpus = q.select(F.col("query_id").alias("id"), F.col("query_embedding").alias("embedding"))
+    assert dense.dense_top_k(corpus, q, 2).count() == 100
