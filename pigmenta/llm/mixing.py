@@ -178,7 +178,7 @@ def mixture(documents: DataFrame, targets: DataFrame, settings: MixSettings | No
     for r in targets.filter("source is not null and target_share > 0 and max_repeats > 0").orderBy("source", "target_share", "max_repeats").collect():
         wanted.setdefault(r["source"], (r["target_share"], r["max_repeats"]))
     names = spark.createDataFrame([(s,) for s in wanted], "source string")
-    rows = rows.join(F.broadcast(names), "source")
+    rows = cut_lineage(rows.join(F.broadcast(names), "source"))  # narrow; read once for each step of the search
     sizes = {r["source"]: (r["tokens"], r["n"]) for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()}
     give = {s: q for s, q in quotas({s: t for s, (t, _) in sizes.items()}, wanted, settings.total_tokens).items() if q > 0}
     empty = rows.select("doc_id", "source", "n_tokens", F.lit(0).alias("copy_no"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("order_key")).limit(0)
