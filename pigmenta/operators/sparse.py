@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.text import tokens
 from pigmenta.operators.dense import rank_within
-from pigmenta.session import query_blocks
+from pigmenta.session import cut_lineage, query_blocks
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -26,16 +26,21 @@ class SparseIndex:
 
 
 def build_index(documents: DataFrame) -> SparseIndex:
-    """Index of (id, text); documents without a token count towards the corpus."""
-    # Texts move once, by id; counting terms, scoring and adding up a document's score then need no further move.
-    words = documents.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).repartition("id")
-    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    postings = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
-    counted = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = counted.crossJoin(F.broadcast(corpus)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
+    """Index of (id, text); documents without a token count towards the corpus.
+
+    Texts move once, by id, and are tokenised once: the postings are written and everything else
+    is read off them.
+    """
+    words = documents.select("id", tokens(F.col("text")).alias("words")).repartition("id")
+    counted = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    postings = cut_lineage(counted)
+    ids = documents.select("id")
+    corpus = ids.agg(F.count("*").alias("n")).crossJoin(postings.agg(F.sum("tf").alias("length"))).select("n", (F.coalesce("length", F.lit(0)) / F.col("n")).alias("avgdl"))
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    raw = frequencies.crossJoin(F.broadcast(corpus)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    return SparseIndex(postings, terms, corpus, documents.select("id"))
+    return SparseIndex(postings, terms, corpus, ids)
 
 
 def score(index: SparseIndex, queries: DataFrame) -> DataFrame:
