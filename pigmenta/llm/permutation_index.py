@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pigmenta.session import attach_hot_aware
+from pigmenta.session import attach_hot_aware, hash_sample
 
 
 @dataclass
@@ -29,8 +29,8 @@ class IndexSettings:
     """Parameters of the index; the defaults are those of production."""
 
     k: int = 10
-    sample: int = 32_768  # vectors to fit on at most
-    max_pivots: int = 8_192
+    sample: int = 65_536  # vectors to fit on at most
+    max_pivots: int = 16_384
     separation: float = 0.8  # pivots are less similar to each other than this
     vectors_a_pivot: int = 16  # there are no more pivots than that many vectors give
     prefix: int = 8  # length of the order of pivots
@@ -79,14 +79,14 @@ def nearest_pivots(units: np.ndarray, pivots: np.ndarray, length: int) -> np.nda
     """Numbers of the ``length`` most similar pivots of each row, in order."""
     length = min(length, len(pivots))
     out = np.empty((len(units), length), dtype=np.int32)
-    for s in range(0, len(units), 2048):
-        near = units[s : s + 2048] @ pivots.T
+    for s in range(0, len(units), 512):
+        near = units[s : s + 512] @ pivots.T
         if length < len(pivots):
             some = np.argpartition(near, len(pivots) - length, axis=1)[:, -length:]
         else:
             some = np.broadcast_to(np.arange(length), near.shape)
         order = np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
-        out[s : s + 2048] = np.take_along_axis(some, order, axis=1)
+        out[s : s + 512] = np.take_along_axis(some, order, axis=1)
     return out
 
 
@@ -282,9 +282,7 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
     total = seen["total"] or 0
     out = None
     if total:
-        # Rows whose hash is below a bound: about 1.2 times the sample in all, whatever the number of tasks.
-        lot = F.shiftrightunsigned(F.xxhash64("id"), 33)
-        picked = rows.filter(USABLE).filter(lot < int(min(1.0, 1.2 * settings.sample / total) * (1 << 31))).orderBy(lot, "id").limit(settings.sample).select("vector").toArrow().column("vector").combine_chunks()
+        picked = hash_sample(rows.filter(USABLE), "id", settings.sample, total).select("vector").toArrow().column("vector").combine_chunks()
         sample = _vectors(picked, size)[1]
         if len(sample):
             pivots = fit(sample, total, settings)  # at most twice the sample in floats, whatever the data; goes along with the task
