@@ -21,6 +21,7 @@ from pigmenta.llm.words import fold
 PROSE, LIST, TABLE, JUNK, TITLE, BLANK = "prose", "list", "table", "junk", "title", "blank"
 
 _WORD = re.compile(r"[^\W_]+(?:['’.,][^\W_]+)*")
+_ALNUM = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[^\W_]{2,}[%°²\"'”’»)\]]*[.!?…]+[\"'”’»)\]]*(?=\s|$)")
 _BULLET = re.compile(r"^\s*(?:[-–—*•‣◦▪»·○●]|\[[ xX✓]?\]|\(?\d{1,3}[.)]|\(?[^\W\d_][.)])\s+")
@@ -51,6 +52,7 @@ class Quality:
     repeated_paragraph_share: float = 0.0
     top_bigram_coverage: float = 0.0
     top_word_share: float = 0.0
+    distinct_word_share: float = 0.0
 
 
 def _repeated(parts: list[str]) -> float:
@@ -60,12 +62,12 @@ def _repeated(parts: list[str]) -> float:
 def measure(text: str, common: frozenset[str]) -> Quality:
     """The statistics of ``text``. A text without words has zeros where there is nothing to divide."""
     words = _WORD.findall(text)
-    folded = [fold(w) for w in words]
+    folded = _WORD.findall(fold(text))
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    solid = [c for c in text if not c.isspace()]
+    solid = "".join(text.split())
     q = Quality(words=len(words), lines=len(lines))
     if solid:
-        q.symbol_ratio = sum(not c.isalnum() for c in solid) / len(solid)
+        q.symbol_ratio = len(_ALNUM.sub("", solid)) / len(solid)
     if lines:
         q.terminal_line_share = sum(bool(_TERMINAL.search(x)) for x in lines) / len(lines)
         q.repeated_line_share = _repeated(lines)
@@ -73,8 +75,9 @@ def measure(text: str, common: frozenset[str]) -> Quality:
     if words:
         n = len(words)
         q.mean_word_length = sum(map(len, words)) / n
-        q.common_word_share = sum(w in common for w in folded) / n
-        q.top_word_share = Counter(folded).most_common(1)[0][1] / n
+        q.common_word_share = sum(w in common for w in folded) / max(1, len(folded))
+        q.top_word_share = max(Counter(folded).values()) / max(1, len(folded))
+        q.distinct_word_share = len(set(folded)) / max(1, len(folded))
         pairs = Counter(zip(folded, folded[1:], strict=False))
         if pairs:
             (a, b), times = pairs.most_common(1)[0]
@@ -127,10 +130,10 @@ def classify(text: str, q: Quality, font_size: int | None = None, larger_than: f
     if not stripped:
         return BLANK
     lines = [x for x in stripped.split("\n") if x.strip()]
-    solid = [c for c in stripped if not c.isspace()]
-    letters = sum(c.isalpha() for c in solid) / len(solid)
-    sentences = len(_SENTENCE_END.findall(stripped))
+    solid = "".join(stripped.split())
     words = _LETTERS.findall(stripped)
+    letters = sum(map(len, words)) / len(solid)
+    sentences = len(_SENTENCE_END.findall(stripped))
     mean = sum(map(len, words)) / len(words) if words else 0.0
     if _columns(lines) and not (sentences >= 2 and q.common_word_share > 0.05):
         return TABLE
@@ -145,7 +148,7 @@ def classify(text: str, q: Quality, font_size: int | None = None, larger_than: f
         or encoded > 0.5
         or hexes > 0.5
         or (q.words >= 5 and q.top_word_share >= 0.5)
-        or (q.words >= 8 and len({fold(w) for w in words}) <= 0.3 * q.words)
+        or (q.words >= 8 and q.distinct_word_share <= 0.3)
     ):
         return JUNK
     if len(lines) == 1 and len(words) <= 14 and sentences == 0 and FURNITURE.search(stripped) and (_PAGE.search(stripped) or q.symbol_ratio > 0.1 or q.words <= 8):
@@ -167,7 +170,7 @@ def classify(text: str, q: Quality, font_size: int | None = None, larger_than: f
     return PROSE
 
 
-STATISTICS = "words int, mean_word_length double, symbol_ratio double, terminal_line_share double, common_word_share double, lines int, repeated_line_share double, repeated_paragraph_share double, top_bigram_coverage double, top_word_share double"
+STATISTICS = "words int, mean_word_length double, symbol_ratio double, terminal_line_share double, common_word_share double, lines int, repeated_line_share double, repeated_paragraph_share double, top_bigram_coverage double, top_word_share double, distinct_word_share double"
 
 
 def text_quality(blocks: DataFrame, common_words: DataFrame, *, title_size: float = 11.5) -> DataFrame:
