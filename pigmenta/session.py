@@ -29,19 +29,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *, per_task_bytes: int = 2 << 20) -> DataFrame:
+def spread(df: DataFrame, *, per_task_bytes: int = 2 << 20, scan: bool = True) -> DataFrame:
     """Spread an input of few files over enough tasks for work that is heavy per byte.
 
     A scan makes tasks by file size alone, so a few megabytes of text would be one task however
     costly each row is. An input that already has a task for every core is left in place; a
-    smaller one moves once, evenly.
+    smaller one moves once, evenly. What isn't a mere scan (``scan`` false) always moves, as
+    results of shuffles are gathered in tasks by size alone too.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
-    if plan.toRdd().getNumPartitions() >= cores:
+    if scan and plan.toRdd().getNumPartitions() >= cores:
         return df
     size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(cores, -(-size // per_task_bytes)))
+    most = max(32 * cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(cores, min(most, -(-size // per_task_bytes))))
 
 
 def attach_hot_aware(rows: DataFrame, groups: DataFrame, key: str, count: str, *, hot_groups: int = 1000) -> DataFrame:
