@@ -104,10 +104,11 @@ def plan_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]
             pieces.append((start, end_of_text, PARAGRAPH + 1))
             return pieces
         top = min(start + limit, n)
-        low = max(done + 1, start + limit // 2)
+        least = max(done, start) + 1
+        low = max(least, start + limit // 2)
         force, cut = index.strongest(low, top) if low <= top else (0, 0)
         if not force:
-            force, cut = index.strongest(done + 1, top) if done + 1 <= top else (0, 0)
+            force, cut = index.strongest(least, top) if least <= top else (0, 0)
         if not force and start < first_solid[done]:
             start = int(first_solid[done])
             continue
