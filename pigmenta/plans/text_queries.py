@@ -104,6 +104,11 @@ def unit_headings(spark: SparkSession, d: str) -> DataFrame:
     return units.groupBy("page_id").agg(F.count_if("is_heading").alias("headings"), F.count("*").alias("units"))
 
 
+SQL["unit_headings"] = rf"""
+WITH u AS ({SQL['structural_units']}), f AS (SELECT page_id, regexp_extract(unit, '^[^\n]*') AS line FROM u)
+SELECT page_id, count(*) FILTER (regexp_matches(line, '^(?:#{{1,6}}\s|\d+(?:\.\d+)*\.?\s+\p{{Lu}}|[\p{{Lu}}\d][\p{{Lu}}\d\s\W]{{2,}}$)')) AS headings, count(*) AS units FROM f GROUP BY page_id"""
+
+
 def size_constraints(spark: SparkSession, d: str) -> DataFrame:
     units = chunking.structural_units(table(spark, d, "pages").filter("text is not null"), ["page_id"])
     listed = units.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("unit_no", "unit", "is_heading"))).alias("u"))
@@ -360,6 +365,15 @@ def styled_words(spark: SparkSession, d: str) -> DataFrame:
     return styled.select("doc_id", "seq", "size", "is_bold")
 
 
+SQL["styled_words"] = f"""
+WITH {SPANS}, s AS (SELECT doc_id, seq, text, size, bbox.x0 AS x0, bbox.y0 + seq * 12.0 AS y0, bbox.x1 AS x1, bbox.y0 + seq * 12.0 + 10.0 AS y1 FROM sp),
+w AS (SELECT doc_id, seq, x0 + 1 AS x0, y0 + 7 AS y0, x0 + 21 AS x1, y0 + 15 AS y1 FROM s),
+p AS (SELECT w.doc_id, w.seq, s.seq AS span_seq, s.size, s.text, least(w.x1, s.x1) - greatest(w.x0, s.x0) AS a, least(w.y1, s.y1) - greatest(w.y0, s.y0) AS b, w FROM w JOIN s USING (doc_id)),
+r AS (SELECT *, CASE WHEN a <= 0 OR b <= 0 THEN 0.0 ELSE a * b / (greatest(w.x1 - w.x0, 1e-6) * greatest(w.y1 - w.y0, 1e-6)) END AS ratio FROM p),
+m AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, seq ORDER BY ratio DESC, span_seq) = 1)
+SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE WHEN ratio >= 0.5 THEN size ELSE 10.0 END AS size, CASE WHEN ratio >= 0.5 THEN text = upper(text) ELSE false END AS is_bold FROM m"""
+
+
 def flat_section_chunks(spark: SparkSession, d: str) -> DataFrame:
     clean = layout.without_noise(_sized_blocks(spark, d))
     parts = layout.font_sections(clean, "source", ["page", "seq", "block_id"])
