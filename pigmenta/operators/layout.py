@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -131,17 +130,27 @@ def bold_prefix(words: list[dict], most_words: int = 8, most_chars: int = 60) ->
     return (head, tail) if 0 < run <= most_words and len(head) <= most_chars and head.endswith(":") and tail.strip() else None
 
 
-def lines_of(words: list[dict], tolerance: float = 2.5) -> list[Line]:
-    """Lines from words: a word joins the first line whose top is within the tolerance."""
-    tops: list[tuple[float, list[dict]]] = []
+def rows_of(words: list[dict], tolerance: float) -> list[list[dict]]:
+    """Words by rows: each joins the first row whose top is within the tolerance. Tops are met in
+    order, so rows that lie too far above are never looked at again."""
+    tops: list[float] = []
+    rows: list[list[dict]] = []
+    first = 0
     for w in sorted(words, key=lambda w: (w["y0"], w["x0"])):
-        row = next((r for y, r in tops if abs(y - w["y0"]) <= tolerance), None)
-        if row is None:
-            tops.append((w["y0"], [w]))
+        while first < len(tops) and w["y0"] - tops[first] > tolerance:
+            first += 1
+        if first < len(tops):
+            rows[first].append(w)
         else:
-            row.append(w)
+            tops.append(w["y0"])
+            rows.append([w])
+    return rows
+
+
+def lines_of(words: list[dict], tolerance: float = 2.5) -> list[Line]:
+    """Lines from words: a word joins the first line whose top is within the tolerance."""
     out = []
-    for _, row in tops:
+    for row in rows_of(words, tolerance):
         row.sort(key=lambda w: w["x0"])
         sizes = Counter(round(w["size"], 1) for w in row)
         split = bold_prefix(row)
@@ -170,10 +179,9 @@ def cut_page(words: list[dict], gap_x: float = 5.0, gap_y: float = 3.0, toleranc
     """
     if not words:
         return []
-    lines = lines_of(words, tolerance)
     top, bottom = min(w["y0"] for w in words), max(w["y1"] for w in words)
     tall = max(w["y1"] - w["y0"] for w in words)
-    need = max(gap_x, 0.8 * tall) if len(lines) <= 2 or bottom - top > 200 else max(gap_x / 2, 2.0)
+    need = max(gap_x, 0.8 * tall) if bottom - top > 200 or len(rows_of(words, tolerance)) <= 2 else max(gap_x / 2, 2.0)
     if depth < 10:
         for axis, (lo, hi), least, mark in (("x", ("x0", "x1"), need, COLUMN), ("y", ("y0", "y1"), gap_y, ROW)):
             free = free_stretches([(w[lo], w[hi]) for w in words], least)
@@ -186,6 +194,7 @@ def cut_page(words: list[dict], gap_x: float = 5.0, gap_y: float = 3.0, toleranc
                 second = [w for w in words if w[hi] > middle]
                 if first and second:
                     return [*cut_page(first, gap_x, gap_y, tolerance, depth + 1), mark, *cut_page(second, gap_x, gap_y, tolerance, depth + 1)]
+    lines = lines_of(words, tolerance)
     margin = Counter(round(x.x0) for x in lines).most_common(1)[0][0]
     for x in lines:
         x.margin = float(margin)
@@ -286,14 +295,19 @@ def assemble(items: list[Line | str]) -> str:
 
 def page_texts(words: DataFrame, bodies: DataFrame, *, gap_x: float = 5.0, gap_y: float = 3.0, tolerance: float = 2.5, ratio: float = 1.1, threshold: int = HEADING_SCORE) -> DataFrame:
     """doc_id, page, text of each page in reading order, from its styled words; a page is one group."""
-    joined = words.join(bodies.select("doc_id", "body_size"), "doc_id")
-
-    def page(frame: pd.DataFrame) -> pd.DataFrame:
-        items = cut_page(frame.sort_values("seq").to_dict("records"), gap_x, gap_y, tolerance)
-        mark_headings(items, float(frame["body_size"].iloc[0]), ratio, threshold)
-        return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "page": [int(frame["page"].iloc[0])], "text": [assemble(merge_headings(items))]})
-
-    return joined.groupBy("doc_id", "page").applyInPandas(page, f"doc_id {dict(words.dtypes)['doc_id']}, page int, text string")
+    word = F.struct("seq", "x0", "y0", "x1", "y1", "text", "size", "is_bold")
+    grouped = words.groupBy("doc_id", "page").agg(F.collect_list(word).alias("words")).join(bodies.select("doc_id", "body_size"), "doc_id")
+
+    @F.pandas_udf("string")
+    def read(pages: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for page, body in zip(pages, sizes, strict=True):
+            items = cut_page(sorted(page, key=lambda w: w["seq"]), gap_x, gap_y, tolerance)
+            mark_headings(items, float(body), ratio, threshold)
+            out.append(assemble(merge_headings(items)))
+        return pd.Series(out, dtype=object)
+
+    return grouped.select("doc_id", "page", read("words", "body_size").alias("text"))
 
 
 # Whole documents.
