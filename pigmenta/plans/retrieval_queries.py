@@ -264,7 +264,7 @@ def parent_expand(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("child_id", "parent_id", F.char_length("context").alias("chars"))
 
 
-SQL["parent_expand"] = f"WITH {CHILDREN} SELECT child_id, parent_id, length(coalesce(parent_text, text)) AS chars FROM ch LEFT JOIN pa USING (parent_id)"
+SQL["parent_expand"] = f"WITH {CHILDREN} SELECT child_id, parent_id, CAST(length(coalesce(parent_text, text)) AS INTEGER) AS chars FROM ch LEFT JOIN pa USING (parent_id)"
 
 
 def _chunk_results(spark: SparkSession, d: str, k: int = FINAL) -> DataFrame:

@@ -23,7 +23,7 @@ def nonblank_pages(spark: SparkSession, d: str) -> DataFrame:
     return readers.nonblank_pages(table(spark, d, "pages")).select("page_id", "source", "page_number", F.char_length("text").alias("chars"))
 
 
-SQL["nonblank_pages"] = f"SELECT page_id, source, page_number, length(text) AS chars FROM pages WHERE {strip_sql('text')} <> ''"
+SQL["nonblank_pages"] = f"SELECT page_id, source, page_number, CAST(length(text) AS INTEGER) AS chars FROM pages WHERE {strip_sql('text')} <> ''"
 
 TOKENS = "regexp_extract_all(lower(replace(text, 'İ', 'i̇')), '[a-z0-9]+')"
 
@@ -81,7 +81,7 @@ def chunk_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return chunking.keep_first(chunks, F.col("text"), ["child_id"]).select("child_id", F.char_length("text").alias("chars"))
 
 
-SQL["chunk_dedupe"] = "SELECT min(child_id) AS child_id, length(text) AS chars FROM child_chunks WHERE text IS NOT NULL GROUP BY text"
+SQL["chunk_dedupe"] = "SELECT min(child_id) AS child_id, CAST(length(text) AS INTEGER) AS chars FROM child_chunks WHERE text IS NOT NULL GROUP BY text"
 
 
 def recursive_split(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +299,7 @@ def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return store.last_wins(pages, "id", "page_id")
 
 
-SQL["upsert_last_wins"] = "SELECT DISTINCT ON (id) source || '#' || page_number AS id, page_id, length(text) AS chars FROM pages WHERE page_number IS NOT NULL ORDER BY id, page_id DESC"
+SQL["upsert_last_wins"] = "SELECT DISTINCT ON (id) source || '#' || page_number AS id, page_id, CAST(length(text) AS INTEGER) AS chars FROM pages WHERE page_number IS NOT NULL ORDER BY id, page_id DESC"
 
 
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +322,7 @@ def get_by_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parent_chunks").join(ids, "parent_id", "left_semi").select("parent_id", F.char_length("text").alias("chars")).distinct()
 
 
-SQL["get_by_ids"] = "SELECT DISTINCT parent_id, length(text) AS chars FROM parent_chunks WHERE parent_id IN (SELECT parent_id FROM child_chunks)"
+SQL["get_by_ids"] = "SELECT DISTINCT parent_id, CAST(length(text) AS INTEGER) AS chars FROM parent_chunks WHERE parent_id IN (SELECT parent_id FROM child_chunks)"
 
 
 def collection_counts(spark: SparkSession, d: str) -> DataFrame:
