@@ -12,6 +12,11 @@ from pigmenta.functions.text import FLAGS, first_match, number, strip
 # What marks a section, and the patterns of its values.
 NUM = r"(\d+(?:[.,]\d+)?)"
 TIME_UNIT = "(dakika|saat|gün)"
+TOUCH = rf"Dokunma kuruması:\s*(\d+)\s*[-–]\s*(\d+)\s*{TIME_UNIT}"
+RECOAT = rf"Katlar arası bekleme süresi:\s*(\d+)\s*[-–]\s*(\d+)\s*{TIME_UNIT}"
+CURE = rf"(?:Son|Sert)\s*Kuruma(?:sı)?\s*:\s*(\d+)\s*{TIME_UNIT}"
+SPREAD = rf"{NUM}\s*[-–]\s*{NUM}\s*(m\s?2|m²)"
+SHELF = r"(\d+)\s*(yıl|ay|gün)"
 TEXTURES = r"(lüks\s*parlak|yarı\s*parlak|tam\s*parlak|parlak|yarı\s*mat|tam\s*mat|mat)"
 PLACES = r"(iç\s*cephe|dış\s*cephe)"
 
@@ -60,11 +65,11 @@ def properties(documents: DataFrame) -> DataFrame:
     coverage = F.replace(find_section(parts, "SARFİYAT"), F.lit("\n"), F.lit(" "))
     airless = F.coalesce(find_section(parts, "havasız"), find_section(parts, "airless"), find_section(parts, "püskürtme"))
     packaging = find_section(parts, "AMBALAJ")
-    touch = range_unit(drying, rf"Dokunma kuruması:\s*(\d+)\s*[-–]\s*(\d+)\s*{TIME_UNIT}")
-    recoat = range_unit(drying, rf"Katlar arası bekleme süresi:\s*(\d+)\s*[-–]\s*(\d+)\s*{TIME_UNIT}")
-    cure = value_unit(drying, rf"(?:Son|Sert)\s*Kuruma(?:sı)?\s*:\s*(\d+)\s*{TIME_UNIT}")
-    spread = range_unit(coverage, rf"{NUM}\s*[-–]\s*{NUM}\s*(m\s?2|m²)")
-    shelf = value_unit(find_section(parts, "DEPOLAMA"), r"(\d+)\s*(yıl|ay|gün)")
+    touch = range_unit(drying, TOUCH)
+    recoat = range_unit(drying, RECOAT)
+    cure = value_unit(drying, CURE)
+    spread = range_unit(coverage, SPREAD)
+    shelf = value_unit(find_section(parts, "DEPOLAMA"), SHELF)
     sizes = F.transform(F.regexp_extract_all(packaging, F.lit(rf"(?U){NUM}\s*(?:Litre|litre|L)\b"), F.lit(1)), number)
     thin, spray = percentage(find_section(parts, "ncelt")), airless_percentage(airless)
     return documents.select(

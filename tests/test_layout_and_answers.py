@@ -94,11 +94,11 @@ def test_percentages(spark):
 
 
 def test_property_record(spark):
-    page = "## AquaLux®\nSu bazlı, iç cephe için yarı mat boyadır.\n## KURUMA SÜRESİ\nDokunma kuruması: 30-60 dakika"
+    page = "## Silkano®\nSu bazlı, iç cephe için yarı mat boyadır.\n## KURUMA SÜRESİ\nDokunma kuruması: 30-60 dakika"
     parts = [("KURUMA SÜRESİ", "Dokunma kuruması: 30-60 dakika\nSon Kuruma: 7 gün"), ("SARFİYAT", "8-10 m 2 boyanır"), ("AMBALAJ", "2,5 L ve 15 L"), ("İNCELTME", "%5 su"), ("DEPOLAMA", "24 ay")]
     df = spark.createDataFrame([("d", page, parts)], "doc_id string, first_page string, sections array<struct<heading:string,body:string>>")
     r = extraction.properties(df).first()
-    assert (r["ürün_adı"], r["su_bazlı"], r["voc_uyumlu"], r["kullanım_alanı"], r["doku"]) == ("AquaLux", True, False, "iç cephe", "yarı mat")
+    assert (r["ürün_adı"], r["su_bazlı"], r["voc_uyumlu"], r["kullanım_alanı"], r["doku"]) == ("Silkano", True, False, "iç cephe", "yarı mat")
     assert (r["dokunma_kuruması_min"], r["dokunma_kuruması_max"], r["son_kuruma"], r["son_kuruma_birimi"]) == (30.0, 60.0, 7.0, "gün")
     assert (r["sarfiyat_min"], r["sarfiyat_birimi"], r["ambalaj_boyutları"], r["ambalaj_boyutları_birimi"]) == (8.0, "m²/Litre", [2.5, 15.0], "L")
     assert (r["inceltme_fırça_rulo"]["lo"], r["depolama_süresi"], r["inceltme_havasız_püskürtme"]) == (5.0, 24.0, None)
@@ -109,16 +109,16 @@ def test_property_record(spark):
 def test_routes(spark):
     q = [
         (1, "Hangi ürünler su bazlıdır?", "metadata_list"),
-        (2, "AquaLux ile Momento Silan arasındaki temel fark nedir?", "comparison"),
-        (3, "AquaLux'un sarfiyatı ve depolama süresi nedir?", "metadata_question"),
-        (4, "Dulux Weathershield'ın özellikleri nelerdir?", "default_qa"),
-        (5, "Exxen mat litre başına kaç metrekare boyanabilir", "metadata_question"),
+        (2, "Silkano ile Flora Silan arasındaki temel fark nedir?", "comparison"),
+        (3, "Silkano'un sarfiyatı ve depolama süresi nedir?", "metadata_question"),
+        (4, "Karmeno Yalıtan'ın özellikleri nelerdir?", "default_qa"),
+        (5, "Duvaro mat litre başına kaç metrekare boyanabilir", "metadata_question"),
     ]
     questions = spark.createDataFrame([x[:2] for x in q], "id long, question string")
-    products = spark.createDataFrame([("AquaLux",), ("Momento Silan",), ("Exxen Mat",), (None,)], "name string")
+    products = spark.createDataFrame([("Silkano",), ("Flora Silan",), ("Duvaro Mat",), (None,)], "name string")
     got = {r["id"]: r for r in intent.routed(questions, products).collect()}
     assert {i: r["intent"] for i, r in got.items()} == {i: w for i, _, w in q}
-    assert got[2]["products"] == ["AquaLux", "Momento Silan"]
+    assert got[2]["products"] == ["Flora Silan", "Silkano"]
     assert got[3]["properties"] == ["sarfiyat", "depolama_süresi"]
     assert "doku" not in got[5]["properties"]
 
