@@ -17,14 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    single machine) a temporary folder is used. A lost executor then costs nothing: the files
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset in a local
+    session (tests) a temporary folder is used; a cluster must name one. A lost executor then costs nothing: the files
     are on storage that all executors share.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pigmenta-checkpoint-"))
     return df.checkpoint(eager=True)
 
