@@ -109,7 +109,7 @@ def copies_of(records: DataFrame) -> DataFrame:
     """key, representative, copies for every record that has copies, the representative itself left out.
 
     Each key is expected once; keys that are repeated with the same content count as copies of
-    themselves in ``copies`` but give no row. Groups of copies may hold any share of all rows.
+    themselves in ``copies`` but give no row, as do null keys. Groups of copies may hold any share of all rows.
     """
     hashed = root_digests(records)
     groups = hashed.groupBy("root").agg(
