@@ -296,7 +296,10 @@ def assemble(items: list[Line | str]) -> str:
 def page_texts(words: DataFrame, bodies: DataFrame, *, gap_x: float = 5.0, gap_y: float = 3.0, tolerance: float = 2.5, ratio: float = 1.1, threshold: int = HEADING_SCORE) -> DataFrame:
     """doc_id, page, text of each page in reading order, from its styled words; a page is one group."""
     word = F.struct("seq", "x0", "y0", "x1", "y1", "text", "size", "is_bold")
-    grouped = words.groupBy("doc_id", "page").agg(F.collect_list(word).alias("words")).join(bodies.select("doc_id", "body_size"), "doc_id")
+    # By a stated number of tasks: pages are much work for few bytes, by which tasks would be merged.
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    apart = words.join(bodies.select("doc_id", "body_size"), "doc_id").repartition(tasks, "doc_id", "page")
+    grouped = apart.groupBy("doc_id", "page").agg(F.collect_list(word).alias("words"), F.max("body_size").alias("body_size"))
 
     @F.pandas_udf("string")
     def read(pages: pd.Series, sizes: pd.Series) -> pd.Series:
