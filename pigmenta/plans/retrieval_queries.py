@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pigmenta.functions.vectors import rounded, similarity_of
 from pigmenta.operators import answers, chunking, dense, fusion, graph, sparse
 from pigmenta.plans.text_queries import TOKENS, strip_sql
-from pigmenta.session import table
+from pigmenta.session import cut_lineage, table
 
 SQL: dict[str, str] = {}
 K = 10
 POOL, FINAL = 40, 5
+GRAPH_SEEDS, GRAPH_HOPS = 3, 1  # as in the reference
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -391,6 +392,26 @@ al AS (SELECT query_id, chunk FROM sd UNION SELECT query_id, chunk FROM en JOIN
 SELECT query_id, chunk, CASE WHEN sd.chunk IS NULL THEN 'graph' ELSE 'vector' END AS via FROM al LEFT JOIN sd USING (query_id, chunk)""".replace("sd.chunk IS NULL", "(query_id, chunk) NOT IN (SELECT (query_id, chunk) FROM sd)").replace(" FROM al LEFT JOIN sd USING (query_id, chunk)", " FROM al")
 
 
+def graph_rag(spark: SparkSession, d: str) -> DataFrame:
+    """The sheets of the best chunks of each stated question, and those that their entities and these entities' neighbours stand in.
+
+    Chunks are searched by BM25, as only some questions have a vector; a sheet stands for its chunks, as triples name sheets.
+    """
+    of_sheet = table(spark, d, "child_chunks").filter("text is not null and source is not null").select(F.col("child_id").alias("id"), F.col("source").alias("chunk")).distinct()
+    index = sparse.build_index(_children(spark, d).select(F.col("child_id").alias("id"), "text"))
+    top = sparse.sparse_top_k(index, _questions(spark, d), GRAPH_SEEDS)
+    seeds = cut_lineage(top.join(of_sheet, "id").select("query_id", "chunk").distinct())
+    return graph.graph_context(seeds, _triples(spark, d), GRAPH_HOPS)
+
+
+SQL["graph_rag"] = f"""
+WITH {CHUNK_RESULTS}, {TRIPLES}, sd AS (SELECT DISTINCT query_id, source AS chunk FROM top JOIN child_chunks ON id = child_id WHERE rank <= {GRAPH_SEEDS} AND text IS NOT NULL AND source IS NOT NULL),
+e0 AS (SELECT DISTINCT query_id, entity FROM sd JOIN me USING (chunk)),
+e1 AS (SELECT * FROM e0 UNION SELECT query_id, b FROM e0 JOIN ed ON entity = a),
+led AS (SELECT DISTINCT query_id, chunk FROM e1 JOIN me USING (entity))
+SELECT query_id, chunk, 'vector' AS via FROM sd UNION ALL SELECT query_id, chunk, 'graph' FROM (SELECT * FROM led EXCEPT SELECT * FROM sd)"""
+
+
 def retrieval_recall(spark: SparkSession, d: str) -> DataFrame:
     passages = graph.evidence_corpus(table(spark, d, "questions_df")).select(F.concat_ws("#", "parent_id", "pos").alias("id"), "content", "source_question_id")
     top = sparse.sparse_top_k(sparse.build_index(passages.select("id", F.col("content").alias("text"))), _questions(spark, d), 3)
@@ -410,6 +431,6 @@ QUERIES = {
     for f in (
         dense_topk, dense_topk_filtered, dense_similarity, dimension_probe, centroid_outlier, pca_2d, bm25_stats, bm25_topk, bm25_topk_filtered, rrf_fusion, hybrid_search, confidence,
         confidence_gate, dedupe_by_parent, default_qa, parent_expand, context_flat, context_parent_child, compare_modes, semantic_breaks, semantic_chunks, evidence_corpus, graph_khop,
-        graph_context, retrieval_recall,
+        graph_context, graph_rag, retrieval_recall,
     )
 }

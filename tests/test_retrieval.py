@@ -95,3 +95,32 @@ def test_centroid_and_projection(spark):
     df = spark.createDataFrame([(1, "k", [1.0, 0.0, 0.0]), (2, "k", [0.0, 1.0, 0.0]), (3, "k", [0.0, 0.0, 1.0])], "id long, label string, embedding array<float>")
     assert [round(x, 6) for x in dense.centroids(df, "label").first()["centroid"]] == [0.333333] * 3
     assert len(dense.project(df).first()["components"]) == 2
+
+
+def test_graph_rag_follows_edges_from_the_retrieved_chunks(spark, tmp_path):
+    import duckdb
+
+    from pigmenta.plans import registry
+
+    sheets = [("P1", "mat", None, "s1"), ("P2", "mat", "iç", "s2"), ("P3", "saten", "iç", "s3"), ("P3", None, "dış", "s4"), ("P4", "parlak", "dış", "s5"), ("P5", None, None, "s6")]
+    chunks = [(f"c{i}{j}", f"{w} text {j}", f"s{i}") for i, w in enumerate(("alfa", "beta", "gama", "delta", "epsilon", "zeta", "eta"), 1) for j in range(3)]
+    tables = {
+        "paint_properties": spark.createDataFrame(sheets, "`ürün_adı` string, doku string, `kullanım_alanı` string, source string"),
+        "child_chunks": spark.createDataFrame([(i, "p" + i, t, 1, s) for i, t, s in chunks], "child_id string, parent_id string, text string, page_number int, source string"),
+        "parent_chunks": spark.createDataFrame([], "parent_id string, text string"),
+        "questions_df": spark.createDataFrame([(50, "alfa"), (100, "epsilon"), (150, "zeta"), (200, "eta"), (201, "beta")], "id long, question string"),
+    }
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    triples = [(p, o, s) for p, doku, use, s in sheets for o in (doku, use) if o]
+    want = set()
+    for query, seed in ((50, "s1"), (100, "s5"), (150, "s6"), (200, "s7")):
+        entities = {e for p, o, s in triples if s == seed for e in (p, o)}
+        entities |= {e for p, o, _ in triples for e, other in ((p, o), (o, p)) if other in entities}
+        want |= {(query, s, "graph") for p, o, s in triples if s != seed and {p, o} & entities} | {(query, seed, "vector")}
+    assert (50, "s3", "graph") not in want and (100, "s3", "graph") in want  # two edges away, one edge away
+    got = [(r["query_id"], r["chunk"], r["via"]) for r in registry.QUERIES["graph_rag"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert set(con.execute(registry.SQL["graph_rag"]).fetchall()) == want
