@@ -2,7 +2,7 @@
 
 Method: answers are *sorted by text*, with names and numbers masked, and compared with their
 neighbours: one that is a prefix of the next is a shortened version of it, unless what follows
-begins a new sentence. Lengths at which answers pile up without ending are length limits. Then
+begins a new sentence. So is one that a passage of its own evidence continues. Lengths at which answers pile up without ending are length limits. Then
 rules for copies, refusals and languages follow.
 """
 
@@ -53,6 +53,9 @@ _NAME = re.compile(r"(?:[^\W\d_][\w’']*\s+){1,6}(?=[A-Z0-9]*[A-Z])[A-Z0-9]{4,8
 _NUMBER = re.compile(r"\d+(?:[.,:/–-]\d+)*")
 _END = re.compile(r"[.!?。؟][\"'”’»)\]]*$")
 _CUT = re.compile(r"(?:\.{2,}|…|[,;–—-])\s*$")
+_BEGINS = re.compile(r"(?:^|[.!?]\W*\s)[^\w+±%-]*$")
+# What may follow a complete statement; a mark, a comma or a word that joins another.
+_COMPLETE = re.compile(r"\W*$|[\"'”’»)\]]*\s*[.!?:;,|•]|\s+(?:[–—-]|(?:ve|veya|ya|ancak|ama|fakat|çünkü|and|or|but|while|und|oder|aber|denn|и|или|но|а)\b)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 ENDED = r"[.!?][\"'”’»)\]]*\s*$"
 _SPACE = re.compile(r"\s+")
@@ -70,6 +73,7 @@ class PairSettings:
     spike: float = 6.0  # times its surroundings that a length must occur to be a limit
     spike_rows: int = 30  # and times in all
     spike_open: float = 0.8  # share of its answers without an end
+    value_words: int = 3  # words of a complete short value, at most
 
 
 def name_of(question: str) -> str | None:
@@ -233,6 +237,38 @@ def fit_language_model(pairs: DataFrame, common_words: DataFrame, settings: Pair
     return model
 
 
+def goes_on(answer: str, name: str | None, passages: list[str | None], value_words: int) -> bool:
+    """Whether a passage of the evidence continues an unended answer within its word or sentence.
+
+    Complete short values, whole names and parts from the middle of a sentence that don't have the
+    name are excepted, and so is what only a further clause follows.
+    """
+    text = normal(answer)
+    if _END.search(text) or len(text.split()) <= value_words:
+        return False
+    masked = mask(text, name)
+    if masked == NAME:
+        return False
+    said = fold(text)
+    for passage in passages:
+        whole = fold(normal(passage or ""))
+        at = whole.find(said)
+        while at >= 0:
+            rest = whole[at + len(said) :]
+            apart = not (at and whole[at - 1].isalnum())
+            if apart and (NAME in masked or _BEGINS.search(whole[:at])) and not _COMPLETE.match(rest):
+                return True
+            at = whole.find(said, at + 1)
+    return False
+
+
+def _evidence_batches(batches: Iterator[pd.DataFrame], value_words: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        each = zip(batch["question"], batch["answer"], batch["evidence"], strict=True)
+        out = [a is not None and e is not None and goes_on(a, name_of(q or ""), list(e), value_words) for q, a, e in each]
+        yield batch.drop(columns="evidence").assign(continued=pd.Series(out, index=batch.index, dtype=bool))
+
+
 def _mask_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = [None if a is None else stem(mask(a, name_of(q or ""))) for q, a in zip(batch["question"], batch["answer"], strict=True)]
@@ -299,17 +335,25 @@ def length_limits(answers: DataFrame, settings: PairSettings) -> list[int]:
 
 
 def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSettings | None = None) -> DataFrame:
-    """Distinct (id, defect) of the pairs (id, question, answer) whose answer is defective.
+    """Distinct (id, defect) of the pairs (id, question, answer, evidence) whose answer is defective.
 
     At most one defect a pair: empty, copies_question, refusal, truncated, other_language, in
     this order. A null question is an empty text. Ids with several different rows are judged by
-    row; rows with null ids are judged like others. An empty table gives an empty result.
+    row; rows with null ids are judged like others. An empty table gives an empty result. The
+    evidence, array<string>, may be missing.
     """
     settings = settings or PairSettings()
-    rows = cut_lineage(spread(pairs.select("id", "question", "answer").distinct(), per_task_bytes=1 << 20, scan=False))
+    key = dict(pairs.dtypes)["id"]
+    value_words = settings.value_words
+    evidence = F.col("evidence") if "evidence" in pairs.columns else F.lit(None).cast("array<string>")
+    read = spread(pairs.select("id", "question", "answer", evidence.alias("evidence")), per_task_bytes=1 << 20)
+    read = read.mapInPandas(lambda batches: _evidence_batches(batches, value_words), f"id {key}, question string, answer string, continued boolean")
+    once = read.groupBy("id", "question", "answer").agg(F.max("continued").alias("continued"))
+    rows = cut_lineage(spread(once, per_task_bytes=1 << 20, scan=False))
+    continued = rows.filter("continued").select("id", "question", "answer", F.lit(True).alias("shortened"))
+    rows = rows.drop("continued")
     model = fit_language_model(rows, common_words, settings)
     limits = set(length_limits(rows, settings))
-    key = dict(pairs.dtypes)["id"]
     masked = cut_lineage(rows.mapInPandas(_mask_batches, f"id {key}, question string, answer string, masked string"))
     counted = masked.filter("masked <> ''").groupBy(F.col("masked").alias("text")).agg(F.count("*").alias("n"))
     shorter = counted.join(neighbour_comparison(counted, shortened).filter("hit"), "text", "left").select(F.col("text").alias("masked"), "n", F.coalesce("hit", F.lit(False)).alias("shortened"))
@@ -317,7 +361,7 @@ def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSet
     flagged = attach_hot_aware(masked.filter("masked <> ''").withColumn("last", last), shorter, "masked", "n").drop("n", "masked")
     ends = final_words(masked, settings).filter("unlikely")
     open_ended = attach_hot_aware(flagged.filter("last <> ''"), ends, "last", "n").select("id", "question", "answer", F.lit(True).alias("shortened"))
-    judged = flagged.select("id", "question", "answer", "shortened").unionByName(open_ended)
+    judged = flagged.select("id", "question", "answer", "shortened").unionByName(open_ended).unionByName(continued)
     bare = masked.filter("masked is null or masked = ''").select("id", "question", "answer", F.lit(False).alias("shortened"))
     judged = judged.unionByName(bare).groupBy("id", "question", "answer").agg(F.max("shortened").alias("shortened"))
     margin = settings.language_margin

@@ -76,6 +76,24 @@ def test_defects(spark):
     assert pr.defective_pairs(pairs.limit(0), words).count() == 0
 
 
+def test_evidence_that_goes_on(spark):
+    q = f"{NAMES[0]} nerede kullanılır?"
+    whole = f"{NAMES[0]} nemli bodrum duvarında tek kat sürülür ve 3 saatte kurur."
+    passages = [None, "Başka bir cümle. " + whole.upper()]
+    cases = [
+        (f"{NAMES[0]} nemli bodrum duv", "truncated"), (f"{NAMES[0]} nemli bodrum duvarında", "truncated"), (f"{NAMES[0]} nemli bodrum duvarında tek kat sürülür", None),
+        ("nemli bodrum duvar", None), (NAMES[0], None), ("bodrum duvarında tek kat sürülür", None), (whole, None), (whole[:-1], None), (f"{NAMES[0]} başka duvarda", None),
+    ]
+    for answer, defect in cases:
+        assert pr.goes_on(answer, pr.name_of(q), passages, 3) == (defect is not None), answer
+    only = [(1, q, cases[0][0], passages), (1, q, cases[0][0], passages), (4, q, "15 saat", ["15 saatte kurur."])]  # none is a longer sibling
+    words = spark.createDataFrame([("tr", "ve"), ("en", "and")], "lang string, word string")
+    for given in (only, [(*r[:3], None) for r in only]):
+        pairs = spark.createDataFrame(given, "id long, question string, answer string, evidence array<string>")
+        got = [tuple(r) for r in pr.defective_pairs(pairs, words).collect()]
+        assert got == ([(1, "truncated")] if given is only else [])
+
+
 def test_length_limit(spark):
     rows = [(f"{'x' * 80}",)] * 60 + [("y" * n + ".",) for n in range(60, 100)]
     assert pr.length_limits(spark.createDataFrame(rows, "answer string"), pr.PairSettings()) == [80]
