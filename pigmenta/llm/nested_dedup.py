@@ -30,23 +30,34 @@ _FIELD = re.compile(r"\s*([^\W\d_][^:=\n]{0,60}?)\s*[:=]\s*(\S.*?)\s*", re.DOTAL
 _BULLET = re.compile(r"^[\s*•>\-–]+(?=\D)")
 
 
+class _Fields(tuple):
+    """The (name, value) pairs of a JSON object, repeated names included."""
+
+
 def _of_json(value: object) -> tuple:
-    if isinstance(value, dict):
-        return ("fields", [("field", tuple(number_aware_words(str(k))), _of_json(v)) for k, v in value.items()])
+    if isinstance(value, _Fields):
+        return ("fields", [("field", tuple(number_aware_words(k)), _of_json(v)) for k, v in value])
     if isinstance(value, list):
         return ("list", [_of_json(v) for v in value])
     return ("text", tuple(number_aware_words("" if value is None else str(value))))
 
 
 def parse(content: str) -> tuple:
-    """The tree of a content. What is neither JSON nor at least two named fields is one text."""
+    """The tree of a content. What is neither JSON nor at least two named fields is one text.
+
+    So is JSON of one plain field: in other layouts a single name isn't told from words before a colon.
+    Numbers stay as they are written.
+    """
     stripped = content.strip()
     if stripped[:1] in "{[" and stripped[-1:] in "}]":
         try:
-            value = json.loads(stripped, strict=False)
+            value = json.loads(stripped, strict=False, parse_float=str, parse_int=str, parse_constant=str, object_pairs_hook=_Fields)
         except ValueError:
             value = None
-        if isinstance(value, dict | list):
+        if isinstance(value, _Fields) and len(value) == 1 and not isinstance(value[0][1], _Fields | list):
+            name, plain = value[0]
+            return ("text", (*number_aware_words(name), *_of_json(plain)[1]))
+        if isinstance(value, _Fields | list):
             return _of_json(value)
     for separator in FIELD_SEPARATORS:
         parts = [p for p in stripped.split(separator) if p.strip()]

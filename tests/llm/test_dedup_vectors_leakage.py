@@ -51,6 +51,14 @@ def test_nested_json():
     assert a != nd.merkle(nd.parse('{"y": "", "x": {"q": ["b", "a"], "p": 1}}'))
 
 
+def test_json_numbers_repeated_names_and_one_field(spark):
+    rows = [
+        ("a", '{"a": 1.50, "b": "x"}'), ("b", "a: 1.50; b: x"), ("c", '{"b": "x", "a": 1.5}'), ("d", '{"n": "p", "n": "q", "m": 1}'), ("e", '{"n": "r", "n": "q", "m": 1}'), ("f", "m: 1 | n: q | n: p"),
+        ("g", '{"Sarfiyat": 10}'), ("h", "SARFİYAT : 10"), ("i", "sarfiyat 10"), ("j", '{"Sarfiyat": 11}'), ("k", '{"x": {"y": 1}}'), ("l", '{"x": ["y", 1]}'), ("m", "[]"), ("n", "{}"),
+    ]
+    assert groups(spark, rows) == [("a", "b"), ("d", "f"), ("g", "h"), ("g", "i")]
+
+
 # Vectors.
 
 
