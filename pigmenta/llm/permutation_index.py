@@ -1,27 +1,30 @@
 """For every vector the k most similar vectors of a collection, within a small stated loss.
 
 Method: *permutation index*. A vector is represented by its nearest pivots in order. It is posted
-in the inverted files of the first few of them; a query reads the file of its nearest pivot,
+in the inverted files of the first few of them; a query reads the files of its nearest pivots,
 ranks what it finds there by the footrule distance of the two orders of pivots, and reranks the
-best by exact cosine. Pivots are fitted on a bounded sample; every vector is indexed.
-
-A pivot whose file would hold too many vectors gets pivots of its own, taken from the sample's
-vectors nearest to it, and files by those; so the work for a query does not grow with the
-largest cluster. Copies of one vector in great number are represented by as many as can be
-among the nearest of anything.
+best by exact cosine.
+
+The index has two levels. Outer pivots, fitted on a bounded sample, make regions: a vector goes to
+the regions of its nearest outer pivots, which is the only time that vectors move. Each region is
+indexed by the task that gets it: it has pivots of its own, as many as its vectors need, and
+inverted files by those. So the number of pivots grows with the number of vectors, while no task
+sees more than its region. A region of too many vectors is divided on the executors, by pivots
+chosen among its own vectors, as often as it takes. Vectors of one direction in great number are
+represented by as many as can be among the nearest of anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pigmenta.session import attach_hot_aware, hash_sample
+from pigmenta.session import attach_hot_aware, cut_lineage, hash_sample
 
 
 @dataclass
@@ -29,25 +32,20 @@ class IndexSettings:
     """Parameters of the index; the defaults are those of production."""
 
     k: int = 10
-    sample: int = 65_536  # vectors to fit on at most
-    max_pivots: int = 16_384
-    separation: float = 0.8  # pivots are less similar to each other than this
-    vectors_a_pivot: int = 16  # there are no more pivots than that many vectors give
-    prefix: int = 8  # length of the order of pivots
-    posts: int = 3  # inverted files that hold a vector
-    long_file: int = 4_096  # an expected file of more vectors than this is divided
-    inner_posts: int = 8  # files inside a divided one that hold a vector
-    inner_file: int = 64  # vectors that a file inside a divided one should hold
-    rerank: int = 512  # candidates kept by footrule for exact similarity
-    crowd: int = 1_000  # copies of one vector that are too many to index each
-
-
-@dataclass
-class Pivots:
-    """The fitted index: pivots, and for divided files their inner pivots and first file number."""
-
-    outer: np.ndarray
-    inner: dict[int, tuple[np.ndarray, int]] = field(default_factory=dict)
+    sample: int = 65_536  # vectors to fit the outer pivots on at most
+    max_pivots: int = 16_384  # outer pivots
+    separation: float = 0.8  # outer pivots are less similar to each other than this
+    vectors_a_pivot: int = 16  # there are no more outer pivots than that many vectors give
+    posts: int = 3  # regions that hold a vector
+    region: int = 65_536  # a region of more vectors than this is divided
+    prefix: int = 12  # length of the order of pivots; 22 at most, so that footrule fits a byte
+    file: int = 256  # vectors that an inverted file should hold
+    probes: int = 8  # inverted files that a query reads
+    least_pivots: int = 32  # pivots of a small region
+    most_pivots: int = 4_096  # pivots of a large one
+    rerank: int = 256  # candidates of a file that footrule leaves for exact similarity, at most
+    rerank_share: float = 0.75  # of the file, at most; but four times k at least
+    crowd: int = 1_000  # vectors of one direction that are too many to index each
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -90,21 +88,9 @@ def nearest_pivots(units: np.ndarray, pivots: np.ndarray, length: int) -> np.nda
     return out
 
 
-def fit(sample: np.ndarray, total: int, settings: IndexSettings) -> Pivots:
-    """Pivots for ``total`` vectors of which ``sample`` is a random part."""
-    units = unit_rows(sample)
-    outer = thin(units, settings.separation, max(1, min(settings.max_pivots, total // settings.vectors_a_pivot)))
-    near = nearest_pivots(units, outer, settings.posts)
-    share = np.bincount(near.ravel(), minlength=len(outer)) / len(units)
-    pivots = Pivots(outer)
-    first = len(outer)
-    for p in np.flatnonzero(share * total > settings.long_file):
-        own = units[near[:, 0] == p]
-        own = own[: max(2 * settings.inner_posts, int(len(own) / len(units) * total * settings.inner_posts / settings.inner_file))]
-        if len(own) >= 2 * settings.inner_posts:
-            pivots.inner[int(p)] = (own, first)
-            first += len(own)
-    return pivots
+def fit(sample: np.ndarray, total: int, settings: IndexSettings) -> np.ndarray:
+    """Outer pivots for ``total`` vectors of which ``sample`` is a random part."""
+    return thin(unit_rows(sample), settings.separation, max(1, min(settings.max_pivots, total // settings.vectors_a_pivot)))
 
 
 def _vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,42 +105,81 @@ def _vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return right[good], vectors[good]
 
 
-POSTED = "file int, is_query boolean, id string, vector binary, prefix binary"
+POSTED = "file long, is_query boolean, id string, vector binary"
 
 
-def _rows(ids: pa.Array, values: np.ndarray, prefix: np.ndarray, pick: np.ndarray, files: np.ndarray, query: np.ndarray) -> pa.RecordBatch:
+def _rows(ids: pa.Array, values: np.ndarray, pick: np.ndarray, files: np.ndarray, query: np.ndarray) -> pa.RecordBatch:
     raw = np.ascontiguousarray(values[pick])
-    order = np.ascontiguousarray(prefix[pick].astype(np.uint16))  # pivots are fewer than 65,536
-    as_binary = lambda a: pa.FixedSizeBinaryArray.from_buffers(pa.binary(a.shape[1] * a.itemsize), len(a), [None, pa.py_buffer(a)]).cast(pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(files.astype(np.int32)), pa.array(query), ids.take(pa.array(pick)), as_binary(raw), as_binary(order)],
-        names=["file", "is_query", "id", "vector", "prefix"],
-    )
+    vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1] * raw.itemsize), len(raw), [None, pa.py_buffer(raw)]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(files.astype(np.int64)), pa.array(query), ids.take(pa.array(pick)), vectors], names=["file", "is_query", "id", "vector"])
 
 
-def post_batches(batches: Iterator[pa.RecordBatch], pivots: Pivots, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
-    """Each usable vector once for every inverted file that holds it, as a query in one of them."""
+def post_batches(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
+    """Each usable vector once for every region that holds it, as a query in the first of them."""
     for batch in batches:
-        column = batch.column("vector")
-        where, vectors = _vectors(column, size)
+        where, vectors = _vectors(batch.column("vector"), size)
         if not len(where):
             continue
         ids = batch.column("id").take(pa.array(where))
-        units = unit_rows(vectors)
-        order = nearest_pivots(units, pivots.outer, settings.prefix)
-        for rank in range(min(settings.posts, order.shape[1])):
-            file = order[:, rank]
-            divided = np.isin(file, list(pivots.inner))
-            pick = np.flatnonzero(~divided)
-            if len(pick):
-                yield _rows(ids, vectors, order, pick, file[pick], np.full(len(pick), rank == 0))
-            for p in np.unique(file[divided]):
-                pick = np.flatnonzero(file == p)
-                inner, first = pivots.inner[int(p)]
-                inside = np.zeros((len(units), settings.prefix), dtype=np.int32)
-                inside[pick] = nearest_pivots(units[pick], inner, settings.prefix)
-                for r in range(settings.inner_posts):
-                    yield _rows(ids, vectors, inside, pick, first + inside[pick, r], np.full(len(pick), rank == 0 and r == 0))
+        order = nearest_pivots(unit_rows(vectors), pivots, settings.posts)
+        every = np.arange(len(vectors))
+        for rank in range(order.shape[1]):
+            yield _rows(ids, vectors, every, order[:, rank], np.full(len(every), rank == 0))
+
+
+def _binary(table: pa.Table, name: str, size: int) -> np.ndarray:
+    """A column of vectors of ``size`` numbers in bytes; a float each or a double each."""
+    column = table.column(name).combine_chunks()
+    width = len(column[0].as_py())
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64 if width == 8 * size else np.float32)
+    return raw.reshape(-1, size)
+
+
+def inner_file(file: int, pivot: np.ndarray) -> np.ndarray:
+    """The number of the part of a region that belongs to a pivot of it: mixed, so that parts of all levels differ."""
+    x = np.full(len(pivot), file, dtype=np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pivot.astype(np.uint64) + np.uint64(1)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))).astype(np.int64)
+
+
+def divide_long(posted: DataFrame, size: int, settings: IndexSettings) -> DataFrame:
+    """Regions of more than ``region`` vectors divided until none is longer.
+
+    Each round samples the vectors of a long region by hash for pivots, four for what a part
+    should hold, and posts its members to the nearest ones, queries as queries in each: a dense
+    cluster has no good places to be cut at. Members are salted over tasks, pivots are copied to every salt; the driver learns only whether a long region is left. A round that
+    finds no shorter parts (more copies of a direction than a region holds, which crowds exclude)
+    would not end, so a region is left as it is after eight; eight rounds divide by 4,096 each.
+    """
+    done = cut_lineage(posted)
+    for level in range(8):
+        sizes = cut_lineage(done.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") > settings.region))
+        if not sizes.limit(1).count():
+            break
+        wanted = F.least(F.ceil(F.col("n") * (4 * settings.posts) / settings.region) + 2, F.lit(settings.most_pivots))
+        plan = sizes.select("file", "n", (wanted / F.col("n")).alias("rate"), F.ceil(F.col("n") / 20_000).cast("int").alias("salts"))
+        members = attach_hot_aware(done, plan, "file", "n")
+        lot = F.shiftrightunsigned(F.xxhash64(F.lit(level), "id"), 1) / F.lit(float(1 << 63))
+        chosen = members.filter(lot < F.col("rate")).groupBy("file", "salts").agg(F.collect_list("vector").alias("pivots"))  # at most about 4,096 a region
+        pivots = chosen.select(F.col("file").alias("of"), "pivots", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"))
+        salted = members.select("file", "is_query", "id", "vector", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"))
+
+        def post(rows: pa.Table, own: pa.Table) -> pa.Table:
+            if not rows.num_rows or not own.num_rows:  # no pivot was drawn: the region stays for the next round
+                return rows.select(["file", "is_query", "id", "vector"])
+            vectors = _binary(rows, "vector", size)
+            chosen = own.column("pivots")[0].as_py()
+            among = unit_rows(np.frombuffer(b"".join(chosen), dtype=vectors.dtype).reshape(-1, size))
+            order = nearest_pivots(unit_rows(vectors), among, settings.posts)
+            query = rows.column("is_query").to_numpy()
+            ids = rows.column("id").combine_chunks()
+            file, every = rows.column("file")[0].as_py(), np.arange(len(vectors))
+            return pa.Table.from_batches([_rows(ids, vectors, every, inner_file(file, order[:, r]), query) for r in range(order.shape[1])])
+
+        parts = salted.groupBy("file", "salt").cogroup(pivots.groupBy("of", "part")).applyInArrow(post, POSTED)
+        kept = done.join(F.broadcast(sizes.select("file")), "file", "left_anti") if level == 0 else done.join(sizes.select("file"), "file", "left_anti")
+        done = cut_lineage(kept.select("file", "is_query", "id", "vector").unionByName(parts))
+    return done
 
 
 def footrule_similarity(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
@@ -163,95 +188,155 @@ def footrule_similarity(queries: np.ndarray, members: np.ndarray) -> np.ndarray:
     With a pivot that is missing from an order counted as standing just behind it, the distance
     is the greatest value less twice the sum of (length - larger position) over shared pivots.
     """
-    length = queries.shape[1]
-    out = np.zeros((len(queries), len(members)), dtype=np.int16)
+    length, n = queries.shape[1], len(members)
+    pivots, local = np.unique(members, return_inverse=True)
+    place = np.full((len(pivots) + 1, n), length, dtype=np.uint8)  # where each pivot stands in each member's order
+    place[local.reshape(n, length).T, np.arange(n)] = np.arange(length, dtype=np.uint8)[:, None]
+    at = np.minimum(np.searchsorted(pivots, queries), len(pivots) - 1)
+    row = np.where(pivots[at] == queries, at, len(pivots))
+    out = np.zeros((len(queries), n), dtype=np.uint8)
     for a in range(length):
-        for b in range(length):
-            out += (queries[:, a, None] == members[None, :, b]).astype(np.int16) * np.int16(length - max(a, b))
+        out += np.uint8(length) - np.maximum(place[row[:, a]], np.uint8(a))
     return out
 
 
-def search_file(ids: np.ndarray, vectors: np.ndarray, prefixes: np.ndarray, is_query: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, similarity, rank) by position, for one inverted file.
+def _best_of_file(units: np.ndarray, order: np.ndarray, place: np.ndarray, members: np.ndarray, queries: np.ndarray, settings: IndexSettings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, neighbour, float similarity): the best of one inverted file for the queries that read it.
+
+    Footrule says which candidates are kept; similarities of all are taken in one product, which
+    costs less than gathering the kept ones for each query.
+    """
+    n = len(members)
+    keep = min(n, max(4 * settings.k, min(settings.rerank, int(settings.rerank_share * n))))
+    take = min(n, settings.k + 8)
+    step = max(1, 4_000_000 // n)
+    for s in range(0, len(queries), step):
+        q = queries[s : s + step]
+        near = units[q] @ units[members].T
+        if keep < n:
+            foot = footrule_similarity(order[q], order[members])
+            worst = np.partition(foot, n - keep, axis=1)[:, n - keep]
+            near[foot < worst[:, None]] = -np.inf  # candidates level with the last one stay
+        near[q[:, None] == members[None, :]] = -np.inf
+        some = np.argpartition(near, n - take, axis=1)[:, -take:] if take < n else np.broadcast_to(np.arange(n), near.shape)
+        value = np.take_along_axis(near, some, axis=1)
+        found = members[some]
+        # More ties at the edge than were taken: the smaller ids of them.
+        level = np.sort(value, axis=1)[:, -min(take, settings.k)] - 2e-6
+        for e in np.flatnonzero((value.min(axis=1) >= level) & (level > -np.inf) & (take < n)):
+            every = np.flatnonzero(near[e] >= level[e])
+            exact = np.round(units[members[every]].astype(np.float64) @ units[q[e]].astype(np.float64), 6)
+            best = every[np.lexsort((place[members[every]], -exact))[:take]]
+            found[e], value[e] = members[best], near[e, best]
+        real = value > -np.inf
+        yield np.repeat(q, real.sum(axis=1)), found[real], value[real]
+
+
+def search_region(ids: np.ndarray, vectors: np.ndarray, is_query: np.ndarray, settings: IndexSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, neighbour, similarity, rank) by position, for the queries of one region.
 
     Similarity is the cosine in double precision, rounded to 6 decimals; ties go to the smaller id.
     """
-    n = len(ids)
+    n, k = len(ids), settings.k
     queries = np.flatnonzero(is_query)
     if n < 2 or not len(queries):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(0), empty
     place = np.empty(n, dtype=np.int64)
     place[np.argsort(ids, kind="stable")] = np.arange(n)
+    units = unit_rows(vectors)
+    # Pivots are spread evenly over the region's vectors, whose order is that of a shuffle.
+    m = min(n, max(settings.least_pivots, min(settings.most_pivots, n * settings.prefix // settings.file)))
+    order = nearest_pivots(units, units[np.arange(m) * n // m], settings.prefix)
+    if n <= settings.file:
+        files = [(np.arange(n), queries)]
+    else:
+        posted, asked = order.ravel(), order[queries, : settings.probes].ravel()
+        by_file, by_ask = np.argsort(posted, kind="stable"), np.argsort(asked, kind="stable")
+        member, reader = by_file // order.shape[1], queries[by_ask // min(settings.probes, order.shape[1])]
+        a, b = np.searchsorted(posted[by_file], np.arange(m + 1)), np.searchsorted(asked[by_ask], np.arange(m + 1))
+        files = [(member[a[f] : a[f + 1]], reader[b[f] : b[f + 1]]) for f in range(m)]
+    found = [x for members, readers in files if len(readers) and len(members) > 1 for x in _best_of_file(units, order, place, members, readers, settings)]
+    if not found:
+        empty = np.zeros(0, dtype=np.int64)
+        return empty, empty, np.zeros(0), empty
+    q, c, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    pairs = np.unique(q.astype(np.int64) * n + c, return_index=True)[1]
+    q, c, value = q[pairs], c[pairs], value[pairs]
+    by_value = np.lexsort((-value, q))
+    q, c, value = q[by_value], c[by_value], value[by_value]
+    start = np.searchsorted(q, q)
+    ends = np.searchsorted(q, q, side="right") - 1
+    last = value[np.minimum(start + k - 1, ends)]  # of the k-th, in float; what may be level with it in double stays
+    stay = value >= last - 2e-6
+    q, c = q[stay], c[stay]
     exact = vectors.astype(np.float64)
     exact /= np.abs(exact).max(axis=1, keepdims=True)
     exact /= np.linalg.norm(exact, axis=1, keepdims=True)
-    units = exact.astype(np.float32)
-    out: list[tuple[np.ndarray, ...]] = []
-    take = min(n - 1, k + 8)
-    for s in range(0, len(queries), max(1, 2_000_000 // n)):
-        q = queries[s : s + max(1, 2_000_000 // n)]
-        near = units[q] @ units.T
-        near[np.arange(len(q)), q] = -np.inf
-        if n > rerank + 1:
-            foot = footrule_similarity(prefixes[q], prefixes)
-            foot[np.arange(len(q)), q] = -1
-            worst = np.partition(foot, n - rerank, axis=1)[:, n - rerank]
-            near[foot < worst[:, None]] = -np.inf  # candidates level with the last one stay
-        some = np.argpartition(near, n - take, axis=1)[:, -take:] if take < n else np.broadcast_to(np.arange(n), near.shape)
-        close = np.take_along_axis(near, some, axis=1)
-        similarity = np.round(np.einsum("qd,qcd->qc", exact[q], exact[some]), 6)
-        similarity[close == -np.inf] = -np.inf
-        order = np.lexsort((place[some], -similarity), axis=1)[:, :k]
-        best, value = np.take_along_axis(some, order, axis=1), np.take_along_axis(similarity, order, axis=1)
-        # More ties at the edge than were taken: decide these queries over all candidates.
-        edge = np.flatnonzero((close.min(axis=1) > -np.inf) & (close.min(axis=1) >= value[:, -1] - 2e-6) & (take < n - 1))
-        for e in edge:
-            every = np.flatnonzero(near[e] > -np.inf)
-            s_all = np.round(exact[every] @ exact[q[e]], 6)
-            o = np.lexsort((place[every], -s_all))[:k]
-            best[e, : len(o)], value[e, : len(o)] = every[o], s_all[o]
-        real = value > -np.inf
-        ranks = np.broadcast_to(np.arange(1, best.shape[1] + 1), best.shape)
-        out.append((np.repeat(q, real.sum(axis=1)), best[real], value[real], ranks[real]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    similarity = np.concatenate([np.round(np.einsum("ij,ij->i", exact[q[s : s + 65_536]], exact[c[s : s + 65_536]]), 6) for s in range(0, len(q), 65_536)])
+    final = np.lexsort((place[c], -similarity, q))
+    q, c, similarity = q[final], c[final], similarity[final]
+    rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+    best = rank <= k
+    return q[best], c[best], similarity[best], rank[best]
 
 
 USABLE = "forall(vector, x -> x is not null and not isnan(x) and abs(x) <> double('infinity')) and exists(vector, x -> x <> 0)"
 FOUND = "id string, neighbour string, similarity double, rank int"
 
 
-def search_table(table: pa.Table, k: int, rerank: int) -> pa.Table:
-    """Neighbours of the queries of one file; rows that repeat an id are taken once."""
+def search_table(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table:
+    """Neighbours of the queries of one region; rows that repeat an id are taken once."""
     ids = table.column("id").combine_chunks()
-    keys = ids.to_numpy(zero_copy_only=False)
-    _, first = np.unique(keys.astype("U"), return_index=True)
-    first.sort()
-
-    def binary(name: str, kind: type) -> np.ndarray:
-        column = table.column(name).combine_chunks()
-        flat = np.frombuffer(column.buffers()[2], dtype=kind)
-        width = len(column[0].as_py()) // np.dtype(kind).itemsize
-        start = column.offset * width
-        return flat[start : start + len(column) * width].reshape(-1, width)[first]
-
-    kind = np.float64 if len(table.column("vector")[0].as_py()) == 8 * int(table.schema.metadata[b"size"]) else np.float32
-    q, m, similarity, rank = search_file(keys[first].astype("U"), binary("vector", kind), binary("prefix", np.uint16), table.column("is_query").to_numpy()[first], k, rerank)
+    keys = ids.to_numpy(zero_copy_only=False).astype("U")
+    asks = table.column("is_query").to_numpy()
+    _, first = np.unique(keys[np.argsort(~asks, kind="stable")], return_index=True)
+    first = np.sort(np.argsort(~asks, kind="stable")[first])  # a copy that is a query goes first
+    q, m, similarity, rank = search_region(keys[first], _binary(table, "vector", size)[first], asks[first], settings)
     own = ids.take(pa.array(first))
     return pa.table({"id": own.take(pa.array(q)), "neighbour": own.take(pa.array(m)), "similarity": pa.array(similarity), "rank": pa.array(rank.astype(np.int32))})
 
 
+def direction(vector: str = "vector") -> F.Column:
+    """A hash of a vector's direction: equal ones have a cosine that rounds to 1 at 6 decimals."""
+    values = F.transform(vector, lambda x: x.cast("double"))
+    largest = F.array_max(F.transform(values, F.abs))
+    scaled = F.transform(values, lambda x: x / largest)
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
+    grid = F.transform(scaled, lambda x: F.round(x / norm * 10_000).cast("int"))  # 64 steps of half a unit differ by 2e-7 in cosine
+    return F.struct(F.xxhash64(grid).alias("h1"), F.hash(grid).alias("h2"))
+
+
+def region_rows(rows: DataFrame, total: int, size: int, settings: IndexSettings) -> tuple[DataFrame | None, bool]:
+    """Vectors by the regions that hold them (file, is_query, id, vector), and whether some were divided,
+    so that a query may be in several; none without a usable vector."""
+    picked = hash_sample(rows.filter(USABLE), "id", settings.sample, total).select("vector").toArrow().column("vector").combine_chunks()
+    sample = _vectors(picked, size)[1]
+    if not len(sample):
+        return None, False
+    pivots = fit(sample, total, settings)  # bounded, whatever the data; goes along with the task
+    posted = rows.select("id", "vector").mapInArrow(lambda batches: post_batches(batches, pivots, size, settings), POSTED)
+    share = np.bincount(nearest_pivots(unit_rows(sample), pivots, settings.posts).ravel(), minlength=len(pivots)) / len(sample)
+    # Whether a region may be too long: as the sample shows, or where it is too thin to show it. Then regions are counted.
+    if 2 * max(share.max(), 1 / len(sample)) * total > settings.region:
+        return divide_long(posted, size, settings), True
+    return posted, False
+
+
 def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | None = None) -> DataFrame:
     """The k most similar other vectors of every usable vector: id, neighbour, similarity, rank.
 
     ``vectors``: id string, vector array<float or double>. Usable are vectors of ``size`` finite
     numbers that are not all zero, with an id; others take no part. Each id is taken once: where
     it has several different vectors, the one whose hash is smallest counts. Similarity is the
-    cosine, rounded to 6 decimals, ties by the smaller neighbour. A vector whose inverted file
-    holds fewer than k others gets those. An empty input gives an empty result.
+    cosine, rounded to 6 decimals, ties by the smaller neighbour. A vector whose region holds
+    fewer than k others gets those. An empty input gives an empty result.
 
-    Loss: neighbours that are in none of the query's file are missed. On the test tables at least
-    0.93 of the true ten are found (see README for what was measured).
+    Of vectors of one direction (whose cosines round to 1) in greater number than ``crowd`` the
+    k + 1 smallest ids are indexed; the others get what the smallest of them found, itself included.
+
+    Loss: neighbours that are in none of the files that the query reads are missed (see README
+    for what was measured).
     """
     settings = settings or IndexSettings()
     spark = vectors.sparkSession
@@ -264,38 +349,33 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
         clash = rows.join(several.select("id"), "id", "left_semi").filter(USABLE)
         kept = clash.groupBy("id").agg(F.min(F.struct("h1", "h2", "vector")).alias("x")).select("id", "x.vector", "x.h1", "x.h2")
         rows = rows.join(several.select("id"), "id", "left_anti").unionByName(kept)
-    # Copies of one vector in great number.
-    crowds = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > settings.crowd)
-    extra = None
+    rows = rows.select("id", "vector")
+    total = seen["total"] or 0
+    aimed = rows.filter(USABLE).select("id", direction().alias("h"))
+    crowds = cut_lineage(aimed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > settings.crowd))
+    leaders = followers = None
     if crowds.limit(1).count():
-        crowds = crowds.select(F.struct("h1", "h2").alias("h"), "n")
-        narrow = rows.select("id", F.struct("h1", "h2").alias("h"))
-        members = attach_hot_aware(narrow, crowds, "h", "n").select("id", "h").distinct()
-        first = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= settings.k + 1)
-        leaders = first.select("id", "h", "r")
+        members = cut_lineage(attach_hot_aware(aimed, crowds, "h", "n").select("id", "h").distinct())
+        leaders = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= settings.k + 1)
         followers = members.join(leaders.select("id"), "id", "left_anti")
-        sample_ok = rows.select("id", "vector").join(leaders.filter("r = 1").select("id", "h"), "id").filter(USABLE).select("h").distinct()
-        targets = leaders.filter(F.col("r") <= settings.k).join(sample_ok, "h", "left_semi").select("h", F.col("id").alias("neighbour"), F.col("r").cast("int").alias("rank"), F.lit(1.0).alias("similarity"))
-        counted = targets.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("near")).join(crowds, "h")
-        extra = attach_hot_aware(followers, counted, "h", "n").select("id", F.explode("near").alias("x")).select("id", F.col("x.neighbour").alias("neighbour"), F.lit(1.0).alias("similarity"), F.col("x.rank").alias("rank"))
         rows = rows.join(followers.select("id"), "id", "left_anti")
-    total = seen["total"] or 0
-    out = None
-    if total:
-        picked = hash_sample(rows.filter(USABLE), "id", settings.sample, total).select("vector").toArrow().column("vector").combine_chunks()
-        sample = _vectors(picked, size)[1]
-        if len(sample):
-            pivots = fit(sample, total, settings)  # at most twice the sample in floats, whatever the data; goes along with the task
-            posted = rows.select("id", "vector").mapInArrow(lambda batches: post_batches(batches, pivots, size, settings), POSTED)
-            k, rerank = settings.k, settings.rerank
-
-            def search(table: pa.Table) -> pa.Table:
-                return search_table(table.replace_schema_metadata({"size": str(size)}), k, rerank)
-
-            out = posted.groupBy("file").applyInArrow(search, FOUND)
-    if out is None:
-        out = spark.createDataFrame([], FOUND)
-    return out.unionByName(extra) if extra is not None else out
+    regions, divided = region_rows(rows, total, size, settings) if total else (None, False)
+    if regions is None:
+        return spark.createDataFrame([], FOUND)
+    out = regions.groupBy("file").applyInArrow(lambda t: search_table(t, size, settings), FOUND)
+    if divided:
+        once = out.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+        best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+        out = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.k).select("id", "neighbour", "similarity", "rank")
+    if followers is None:
+        return out
+    out = cut_lineage(out)
+    first = leaders.filter("r = 1").select("id", "h")
+    listed = out.join(first, "id").select("h", "neighbour", "similarity").unionByName(first.select("h", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity")))
+    ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("similarity"), "neighbour"))).filter(F.col("rank") <= settings.k)
+    near = ranked.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("near")).join(crowds, "h")
+    extra = attach_hot_aware(followers, near, "h", "n").select("id", F.explode("near").alias("x")).select("id", "x.neighbour", "x.similarity", F.col("x.rank").cast("int").alias("rank"))
+    return out.unionByName(extra)
 
 
 def similar_pairs(found: DataFrame) -> DataFrame:

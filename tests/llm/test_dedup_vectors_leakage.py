@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -91,12 +92,43 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
-def test_divided_files_keep_recall(spark):
-    v = clustered(1200, 16, seed=3)
-    settings_ = pi.IndexSettings(sample=600, long_file=100, rerank=64)
-    got = {(r["id"], r["neighbour"]) for r in pi.most_similar(table(spark, v), 16, settings_).collect()}
+def with_blob(n, d, seed):
+    rng = np.random.default_rng(seed)
+    blob = rng.normal(size=d) + 0.3 * rng.normal(size=(n // 3, d))
+    return clustered(n - n // 3, d, seed) | {f"b{i:05d}": [float(v) for v in np.float32(r)] for i, r in enumerate(blob)}
+
+
+def test_regions_are_divided_and_keep_recall(spark):
+    """Many more vectors than outer pivots can share out, a third of them in one cluster: as with 10^9 and the defaults."""
+    v = with_blob(1800, 16, seed=3)
+    s = pi.IndexSettings(sample=200, max_pivots=8, region=300, file=128, rerank=100)
+    rows = table(spark, v)
+    regions, divided = pi.region_rows(rows, len(v), 16, s)
+    sizes = {r["file"]: r["count"] for r in regions.groupBy("file").count().collect()}
+    assert divided and max(sizes.values()) <= s.region and regions.filter("is_query").select("id").distinct().count() == len(v)
+    found = {(r["id"], r["neighbour"]) for r in pi.most_similar(rows, 16, s).collect()}
     want = brute(v, 10)
-    assert len(got & want) / len(want) >= 0.8
+    assert len(found & want) / len(want) >= 0.9
+    inside = {p for p in want if p[0][0] == "b"}
+    assert len(found & inside) / len(inside) >= 0.85  # a cluster without structure in it is the hardest case
+
+
+def test_footrule_decides_which_candidates_are_kept():
+    """Of a small region too: what footrule leaves out is not reranked, so a neighbour far by order is missed."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 32)).astype(np.float32)
+    ids = np.array([f"{i:03d}" for i in range(200)])
+    kept = pi.search_region(ids, x, np.ones(200, dtype=bool), pi.IndexSettings(rerank_share=0.3))
+    every = pi.search_region(ids, x, np.ones(200, dtype=bool), pi.IndexSettings(rerank_share=1.0))
+    got, want = set(zip(*kept[:2], strict=True)), set(zip(*every[:2], strict=True))
+    assert len(want) == 2000 and 0.4 < len(got & want) / len(want) < 1
+
+
+@pytest.mark.parametrize("copies", [19, 20, 21, 40])
+def test_rows_do_not_depend_on_being_a_crowd(spark, copies):
+    v = {f"c{i:03d}": [float(np.float32(x * (i % 3 + 1))) for x in (1.0, 0.0, 0.5)] for i in range(copies)} | clustered(30, 3) | {"a": [10.0, 0.0, 5.0]}
+    got = {(r["id"], r["neighbour"]) for r in pi.most_similar(table(spark, v), 3, pi.IndexSettings(crowd=20, rerank_share=1.0)).collect()}
+    assert got == brute(v, 10)
 
 
 def test_small_table_is_exact_and_unusable_rows_take_no_part(spark):
@@ -117,7 +149,7 @@ def test_ties_go_to_the_smaller_id(spark):
 
 def test_crowd_of_copies(spark):
     v = {f"c{i:03d}": [1.0, 0.0, 0.5] for i in range(60)} | clustered(40, 3)
-    got = {(r["id"], r["neighbour"]) for r in pi.most_similar(table(spark, v), 3, pi.IndexSettings(crowd=20)).collect()}
+    got = {(r["id"], r["neighbour"]) for r in pi.most_similar(table(spark, v), 3, pi.IndexSettings(crowd=20, rerank_share=1.0)).collect()}
     assert got == brute(v, 10)
 
 
