@@ -1,9 +1,11 @@
 """Statistics of a text's quality, and from them whether it is prose, a list, a table or junk.
 
 Method: counts of words, symbols, line ends and common words, with *repetition statistics*
-(shares of repeated lines and paragraphs, share of the text that the most frequent n-grams
-cover); boilerplate and lists are separated from prose by combined rules. All rules are about
-form; none knows a vocabulary but the table of common words that is given to it.
+(shares of repeated lines and paragraphs, share of the text that its most frequent word, its most
+frequent n-grams of 2 to 4 words and its repeated n-grams of 5 to 10 words cover); filler,
+boilerplate and lists are separated from prose by combined rules on them. Page furniture is what
+stands, but for its numbers, on many pages. All rules are about form and repetition; none knows a
+vocabulary but the table of common words that is given to it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pigmenta.llm.words import fold
 
@@ -29,11 +32,6 @@ _TERMINAL = re.compile(r"[.!?…:;][\"'”’»)\]]*\s*$")
 _CODE = re.compile(r"</?\w+[^>]*>|\bfunction\s*\(|[{};]\s*\w+\s*=|\bvar\s+\w+\s*=|\b\w+=[\w\"']+;")
 _HEX = re.compile(r"\b[0-9a-f]{2}\b")
 _LONG = re.compile(r"\S{36,}")
-_PAGE = re.compile(r"\b\d{1,4}\s*(?:/|of|von|из)\s*\d{1,4}\b")
-
-# What page furniture says, in the languages at hand.
-FURNITURE = re.compile(r"^\W*(?:sayfa|page|seite|стр|rev|www|http|©|copyright|tel|faks?|e-?posta)\b|\bwww\b|©|tüm hakları|all rights reserved|alle rechte", re.IGNORECASE)
-
 # What stands between the items of an enumeration that is run together.
 ITEM_SEPARATORS = [" / ", " · ", "; ", " | ", ", ", " • ", " – ", " - ", " > ", " + ", " & ", " * "]
 
@@ -50,15 +48,59 @@ class Quality:
     lines: int = 0
     repeated_line_share: float = 0.0
     repeated_paragraph_share: float = 0.0
-    top_bigram_coverage: float = 0.0
     top_word_share: float = 0.0
-    distinct_word_share: float = 0.0
+    top_2gram_coverage: float = 0.0
+    top_3gram_coverage: float = 0.0
+    top_4gram_coverage: float = 0.0
+    repeated_5gram_share: float = 0.0
+    repeated_6gram_share: float = 0.0
+    repeated_7gram_share: float = 0.0
+    repeated_8gram_share: float = 0.0
+    repeated_9gram_share: float = 0.0
+    repeated_10gram_share: float = 0.0
+
+
+# From which value on a text is filler: the most frequent word or n-gram (three times at least), and what is
+# repeated of the lines, the paragraphs and the longer n-grams; what stands there twice isn't yet. None depends on
+# the length of the text.
+FILLER = {
+    "top_word_share": 0.5, "top_2gram_coverage": 0.55, "top_3gram_coverage": 0.5, "top_4gram_coverage": 0.45, "repeated_line_share": 0.66, "repeated_paragraph_share": 0.66,
+    "repeated_5gram_share": 0.66, "repeated_6gram_share": 0.65, "repeated_7gram_share": 0.64, "repeated_8gram_share": 0.63, "repeated_9gram_share": 0.62, "repeated_10gram_share": 0.61,
+}
+# Of an enumeration: an item may come again.
+FILLER_LIST = {"top_word_share": 0.5, "repeated_line_share": 0.8}
+LEAST_WORDS = 5  # of filler
 
 
 def _repeated(parts: list[str]) -> float:
     return 1 - len(set(parts)) / len(parts) if parts else 0.0
 
 
+def _repetition(q: Quality, words: list[str]) -> None:
+    """Sets the n-gram statistics, from short n-grams on; where none is repeated no longer one is."""
+    n = len(words)
+    q.top_word_share = max(Counter(words).values()) / n
+    starts = range(n - 1)
+    for size in range(2, 11):
+        counts = Counter(zip(*(words[i:] for i in range(size)), strict=False))
+        if len(counts) == len(starts):
+            return
+        if size <= 4:
+            gram, times = counts.most_common(1)[0]
+            if times >= 3:
+                setattr(q, f"top_{size}gram_coverage", min(1.0, times * sum(map(len, gram)) / sum(map(len, words))))
+        else:
+            seen: set[tuple[str, ...]] = set()
+            covered = [False] * n
+            for i in starts:
+                gram = tuple(words[i : i + size])
+                if gram in seen:
+                    covered[i : i + size] = [True] * size
+                seen.add(gram)
+            setattr(q, f"repeated_{size}gram_share", sum(covered) / n)
+        starts = range(n - size)
+
+
 def measure(text: str, common: frozenset[str]) -> Quality:
     """The statistics of ``text``. A text without words has zeros where there is nothing to divide."""
     words = _WORD.findall(text)
@@ -71,17 +113,14 @@ def measure(text: str, common: frozenset[str]) -> Quality:
     if lines:
         q.terminal_line_share = sum(bool(_TERMINAL.search(x)) for x in lines) / len(lines)
         q.repeated_line_share = _repeated(lines)
-        q.repeated_paragraph_share = _repeated([p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()])
+        if len(lines) > 1:
+            q.repeated_paragraph_share = _repeated([" ".join(p.split()) for p in re.split(r"\n\s*\n", text) if p.strip()])
     if words:
         n = len(words)
         q.mean_word_length = sum(map(len, words)) / n
         q.common_word_share = sum(w in common for w in folded) / max(1, len(folded))
-        q.top_word_share = max(Counter(folded).values()) / max(1, len(folded))
-        q.distinct_word_share = len(set(folded)) / max(1, len(folded))
-        pairs = Counter(zip(folded, folded[1:], strict=False))
-        if pairs:
-            (a, b), times = pairs.most_common(1)[0]
-            q.top_bigram_coverage = min(1.0, times * (len(a) + len(b)) / sum(map(len, folded))) if times > 1 else 0.0
+        if folded:
+            _repetition(q, folded)
     return q
 
 
@@ -121,10 +160,30 @@ def _items_run_together(text: str) -> bool:
     return False
 
 
-def classify(text: str, q: Quality, font_size: int | None = None, larger_than: float | None = None) -> str:
+def filler(q: Quality, limits: dict[str, float]) -> bool:
+    """Whether a text says little but the same again."""
+    return q.words >= LEAST_WORDS and any(getattr(q, name) >= least for name, least in limits.items())
+
+
+def _enumeration(lines: list[str], q: Quality, sentences: int) -> str | None:
+    """LIST if the lines are an enumeration of items that are no sentences, PROSE if bulleted sentences, else None."""
+    sizes = [len(_WORD.findall(_BULLET.sub("", x))) for x in lines]
+    if len(lines) >= 2 and sum(bool(_BULLET.match(x)) for x in lines) >= 0.7 * len(lines):
+        return LIST if sorted(sizes)[len(sizes) // 2] <= 7 and sum(sizes) / len(sizes) <= 7.5 else PROSE
+    if _items_run_together(" ".join(lines)):
+        return LIST
+    if len(lines) >= 3 and max(sizes) <= 8 and sum(sizes) / len(sizes) <= 5 and not _greedily_wrapped([x.strip() for x in lines]):
+        ended = sum(bool(_SENTENCE_END.search(x)) for x in lines)
+        if q.common_word_share < 0.06 or (ended == 0 and sentences == 0):
+            return LIST
+    return None
+
+
+def classify(text: str, q: Quality, font_size: int | None = None, larger_than: float | None = None, furniture: bool = False) -> str:
     """prose, list, table, junk, title or blank, by rules on form; ``q`` are the text's statistics.
 
-    ``larger_than`` is the size from which on a one-line text is a title.
+    ``larger_than`` is the size from which on a one-line text is a title; ``furniture`` says that
+    its like stands on many pages.
     """
     stripped = text.strip()
     if not stripped:
@@ -147,55 +206,75 @@ def classify(text: str, q: Quality, font_size: int | None = None, larger_than: f
         or markup > 0.3
         or encoded > 0.5
         or hexes > 0.5
-        or (q.words >= 5 and q.top_word_share >= 0.5)
-        or (q.words >= 8 and q.distinct_word_share <= 0.3)
     ):
         return JUNK
-    if len(lines) == 1 and len(words) <= 14 and sentences == 0 and FURNITURE.search(stripped) and (_PAGE.search(stripped) or q.symbol_ratio > 0.1 or q.words <= 8):
+    listed = _enumeration(lines, q, sentences)
+    if filler(q, FILLER_LIST if listed == LIST else FILLER):
         return JUNK
     if len(lines) == 1 and font_size is not None and larger_than is not None and font_size > larger_than and len(stripped) <= 120:
         return TITLE
-    bulleted = [bool(_BULLET.match(x)) for x in lines]
-    sizes = [len(_WORD.findall(_BULLET.sub("", x))) for x in lines]
-    if len(lines) >= 2 and sum(bulleted) >= 0.7 * len(lines):
-        return LIST if sorted(sizes)[len(sizes) // 2] <= 7 and sum(sizes) / len(sizes) <= 7.5 else PROSE
-    if _items_run_together(" ".join(lines)):
-        return LIST
-    if len(lines) >= 3 and max(sizes) <= 8 and sum(sizes) / len(sizes) <= 5 and not _greedily_wrapped([x.strip() for x in lines]):
-        ended = sum(bool(_SENTENCE_END.search(x)) for x in lines)
-        if q.common_word_share < 0.06 or (ended == 0 and sentences == 0):
-            return LIST
+    if furniture and len(lines) == 1 and len(words) <= 14 and sentences == 0 and q.symbol_ratio > 0.05:
+        return JUNK
+    if listed:
+        return listed
     if len(lines) == 1 and len(words) <= 6 and sentences == 0:
         return TITLE
     return PROSE
 
 
-STATISTICS = "words int, mean_word_length double, symbol_ratio double, terminal_line_share double, common_word_share double, lines int, repeated_line_share double, repeated_paragraph_share double, top_bigram_coverage double, top_word_share double, distinct_word_share double"
+STATISTICS = ", ".join(f"{name} {'int' if isinstance(default, int) else 'double'}" for name, default in asdict(Quality()).items())
+
+
+def furniture_shapes(blocks: DataFrame, *, share: float = 0.001, least: int = 3) -> DataFrame:
+    """shape: what short lines with numbers are alike but for these, if they stand on that share of all pages.
+
+    ``blocks``: source, page, shape. Pages are counted by partial aggregation. A shape stands on a
+    thousandth of the pages, so there are no more of them than a thousand times the lines that a
+    page has on average, whatever the number of blocks.
+    """
+    on_page = blocks.select("source", "page", "shape").distinct()
+    pages = blocks.select("source", "page").distinct().count()
+    return on_page.filter("shape is not null").groupBy("shape").agg(F.count("*").alias("pages")).filter(F.col("pages") >= max(float(least), share * pages)).select("shape")
+
+
+def shape_of(text: F.Column) -> F.Column:
+    """One line of at most 120 characters that has a digit and is no sentence, with each word that has one masked; else null."""
+    line = F.trim(text)
+    short = (F.char_length(line) <= 120) & ~line.contains("\n") & line.rlike(r"\p{Nd}") & ~line.rlike(r"\p{L}{2}[.!?…]$")
+    return F.when(short, F.regexp_replace(F.regexp_replace(F.lower(line), r"[^\s]*\p{Nd}[^\s]*", "0"), r"\s+", " "))
 
 
 def text_quality(blocks: DataFrame, common_words: DataFrame, *, title_size: float = 11.5) -> DataFrame:
-    """block_id, the statistics and kind of every block (block_id, text, font_size).
+    """block_id, the statistics and kind of every block (block_id, text, font_size, source, page).
 
     ``common_words``: word, a table of a fixed size for each language; sent to the tasks. A null
     text gives null statistics and the kind ``blank``, as an empty one gives zeros. Rows are
-    neither joined nor dropped nor shuffled.
+    neither dropped nor shuffled: only the shapes of short lines with numbers are counted, by
+    page, and the frequent ones sent along. Where there is no source or page, none is furniture.
     """
     common = frozenset(fold(r["word"]) for r in common_words.select("word").distinct().collect() if r["word"])
     key = dict(blocks.dtypes)["block_id"]
+    rows = blocks.select("block_id", "text", "font_size", *[c for c in ("source", "page") if c in blocks.columns])
+    if "source" in rows.columns and "page" in rows.columns:
+        shaped = rows.withColumn("shape", shape_of(F.col("text")))
+        often = furniture_shapes(shaped).withColumn("furniture", F.lit(True))
+        rows = shaped.join(F.broadcast(often), "shape", "left").withColumn("furniture", F.coalesce("furniture", F.lit(False)))
+    else:
+        rows = rows.withColumn("furniture", F.lit(False))
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = list(Quality.__dataclass_fields__)
         for part in parts:
-            rows = []
-            for block_id, text, size in zip(part["block_id"], part["text"], part["font_size"], strict=True):
+            out = []
+            for block_id, text, size, furniture in zip(part["block_id"], part["text"], part["font_size"], part["furniture"], strict=True):
                 if text is None:
-                    rows.append({"block_id": block_id, "kind": BLANK})
+                    out.append((block_id, *[None] * len(names), BLANK))
                     continue
                 q = measure(text, common)
-                rows.append({"block_id": block_id, **asdict(q), "kind": classify(text, q, None if pd.isna(size) else size, title_size)})
-            out = pd.DataFrame(rows, columns=["block_id", *Quality.__dataclass_fields__, "kind"], dtype=object)
-            yield out.where(out.notna(), None)
+                out.append((block_id, *[getattr(q, x) for x in names], classify(text, q, None if pd.isna(size) else size, title_size, furniture)))
+            yield pd.DataFrame(out, columns=["block_id", *names, "kind"], dtype=object)
 
-    return blocks.select("block_id", "text", "font_size").mapInPandas(batches, f"block_id {key}, {STATISTICS}, kind string")
+    return rows.select("block_id", "text", "font_size", "furniture").mapInPandas(batches, f"block_id {key}, {STATISTICS}, kind string")
 
 
 def not_prose(qualities: DataFrame) -> DataFrame:

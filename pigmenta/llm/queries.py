@@ -65,7 +65,7 @@ def p4_similar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _qualities(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_quality(spread(table(spark, d, "blocks").select("block_id", "text", "font_size")), table(spark, d, "common_words"))
+    return quality.text_quality(spread(table(spark, d, "blocks").select("block_id", "text", "font_size", "source", "page")), table(spark, d, "common_words"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,6 @@ COMMON = frozenset("bir bu ve için the and of is a to".split())
     ("list", "Renk kalıcılığı\n13 L ambalaj\nantipas astar\nMorvinta Plastor"),
     ("table", "| Kod | Kat |\n| esneklik | 4,1 |\n| yayılma | % |"),
     ("table", "esneklik ........ 12-20 %\npH .......... 54,0 —\nyayılma ....... g/L 30,9"),
-    ("junk", "Sayfa 3 / 49 · Rev.00 · DNEUY-379 · www"),
     ("junk", "test test test test test test test test"),
     ("junk", "==================\n22"),
     ("junk", "RJ74QBL_X7-93R3QCWBEYKXNWWV59QZ7Z3Y3WUZ__R5GLBN44V2PFXSZ"),
@@ -29,6 +28,54 @@ def test_kinds(kind, text):
     assert ql.classify(text, ql.measure(text, COMMON), 10, 11.5) == kind
 
 
+A = "Boyanan duvar önce kuru bezle silinir ve sonra ikinci kat sürülür."
+LINES = ["ince ve koyu sürülür.", "kalın ve boz kurur.", "eski ve yaş dökülür."]
+ORDER = (0, 0, 1, 1, 2, 2, 0, 2, 1, 0)  # no two stand behind each other twice, so no longer n-gram is repeated
+
+
+def broken(line, at):
+    words = line.split()
+    return line if not at else " ".join(words[:at]) + "\n" + " ".join(words[at:])
+
+
+ONLY = {  # the statistics that make a text filler, and such a text
+    ("top_word_share",): "test eder test yapar test olur test test",
+    ("top_2gram_coverage",): "ucuz boyalar mavi ucuz boyalar kırmızı ucuz boyalar yeşil ucuz boyalar",
+    ("repeated_line_share",): "\n".join(LINES[i] for i in ORDER),
+    ("repeated_paragraph_share",): "\n\n".join(broken(LINES[i], ORDER[:n].count(i)) for n, i in enumerate(ORDER)),
+    tuple(f"repeated_{n}gram_share" for n in range(5, 11)): " ".join([A] * 3),
+}
+
+
+@pytest.mark.parametrize("names", ONLY)
+def test_each_repetition_statistic_decides(names, monkeypatch):
+    text = ONLY[names]
+    q = ql.measure(text, COMMON)
+    assert ql.classify(text, q, 10, 11.5) == "junk"
+    hit = {k for k, least in ql.FILLER.items() if getattr(q, k) >= least}
+    assert set(names) <= hit and (len(names) == 1 or hit == set(names))
+    for rules in ("FILLER", "FILLER_LIST"):
+        monkeypatch.setattr(ql, rules, {k: v for k, v in getattr(ql, rules).items() if k not in names})
+    assert ql.classify(text, q, 10, 11.5) != "junk"
+
+
+def test_filler_does_not_depend_on_length():
+    vocabulary = [f"kelime{i}" for i in range(300)]
+    words = [vocabulary[(i * i + 7 * i // 5) % 300] for i in range(20_000)]
+    long_prose = " ".join(f"{w.capitalize()}." if i % 9 == 8 else w for i, w in enumerate(words[:2000]))
+    assert len(set(words)) / len(words) < 0.3 and ql.measure(long_prose, COMMON).top_word_share < 0.1
+    assert ql.classify(f"{A} {A}", ql.measure(f"{A} {A}", COMMON), 10, 11.5) == "prose"
+    for times in (3, 300):
+        assert ql.classify(f"{A} " * times, ql.measure(f"{A} " * times, COMMON), 10, 11.5) == "junk"
+
+
+def test_furniture_is_what_stands_on_many_pages(spark):
+    rows = [(i, f"Sayfa {i} / 49 · Rev.00 · DNE{i}-379 · www", 8, "a", i) for i in range(1, 4)] + [(9, "Kutu 5 · 7 x · yy", 8, "a", 1), (10, "Kutu 5 · 7 x · yy", 8, "a", 1), (11, None, 8, None, None)]
+    blocks = spark.createDataFrame(rows, "block_id long, text string, font_size int, source string, page int")
+    got = {r["block_id"] for r in ql.not_prose(ql.text_quality(blocks, spark.createDataFrame([("tr", "bir")], "lang string, word string"))).collect()}
+    assert got == {1, 2, 3}
+
+
 def test_measures():
     q = ql.measure("Bu bir evdir.\nBu bir evdir.\n\nSon satır", COMMON)
     assert (q.words, q.lines, q.repeated_line_share, q.terminal_line_share) == (8, 3, pytest.approx(1 / 3), pytest.approx(2 / 3))
