@@ -297,14 +297,24 @@ def search_table(table: pa.Table, size: int, settings: IndexSettings) -> pa.Tabl
     return pa.table({"id": own.take(pa.array(q)), "neighbour": own.take(pa.array(m)), "similarity": pa.array(similarity), "rank": pa.array(rank.astype(np.int32))})
 
 
-def direction(vector: str = "vector") -> F.Column:
-    """A hash of a vector's direction: equal ones have a cosine that rounds to 1 at 6 decimals."""
-    values = F.transform(vector, lambda x: x.cast("double"))
-    largest = F.array_max(F.transform(values, F.abs))
-    scaled = F.transform(values, lambda x: x / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    grid = F.transform(scaled, lambda x: F.round(x / norm * 10_000).cast("int"))  # 64 steps of half a unit differ by 2e-7 in cosine
-    return F.struct(F.xxhash64(grid).alias("h1"), F.hash(grid).alias("h2"))
+def direction_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """id and two hashes of the direction of each usable vector.
+
+    Directions are taken on a grid of 1e-4, so vectors that share both hashes differ in cosine by
+    less than 4e-7 in 64 dimensions, and their cosine rounds to 1 at 6 decimals.
+    """
+    mix = np.random.default_rng(5).integers(1, 1 << 63, size=(2, size), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for batch in batches:
+        where, vectors = _vectors(batch.column("vector"), size)
+        if not len(where):
+            continue
+        v = vectors.astype(np.float64)
+        v /= np.abs(v).max(axis=1, keepdims=True)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        grid = np.round(v * 10_000).astype(np.int64).astype(np.uint64)
+        h = [(grid * m).sum(axis=1) for m in mix]
+        h = [((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64) for x in h]
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(where)), pa.array(h[0]), pa.array(h[1])], names=["id", "h1", "h2"])
 
 
 def region_rows(rows: DataFrame, total: int, size: int, settings: IndexSettings) -> tuple[DataFrame | None, bool]:
@@ -351,7 +361,7 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
         rows = rows.join(several.select("id"), "id", "left_anti").unionByName(kept)
     rows = rows.select("id", "vector")
     total = seen["total"] or 0
-    aimed = rows.filter(USABLE).select("id", direction().alias("h"))
+    aimed = rows.mapInArrow(lambda batches: direction_batches(batches, size), "id string, h1 long, h2 long").select("id", F.struct("h1", "h2").alias("h"))
     crowds = cut_lineage(aimed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > settings.crowd))
     leaders = followers = None
     if crowds.limit(1).count():

@@ -127,7 +127,7 @@ def test_footrule_decides_which_candidates_are_kept():
 @pytest.mark.parametrize("copies", [19, 20, 21, 40])
 def test_rows_do_not_depend_on_being_a_crowd(spark, copies):
     v = {f"c{i:03d}": [float(np.float32(x * (i % 3 + 1))) for x in (1.0, 0.0, 0.5)] for i in range(copies)} | clustered(30, 3) | {"a": [10.0, 0.0, 5.0]}
-    got = {(r["id"], r["neighbour"]) for r in pi.most_similar(table(spark, v), 3, pi.IndexSettings(crowd=20, rerank_share=1.0)).collect()}
+    got = {(r["id"], r["neighbour"]) for r in pi.most_similar(table(spark, v), 3, pi.IndexSettings(crowd=20, rerank_share=1.0, vectors_a_pivot=100)).collect()}
     assert got == brute(v, 10)
 
 
@@ -149,7 +149,7 @@ def test_ties_go_to_the_smaller_id(spark):
 
 def test_crowd_of_copies(spark):
     v = {f"c{i:03d}": [1.0, 0.0, 0.5] for i in range(60)} | clustered(40, 3)
-    got = {(r["id"], r["neighbour"]) for r in pi.most_similar(table(spark, v), 3, pi.IndexSettings(crowd=20, rerank_share=1.0)).collect()}
+    got = {(r["id"], r["neighbour"]) for r in pi.most_similar(table(spark, v), 3, pi.IndexSettings(crowd=20, rerank_share=1.0, vectors_a_pivot=100)).collect()}
     assert got == brute(v, 10)
 
 
