@@ -1,12 +1,12 @@
 """Find documents that are mostly repeated keywords, links or tags rather than sentences.
 
-Method: a document is cut into segments (lines, sentences); thresholds on top-word and n-gram
-shares (as distinct words in a running window), duplicate lines, link-text ratio, separator
-density and missing function words decide which segments are stuffing. What is usual is
-*calibrated per language* over all documents: the function words are those that fill its long
-sentences, whatever these are about, and a window is monotonous if it has far fewer distinct
-words than the language's usual window. A document is spam if stuffing makes up more than half
-of its characters.
+Method: thresholds on top-word and n-gram shares, duplicate-line share, link-text ratio, separator
+density and missing function words, *calibrated per language*. The shares of a document (its most
+frequent word, its most frequent n-grams of 2 to 4 words, its repeated lines) are compared with
+what is usual in its language, counted over all documents; the function words are those that fill
+the language's long sentences, whatever these are about. Where a share is far above the usual,
+the words and lines that make it so are stuffing; so are lines of links and lists of tags. A
+document is spam if stuffing makes up more than half of its characters.
 """
 
 from __future__ import annotations
@@ -52,27 +52,36 @@ class StuffingLimits:
     fragment_words: int = 7  # a fragment has as many words at most
     ended_fragment_words: int = 5  # and this many if it ends like a sentence
     link_words: int = 8  # words around each link of a link line, at most
-    repeated: int = 3  # times a fragment occurs to count as repeated
-    window: int = 40  # words of the running window
-    least_window: int = 16  # a shorter text has no window
-    monotony: float = 0.52  # of the usual share of distinct words in a window
-    phrase_words: int = 8  # words between marks that a stuffed segment has at most
-    usual: float = 0.8  # that share where a language has no documents
+    repeated: int = 3  # times a fragment without function words occurs to count as repeated
+    repeated_line: int = 4  # and any line
+    least_words: int = 16  # of a text whose shares say anything
+    times_usual: float = 4.0  # a share of as many times the usual one is dominance
+    least_share: tuple[float, ...] = (0.12, 0.16, 0.22, 0.28, 0.5, 0.35)  # but no less than this, in the order of SHARES
+    most_share: tuple[float, ...] = (0.25, 0.3, 0.4, 0.5, 0.75, 0.6)  # and this is enough, whatever is usual
+    phrase_words: int = 8  # words between marks; a segment that has more at a stretch is a sentence or run together
+    dominated: float = 0.33  # of a segment's words in dominant words and n-grams
+    dominated_long: float = 0.5  # and of a segment with a long stretch,
+    distinct_long: float = 0.6  # of whose words no more are distinct
     sentence_words: int = 8  # a long sentence has as many words at least
     function_words: int = 40  # taken of each language
 
 
+SHARES = ("top_word", "top_2gram", "top_3gram", "top_4gram", "repeated_2grams", "repeated_lines")
+
+
 @dataclass
 class Calibration:
-    """What is usual in each language, ``all`` included."""
+    """What is usual in each language, ``all`` included: function words, and the shares of documents that repeat anything."""
 
     function_words: dict[str, frozenset[str]] = field(default_factory=dict)
-    distinct_share: dict[str, float] = field(default_factory=dict)
+    usual: dict[str, dict[str, float]] = field(default_factory=dict)
 
-    def of(self, lang: str, limits: StuffingLimits) -> tuple[frozenset[str], float]:
-        everywhere = self.function_words.get(ALL, frozenset())
-        usual = self.distinct_share.get(lang, self.distinct_share.get(ALL, limits.usual))
-        return self.function_words.get(lang, frozenset()) | everywhere, limits.monotony * usual
+    def of(self, lang: str, limits: StuffingLimits) -> tuple[frozenset[str], tuple[float, ...]]:
+        """The function words of a language and, for each of SHARES, from which value on it is dominance."""
+        everywhere = self.usual.get(ALL, {})
+        usual = [self.usual.get(lang, {}).get(x, everywhere.get(x, 0.0)) for x in SHARES]
+        bounds = tuple(min(most, max(least, limits.times_usual * u)) for u, least, most in zip(usual, limits.least_share, limits.most_share, strict=True))
+        return self.function_words.get(lang, frozenset()) | self.function_words.get(ALL, frozenset()), bounds
 
 
 def language(lang: str | None) -> str:
@@ -81,23 +90,52 @@ def language(lang: str | None) -> str:
     return ALL if label in ("", "un", "al") else label
 
 
-def window_shares(words: list[str], limits: StuffingLimits) -> list[float]:
-    """Share of distinct words in each run of ``window`` words; one value for a shorter text, none for a very short one."""
-    size = min(limits.window, len(words))
-    if size < limits.least_window:
-        return []
-    counts = Counter(words[:size])
-    distinct = len(counts)
-    out = [distinct / size]
-    for gone, new in zip(words, words[size:], strict=False):
-        counts[gone] -= 1
-        distinct -= counts[gone] == 0
-        counts[new] += 1
-        distinct += counts[new] == 1
-        out.append(distinct / size)
+def gram_counts(words: list[str]) -> list[Counter]:
+    """Counts of the n-grams of 1 to 4 words; none longer where no shorter one comes three times."""
+    out = [Counter(words)]
+    for size in range(2, 5):
+        if max(out[-1].values(), default=0) < 3:
+            break
+        out.append(Counter(zip(*(words[i:] for i in range(size)), strict=False)))
     return out
 
 
+def in_grams(words: list[str], grams: set, size: int) -> list[bool]:
+    """Which words are in one of these n-grams of ``size`` words."""
+    marked = [False] * len(words)
+    for at, gram in enumerate(words if size == 1 else zip(*(words[j:] for j in range(size)), strict=False)):
+        if gram in grams:
+            marked[at : at + size] = [True] * size
+    return marked
+
+
+def shares_of(words: list[str], lines: Counter) -> dict[str, float]:
+    """SHARES of a document, without those that are 0: of its words in the most frequent word or n-gram (three times
+    at least) and in all 2-grams that come more than three times, of its lines in repeated ones."""
+    n, counts = len(words), gram_counts(words)
+    out = {x: times * (i + 1) / n for i, (x, c) in enumerate(zip(SHARES, counts, strict=False)) if (times := max(c.values(), default=0)) >= 3}
+    if "top_2gram" in out:
+        out["repeated_2grams"] = sum(in_grams(words, {g for g, times in counts[1].items() if times > 3}, 2)) / n
+    total = sum(lines.values())
+    return out | ({"repeated_lines": 1 - len(lines) / total} if len(lines) < total else {})
+
+
+def dominant_words(words: list[str], function_words: frozenset[str], bounds: tuple[float, ...]) -> list[bool]:
+    """Which words are in a word or n-gram that dominates the document (a function word alone doesn't), or in
+    any 2-gram that comes more than three times, where these together dominate it."""
+    n = len(words)
+    marked = [False] * n
+    for i, counts in enumerate(gram_counts(words)):
+        often = {g for g, times in counts.items() if times >= 3 and times * (i + 1) >= bounds[i] * n and not (i == 0 and g in function_words)}
+        if often:
+            marked = [a or b for a, b in zip(marked, in_grams(words, often, i + 1), strict=True)]
+        if i == 1 and any(times > 3 for times in counts.values()):
+            again = in_grams(words, {g for g, times in counts.items() if times > 3}, 2)
+            if sum(again) >= bounds[4] * n:
+                marked = [a or b for a, b in zip(marked, again, strict=True)]
+    return marked
+
+
 def _tag_list(segment: str, limits: StuffingLimits) -> bool:
     body = _LEAD.sub("", segment)
     for separator, spaced in _SPACED.items():
@@ -115,7 +153,7 @@ def segments_of(text: str) -> list[str]:
     return [s for s in _SPLIT.split(text) if s and not s.isspace()]
 
 
-def stuffing(text: str, function_words: frozenset[str], monotonous: float, limits: StuffingLimits) -> dict[str, float]:
+def stuffing(text: str, function_words: frozenset[str], bounds: tuple[float, ...], limits: StuffingLimits) -> dict[str, float]:
     """Shares of a text's characters by what they are: links, tags, keywords; and their sum as ``stuffed``."""
     segments = segments_of(text)
     sizes = [len("".join(s.split())) for s in segments]
@@ -126,12 +164,8 @@ def stuffing(text: str, function_words: frozenset[str], monotonous: float, limit
     worded = [_WORD.findall(fold(s)) for s in segments]
     lines = Counter(" ".join(w) for w in worded)
     whole = [w for ws in worded for w in ws]
-    marked = [False] * len(whole)
-    shares = window_shares(whole, limits)
-    for start, share in enumerate(shares):
-        if share <= monotonous:
-            end = start + min(limits.window, len(whole))
-            marked[start:end] = [True] * (end - start)
+    marked = dominant_words(whole, function_words, bounds) if len(whole) >= limits.least_words else [False] * len(whole)
+    repetitive = 1 - len(lines) / len(worded) >= bounds[5]
     at = 0
     for segment, size, words in zip(segments, sizes, worded, strict=True):
         dull = sum(marked[at : at + len(words)])
@@ -155,11 +189,15 @@ def stuffing(text: str, function_words: frozenset[str], monotonous: float, limit
         if not words:
             continue
         functional = sum(w in function_words for w in words)
-        longest = max(len(_WORD.findall(x)) for x in _MARKS.split(segment))
-        own = len(set(words)) / len(words) if len(words) >= limits.least_window else 1.0
-        if dull >= 0.5 * len(words) and (longest <= limits.phrase_words or own <= monotonous):
+        times = lines[" ".join(words)]
+        longest = max(len(_WORD.findall(x)) for x in _MARKS.split(segment)) if dull else 0
+        if longest > limits.phrase_words:
+            stuffed = dull >= limits.dominated_long * len(words) and len(set(words)) <= limits.distinct_long * len(words)
+        else:
+            stuffed = dull > limits.dominated * len(words)
+        if stuffed or (repetitive and times >= limits.repeated_line):
             out["keywords"] += size
-        elif functional == 0 and len(words) <= (limits.ended_fragment_words if _ENDED.search(segment.rstrip()) else limits.fragment_words) and lines[" ".join(words)] >= limits.repeated:
+        elif times >= limits.repeated and functional == 0 and len(words) <= (limits.ended_fragment_words if _ENDED.search(segment.rstrip()) else limits.fragment_words):
             out["keywords"] += size
         elif functional <= 0.02 * len(words) and len(words) >= 3 * limits.sentence_words and not _ENDED.search(segment.rstrip()):
             out["tags"] += size
@@ -171,7 +209,7 @@ def stuffing(text: str, function_words: frozenset[str], monotonous: float, limit
 def calibrate(documents: DataFrame, limits: StuffingLimits | None = None) -> Calibration:
     """What is usual in each language, over all documents (text, lang).
 
-    Tasks send counts: words of long sentences by language, and a histogram of window shares.
+    Tasks send counts: words of long sentences by language, and histograms of the shares of documents.
     """
     limits = limits or StuffingLimits()
 
@@ -185,17 +223,19 @@ def calibrate(documents: DataFrame, limits: StuffingLimits | None = None) -> Cal
             for text, lang in zip(part["text"], part["lang"], strict=True):
                 labels = {language(lang), ALL}
                 whole: list[str] = []
+                lines: Counter = Counter()
                 for s in segments_of(text):
-                    raw = _WORD.findall(s)
-                    whole += _WORD.findall(fold(s))
-                    if len(raw) >= limits.sentence_words and _ENDED.search(s.rstrip()):
-                        for w in {fold(w) for w in raw if w.islower()}:
+                    folded = _WORD.findall(fold(s))
+                    whole += folded
+                    lines[" ".join(folded)] += 1
+                    if len(folded) >= limits.sentence_words and _ENDED.search(s.rstrip()):
+                        for w in {fold(w) for w in _WORD.findall(s) if w.islower()}:
                             for label in labels:
                                 counts["word", label, w] += 1
-                shares = window_shares(whole, limits)
-                if shares:
-                    for label in labels:
-                        counts["share", label, f"{sum(shares) / len(shares):.2f}"] += 1
+                if len(whole) >= limits.least_words:
+                    for name, share in shares_of(whole, lines).items():
+                        for label in labels:
+                            counts[name, label, f"{share:.2f}"] += 1
             if len(counts) > 200_000:
                 yield rows()
                 counts.clear()
@@ -204,18 +244,19 @@ def calibrate(documents: DataFrame, limits: StuffingLimits | None = None) -> Cal
     counted = documents.select("text", "lang").filter("text is not null").mapInPandas(count, "what string, lang string, value string, n long")
     sums = counted.groupBy("what", "lang", "value").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("what", "lang").orderBy(F.desc("n"), "value")
-    # At most 40 words and 101 shares a label; labels have two letters.
-    rows = sums.withColumn("r", F.row_number().over(order)).filter((F.col("what") == "share") | (F.col("r") <= limits.function_words)).collect()
+    # At most 40 words and 101 values of each share a label; labels have two letters.
+    rows = sums.withColumn("r", F.row_number().over(order)).filter((F.col("what") != "word") | (F.col("r") <= limits.function_words)).collect()
     out = Calibration()
     for label in {r["lang"] for r in rows}:
         out.function_words[label] = frozenset(r["value"] for r in rows if r["lang"] == label and r["what"] == "word")
-        shares = sorted((float(r["value"]), r["n"]) for r in rows if r["lang"] == label and r["what"] == "share")
-        half, seen = sum(n for _, n in shares) / 2, 0
-        for value, n in shares:
-            seen += n
-            if seen >= half:
-                out.distinct_share[label] = value
-                break
+        for name in SHARES:
+            shares = sorted((float(r["value"]), r["n"]) for r in rows if r["lang"] == label and r["what"] == name)
+            half, seen = sum(n for _, n in shares) / 2, 0
+            for value, n in shares:
+                seen += n
+                if seen >= half:
+                    out.usual.setdefault(label, {})[name] = value
+                    break
     return out
 
 

@@ -204,7 +204,7 @@ SENTENCES = "Boya tabakası dokunma kuruluğuna 33 dakikada ulaşır. Kuru film
 
 def test_stuffing_kinds():
     f, limits = frozenset({"bir", "için", "bu"}), sm.StuffingLimits()
-    share = lambda t: sm.stuffing(t, f, 0.45, limits)["stuffed"]
+    share = lambda t: sm.stuffing(t, f, limits.least_share, limits)["stuffed"]
     assert share("\n".join(f"https://a{i}.example/x" for i in range(9))) == 1
     assert share("ucuz boya > a1.example (3)\nucuz boya : a2.test\n" * 5) == 1
     assert share(" ".join(f"#boya{i}" for i in range(30))) == 1
@@ -221,3 +221,31 @@ def test_spam_table(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in sm.spam_documents(df).collect()) == [2, 5]
     assert sm.stuffed_shares(df).count() == 6 and sm.spam_documents(df.limit(0)).count() == 0
+
+
+PROBE = "Kaliteli boya fiyatları için en iyi ucuz boya fiyatları burada, ucuz boya ve boya fiyatları."
+PHRASE = "Tüm renklerde ve her boyda en uygun kampanyalı iç cephe silikonlu astar boya tiner rulo fırça seçenekleri için bizi hemen arayın."
+KINDS = {  # bounds that no share reaches, but for one; and a text that this one makes spam
+    "repeated_lines": (PROBE + " ") * 12,
+    "top_2gram": " ".join(f"{a} ucuz boya {b}!" for a in ("Bugün", "Hemen", "Uygun") for b in ("burada", "fırsatı", "seçenekleri")),
+    "repeated_2grams": "boya satın al kampanyalı boya markaları online kampanya boya satın al toptan indirim boya markaları toptan indirim " * 8 + "son.",
+}
+
+
+@pytest.mark.parametrize("name", KINDS)
+def test_each_share_decides(name):
+    f, limits = frozenset({"için", "en", "ve", "bizi"}), sm.StuffingLimits()
+    off = tuple(9.0 if x != name else least for x, least in zip(sm.SHARES, limits.least_share, strict=True))
+    assert sm.stuffing(KINDS[name], f, off, limits)["stuffed"] > 0.9
+    assert sm.stuffing(KINDS[name], f, (9.0,) * 6, limits)["stuffed"] == 0
+
+
+def test_a_repeated_long_phrase_is_stuffing_and_a_sentence_said_twice_is_not():
+    f, limits = frozenset({"için", "en", "ve", "her"}), sm.StuffingLimits()
+    assert sm.stuffing((PHRASE + " ") * 6, f, limits.least_share, limits)["stuffed"] == 1.0
+    assert sm.stuffing(SENTENCES + PHRASE + " " + PHRASE, f, limits.least_share, limits)["stuffed"] == 0
+
+
+def test_bounds_follow_the_language():
+    c = sm.Calibration({}, {"tr": {"top_2gram": 0.06}, "all": {"top_2gram": 0.01, "top_word": 0.5}})
+    assert c.of("tr", sm.StuffingLimits())[1] == (0.25, 0.24, 0.22, 0.28, 0.5, 0.35) and c.of("de", sm.StuffingLimits())[1][1] == 0.16
