@@ -198,14 +198,15 @@ def merge_short(pieces: list[str], least_words: int = 15) -> list[str]:
     return out
 
 
-HEADING = r"^(?:#{1,6}\s|\d+(?:\.\d+)*\.?\s+\p{Lu}|[\p{Lu}\d][\p{Lu}\d\s\W]{2,}$)"
+# Fixed value: a line that starts a part: marked, numbered with two digits at most, or in capitals of ASCII.
+HEADING = r"^\s*(#{1,6}\s+.+|\d{1,2}(\.\d{1,2})*\.?\s+[A-Z].{0,80}|[A-Z][A-Z\s\-:]{4,80})\s*$"
 
 
 def structural_units(df: DataFrame, keys: list[str]) -> DataFrame:
     """Units between blank lines: the keys, unit_no, unit, is_heading (of its first line)."""
     units = F.filter(F.transform(F.split("text", r"\n\s*\n"), strip), lambda u: u != "")
     cut = df.select(*keys, F.posexplode(units).alias("unit_no", "unit"))
-    return cut.withColumn("is_heading", F.regexp_extract("unit", r"^[^\n]*", 0).rlike(HEADING))
+    return cut.withColumn("is_heading", strip(F.regexp_extract("unit", r"^[^\n]*", 0)).rlike("(?U)" + HEADING))
 
 
 def semantic_chunks(rows: DataFrame, keys: list[str], text: str, vector: str, order: str, *, percentile: float = 0.9, least: int = 200, most: int = 1800, overlap: int = 100) -> DataFrame:

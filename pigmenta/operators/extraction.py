@@ -19,6 +19,14 @@ SPREAD = rf"{NUM}\s*[-–]\s*{NUM}\s*(m\s?2|m²)"
 SHELF = r"(\d+)\s*(yıl|ay|gün)"
 TEXTURES = r"(lüks\s*parlak|yarı\s*parlak|tam\s*parlak|parlak|yarı\s*mat|tam\s*mat|mat)"
 PLACES = r"(iç\s*cephe|dış\s*cephe)"
+INTRO = r"^##[^\n]*\n(.*?)(?=\n##\s|\z)"
+TITLE = r"##\s*([^\n]+)"
+TRADE_MARKS = "[®™]"
+WATER_BASED, LOW_VOC = r"su\s*bazlı", r"VOC\s*Uyumlu"
+THINNING_MENTION, THINNING_WINDOW = "[İIiı]nceltme", 200
+PERCENT_RANGE = rf"%\s*{NUM}\s*[-–]\s*{NUM}|{NUM}\s*[-–]\s*{NUM}\s*%"
+PERCENT_ONE = rf"%\s*{NUM}|{NUM}\s*%"
+PACKAGE = rf"{NUM}\s*(Litre|litre|L)\b"
 
 
 def find_section(sections: Column, *keywords: str) -> Column:
@@ -36,20 +44,20 @@ def range_unit(text: Column, pattern: str) -> tuple[Column, Column, Column]:
 
 
 def percentage(text: Column) -> Column:
-    """struct lo, hi of a percentage: a range, a single number twice, 0 if a text states none, null without a text."""
-    before, after = rf"%\s*{NUM}\s*[-–]\s*{NUM}", rf"{NUM}\s*[-–]\s*{NUM}\s*%"
-    low = F.coalesce(first_match(text, before, 1), first_match(text, after, 1))
-    high = F.coalesce(first_match(text, before, 2), first_match(text, after, 2))
-    one = F.coalesce(first_match(text, rf"%\s*{NUM}", 1), first_match(text, rf"{NUM}\s*%", 1))
+    """struct lo, hi of a percentage: the first range, else the first single number twice, the mark before
+    or behind it; 0 if a text states none, null without a text."""
+    low = F.coalesce(first_match(text, PERCENT_RANGE, 1), first_match(text, PERCENT_RANGE, 3))
+    high = F.coalesce(first_match(text, PERCENT_RANGE, 2), first_match(text, PERCENT_RANGE, 4))
+    one = F.coalesce(first_match(text, PERCENT_ONE, 1), first_match(text, PERCENT_ONE, 2))
     pair = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
     zero = F.lit(0.0)
     return F.when(text.isNull() | (text == ""), None).when(low.isNotNull() & high.isNotNull(), pair(number(low), number(high))).when(one.isNotNull(), pair(number(one), number(one))).otherwise(pair(zero, zero))
 
 
-def airless_percentage(text: Column, window: int = 200) -> Column:
-    """The percentage within ``window`` characters behind the first mention of thinning; null without a mention."""
-    at = F.regexp_instr(text, F.lit("[İIiı]nceltme"))
-    return F.when(at > 0, percentage(F.substring(text, at + F.char_length(F.lit("inceltme")), F.lit(window))))
+def airless_percentage(text: Column) -> Column:
+    """The percentage within a window behind the first mention of thinning; null without a mention, or with nothing behind it."""
+    at = F.regexp_instr(text, F.lit(THINNING_MENTION))
+    return F.when(at > 0, percentage(F.substring(text, at + F.char_length(F.lit("inceltme")), F.lit(THINNING_WINDOW))))
 
 
 def properties(documents: DataFrame) -> DataFrame:
@@ -59,7 +67,7 @@ def properties(documents: DataFrame) -> DataFrame:
     and texture come from the first section of the first page, values from the sections their
     keywords name; what isn't there is null.
     """
-    intro = strip(first_match(F.col("first_page"), r"^##[^\n]*\n(.*?)(?=\n##\s|\z)", 1))
+    intro = strip(first_match(F.col("first_page"), INTRO, 1))
     parts = F.col("sections")
     drying = find_section(parts, "KURUMA", "SÜRE")
     coverage = F.replace(find_section(parts, "SARFİYAT"), F.lit("\n"), F.lit(" "))
@@ -70,13 +78,13 @@ def properties(documents: DataFrame) -> DataFrame:
     cure = value_unit(drying, CURE)
     spread = range_unit(coverage, SPREAD)
     shelf = value_unit(find_section(parts, "DEPOLAMA"), SHELF)
-    sizes = F.transform(F.regexp_extract_all(packaging, F.lit(rf"(?U){NUM}\s*(?:Litre|litre|L)\b"), F.lit(1)), number)
+    sizes = F.transform(F.regexp_extract_all(packaging, F.lit(f"(?U){PACKAGE}"), F.lit(1)), number)
     thin, spray = percentage(find_section(parts, "ncelt")), airless_percentage(airless)
     return documents.select(
         "doc_id",
-        strip(F.regexp_replace(first_match(F.col("first_page"), r"##\s*([^\n]+)", 1), "[®™]", "")).alias("ürün_adı"),
-        F.coalesce(intro.rlike(FLAGS + r"su\s*bazlı"), F.lit(False)).alias("su_bazlı"),
-        F.coalesce(intro.rlike(FLAGS + r"VOC\s*Uyumlu"), F.lit(False)).alias("voc_uyumlu"),
+        strip(F.regexp_replace(first_match(F.col("first_page"), TITLE, 1), TRADE_MARKS, "")).alias("ürün_adı"),
+        F.coalesce(intro.rlike(FLAGS + WATER_BASED), F.lit(False)).alias("su_bazlı"),
+        F.coalesce(intro.rlike(FLAGS + LOW_VOC), F.lit(False)).alias("voc_uyumlu"),
         F.lower(F.regexp_replace(first_match(intro, PLACES, 1), r"\s+", " ")).alias("kullanım_alanı"),
         first_match(intro, TEXTURES, 1).alias("doku"),
         *[c.alias(f"dokunma_kuruması_{n}") for c, n in zip(touch, ("min", "max", "birimi"), strict=True)],
@@ -93,7 +101,7 @@ def properties(documents: DataFrame) -> DataFrame:
         shelf[0].alias("depolama_süresi"),
         shelf[1].alias("depolama_süresi_birimi"),
         F.coalesce(sizes, F.array().cast("array<double>")).alias("ambalaj_boyutları"),
-        first_match(packaging, rf"{NUM}\s*(Litre|litre|L)\b", 2).alias("ambalaj_boyutları_birimi"),
+        first_match(packaging, PACKAGE, 2).alias("ambalaj_boyutları_birimi"),
     )
 
 

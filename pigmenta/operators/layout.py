@@ -201,43 +201,54 @@ def cut_page(words: list[dict], gap_x: float = 5.0, gap_y: float = 3.0, toleranc
     return list(lines)
 
 
-# What speaks for a heading and against it.
-WEIGHTS = {"bold": 3, "not_bold": -2, "larger": 2, "at_margin": 2, "new_paragraph": 2, "colon": 1, "capitals": 1, "after_space": 1, "mid_sentence": -3, "mixed_bold": -2}
+# What speaks for a heading and against it, and the limits of each.
+WEIGHTS = {"bold": 3, "not_bold": -2, "larger": 2, "at_margin": 2, "new_paragraph": 2, "colon": 2, "capitals": 1, "after_space": 1, "mid_sentence": -3, "mixed_bold": -2}
 HEADING_SCORE = 6
+BOLD_SHARE, LONGEST_HEADING, MARGIN_TOLERANCE, GAP_SIZES = 0.6, 50, 3.0, 1.6
+
+
+def _heading_score(x: Line, before: Line | None, after_break: bool, body: float, ratio: float) -> int:
+    """The score of one line, given the line before it and whether a break lies between."""
+    bold, at_margin, colon = x.bold_ratio >= BOLD_SHARE, abs(x.x0 - x.margin) <= MARGIN_TOLERANCE, x.text.rstrip().endswith(":")
+    space = after_break or (before is not None and x.y0 - before.y1 > GAP_SIZES * before.size)
+    ended = before is not None and before.text.rstrip()[-1:] in SENTENCE_END
+    starts = space or ended or before is None
+    goes_on = before is not None and (wrap_hyphen(before.text, x.text) or (before.heading and bold and at_margin and not ended))
+    facts = {
+        "bold": bold, "not_bold": not bold, "larger": x.size >= ratio * body, "at_margin": at_margin, "new_paragraph": starts, "colon": colon, "capitals": x.text.isupper(),
+        "after_space": space, "mid_sentence": not starts and not goes_on, "mixed_bold": 0 < x.bold_ratio < 1 and not (at_margin and colon),
+    }
+    return sum(WEIGHTS[k] for k, holds in facts.items() if holds)
 
 
 def mark_headings(items: list[Line | str], body: float, ratio: float = 1.1, threshold: int = HEADING_SCORE) -> None:
-    """Sets ``heading`` on the lines that score enough, in order, each seeing what came before it."""
+    """Sets ``heading`` on the lines that score enough, in order, each seeing what came before it.
+
+    A line without a letter or without a word of three characters is none; one with a bold prefix
+    is one whatever its length; others have 50 characters at most.
+    """
     before: Line | None = None
     after_break = True
     for x in items:
         if isinstance(x, str):
             after_break = True
             continue
-        tokens = x.text.split()
-        if x.prefix is not None:
-            x.heading = True
-        elif any(c.isalpha() for c in x.text) and any(len(t) >= 3 and any(c.isalpha() for c in t) for t in tokens) and len(x.text) <= 50:
-            space = before is None or x.y0 - before.y1 > 0.5 * max(1.0, x.y1 - x.y0)
-            ended = before is None or before.text.rstrip()[-1:] in SENTENCE_END or before.heading
-            wraps = before is not None and before.heading and not space and before.size == x.size and x.bold_ratio >= 0.5
-            at_margin, colon = abs(x.x0 - x.margin) <= 3, x.text.rstrip().endswith(":")
-            score = WEIGHTS["bold"] if x.bold_ratio >= 0.5 else WEIGHTS["not_bold"]
-            score += WEIGHTS["larger"] * (x.size >= ratio * body)
-            score += WEIGHTS["at_margin"] * at_margin
-            score += WEIGHTS["new_paragraph"] * (after_break or ended or wraps)
-            score += WEIGHTS["colon"] * colon
-            score += WEIGHTS["capitals"] * (x.text.upper() == x.text)
-            score += WEIGHTS["after_space"] * space
-            score += WEIGHTS["mid_sentence"] * (not ended and not after_break and not wraps)
-            score += WEIGHTS["mixed_bold"] * (0 < x.bold_ratio < 1 and not (at_margin and colon))
-            x.heading = score >= threshold
+        if not x.text.strip():
+            continue
+        worded = any(len(t) >= 3 and any(c.isalpha() for c in t) for t in x.text.replace(":", " ").split())
+        short = len(x.text.strip()) <= LONGEST_HEADING
+        x.heading = worded and (x.prefix is not None or (short and _heading_score(x, before, after_break, body, ratio) >= threshold))
         before, after_break = x, False
 
 
+def wrap_hyphen(a: str, b: str) -> bool:
+    """Whether a line ends with a letter and a hyphen and the next one goes on in lower case."""
+    return bool(re.search(r"[^\W\d_]-\s*$", a)) and b.lstrip()[:1].islower()
+
+
 def wrap_joined(a: str, b: str) -> str:
     """Two lines of one text: glued over a hyphen between letters if the second begins in lower case."""
-    if re.search(r"[^\W\d_]-\s*$", a) and b.lstrip()[:1].islower():
+    if wrap_hyphen(a, b):
         return re.sub(r"-\s*$", "", a) + b.lstrip()
     return f"{a} {b}"
 
@@ -329,33 +340,43 @@ def without_boilerplate(pages: DataFrame, doc: str, page: str, *, least_pages: i
     return lines.withColumn("key", key).join(often, [doc, "key"], "left_anti").drop("key")
 
 
+SECTION = "struct<heading:string,body:string>"
+
+
+def page_sections(pages: DataFrame) -> DataFrame:
+    """Adds ``parts``, array<struct<heading, body>>: the "## " headings of each page, by array expressions alone.
+
+    Text before the first heading is left out. Of equal headings all have the body of the last.
+    A heading without a body is joined with the next one, whatever that has; the last of a page
+    stays as it is. A null text has null parts.
+    """
+    pieces = F.split(F.concat(F.lit("\n"), "text"), "\n## ", -1)
+    section = lambda p: F.struct(strip(F.regexp_extract(p, r"^[^\n]*", 0)).alias("heading"), strip(F.regexp_replace(p, r"^[^\n]*", "")).alias("body"))
+    cut = pages.withColumn("_cut", F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), section))
+    last_body = lambda x: F.element_at(F.filter("_cut", lambda y: y["heading"] == x["heading"]), -1)["body"]
+    distinct = F.size(F.array_distinct(F.transform("_cut", lambda x: x["heading"]))) == F.size("_cut")
+    once = F.when(distinct, F.col("_cut")).otherwise(F.transform("_cut", lambda x: F.struct(x["heading"].alias("heading"), last_body(x).alias("body"))))
+    cut = cut.withColumn("_cut", once).withColumn("_cut", F.transform("_cut", lambda x, i: F.struct(x["heading"].alias("heading"), x["body"].alias("body"), (i == F.size("_cut") - 1).alias("last"))))
+    state = f"struct<out:array<{SECTION}>,held:string>"
+
+    def fold(acc: Column, x: Column) -> Column:
+        add = lambda heading: F.struct(F.concat(acc["out"], F.array(F.struct(heading.alias("heading"), x["body"].alias("body")))).alias("out"), F.lit(None).cast("string").alias("held")).cast(state)
+        hold = F.struct(acc["out"].alias("out"), x["heading"].alias("held")).cast(state)
+        return F.when(acc["held"].isNotNull(), add(strip(F.concat(acc["held"], F.lit(" "), x["heading"])))).when((x["body"] == "") & ~x["last"], hold).otherwise(add(x["heading"]))
+
+    start = F.struct(F.array().cast(f"array<{SECTION}>").alias("out"), F.lit(None).cast("string").alias("held")).cast(state)
+    return cut.withColumn("parts", F.aggregate("_cut", start, fold)["out"]).drop("_cut")
+
+
 def sections(pages: DataFrame, doc: str, order: list[str]) -> DataFrame:
-    """Sections of the "## " headings in a document's text: doc, section_no, heading, body.
+    """Sections of a document, page by page: doc, section_no, heading, body.
 
-    Text before the first heading is left out; a heading without a body is put before the next
-    one's; of equal headings the last stands, at the place of the first; the last heading may be
-    without a body.
+    See :func:`page_sections`; of equal headings of a document the last stands, at the place of the first.
     """
-    is_heading = lambda line: line.startswith("## ")
-    counts = pages.select(doc, *order, F.size(F.filter(F.split("text", "\n"), is_heading)).alias("n"))
-    offsets = totals_before(counts, [doc], order, ["n"]).drop("n")
-    lines = pages.select(doc, *order, "text").join(offsets, [doc, *order]).select(doc, *order, "n_before", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    on_page = Window.partitionBy(doc, *order).orderBy("line_no")
-    numbered = lines.withColumn("is_heading", is_heading(F.col("line"))).withColumn("no", F.col("n_before") + F.sum(F.col("is_heading").cast("int")).over(on_page)).filter("no > 0")
-    title = strip(F.regexp_replace("line", r"^##\s+", ""))
-    part = F.when(~F.col("is_heading"), F.struct(*order, "line_no", "line"))
-    folded = numbered.groupBy(doc, "no").agg(
-        F.max(F.when(F.col("is_heading"), title)).alias("title"), strip(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["line"]), "\n")).alias("body")
-    )
-    # A run of headings without a body belongs to the next one with a body (or to the last).
-    full = numbered.groupBy(doc, "no").agg(F.max((~F.col("is_heading") & (strip(F.col("line")) != "")).cast("int")).alias("full"))
-    runs = totals_before(full, [doc], ["no"], ["full"]).select(doc, "no", F.col("full_before").alias("run"))
-    joined = (
-        folded.join(runs, [doc, "no"])
-        .groupBy(doc, "run")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "title"))), lambda x: x["title"]), " ").alias("heading"), F.max("body").alias("body"))
-    )
-    return joined.groupBy(doc, "heading").agg(F.min("run").alias("section_no"), F.max_by("body", "run").alias("body")).select(doc, "section_no", "heading", "body")
+    each = page_sections(pages.select(doc, *order, "text")).select(doc, *order, F.posexplode("parts").alias("pos", "x"))
+    place = F.struct(*order, "pos")
+    once = each.groupBy(doc, F.col("x.heading").alias("heading")).agg(F.max_by("x.body", place).alias("body"), F.min(place).alias("first"))
+    return totals_before(once.select(doc, "heading", "body", "first", F.lit(1).alias("n")), [doc], ["first"], ["n"]).select(doc, F.col("n_before").alias("section_no"), "heading", "body")
 
 
 def font_sections(blocks: DataFrame, doc: str, order: list[str], *, factor: float = 1.15) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pigmenta.plans import metadata_queries, retrieval_queries, text_queries
+from pigmenta.plans import metadata_queries, retrieval_queries, text_queries, worked_cases
 
-_MODULES = (text_queries, retrieval_queries, metadata_queries)
+_MODULES = (text_queries, retrieval_queries, metadata_queries, worked_cases)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -12,6 +12,7 @@ from pigmenta.session import table
 from pigmenta.sources import readers, store
 
 STRIP = r"regexp_replace(regexp_replace({x}, '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '')"
+SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 SQL: dict[str, str] = {}
 
 
@@ -105,8 +106,8 @@ def unit_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["unit_headings"] = rf"""
-WITH u AS ({SQL['structural_units']}), f AS (SELECT page_id, regexp_extract(unit, '^[^\n]*') AS line FROM u)
-SELECT page_id, count(*) FILTER (regexp_matches(line, '^(?:#{{1,6}}\s|\d+(?:\.\d+)*\.?\s+\p{{Lu}}|[\p{{Lu}}\d][\p{{Lu}}\d\s\W]{{2,}}$)')) AS headings, count(*) AS units FROM f GROUP BY page_id"""
+WITH u AS ({SQL['structural_units']}), f AS (SELECT page_id, {strip_sql("regexp_extract(unit, '^[^' || chr(10) || ']*')")} AS line FROM u)
+SELECT page_id, count(*) FILTER (regexp_matches(line, '^{SPACE_CLASS}*(#{{1,6}}{SPACE_CLASS}+.+|[0-9]{{1,2}}(\.[0-9]{{1,2}})*\.?{SPACE_CLASS}+[A-Z].{{0,80}}|[A-Z]([A-Z\-:]|{SPACE_CLASS}){{4,80}}){SPACE_CLASS}*$')) AS headings, count(*) AS units FROM f GROUP BY page_id"""
 
 
 def size_constraints(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +148,6 @@ def noise_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "blocks").filter("text is not null").select("block_id", layout.noise_tenths(F.col("text")).alias("tenths"))
 
 
-SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 NOISE = rf"""
 CASE WHEN t = '' THEN 10 ELSE least(10,
   CASE WHEN NOT regexp_matches(t, '[.!?]$') THEN 3 ELSE 0 END
@@ -196,12 +196,16 @@ def sections_from_headings(spark: SparkSession, d: str) -> DataFrame:
 
 SECTIONS = rf"""
 l AS (SELECT source, page_number, page_id, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT *, string_split(text, chr(10)) AS x FROM pages WHERE text IS NOT NULL)),
-g AS (SELECT *, starts_with(line, '## ') AS h, sum(CAST(starts_with(line, '## ') AS INTEGER)) OVER (PARTITION BY source ORDER BY page_number, page_id, line_no) AS no FROM l),
-b AS (SELECT source, no, max(CASE WHEN h THEN {strip_sql("regexp_replace(line, '^##[\\s]+', '')")} END) AS title,
-    {strip_sql("coalesce(string_agg(line, chr(10) ORDER BY page_number, page_id, line_no) FILTER (NOT h), '')")} AS body FROM g WHERE no > 0 GROUP BY source, no),
-r AS (SELECT *, coalesce(sum(CAST(body <> '' AS INTEGER)) OVER (PARTITION BY source ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM b),
-j AS (SELECT source, run, string_agg(title, ' ' ORDER BY no) AS heading, max(body) AS body FROM r GROUP BY source, run),
-sections AS (SELECT source, CAST(min(run) OVER (PARTITION BY source, heading) AS BIGINT) AS section_no, heading, body FROM j QUALIFY run = max(run) OVER (PARTITION BY source, heading))
+g AS (SELECT *, starts_with(line, '## ') AS h, sum(CAST(starts_with(line, '## ') AS INTEGER)) OVER (PARTITION BY page_id ORDER BY line_no) AS no FROM l),
+b AS (SELECT source, page_number, page_id, no, max(CASE WHEN h THEN {strip_sql("substring(line, 4)")} END) AS title,
+    {strip_sql("coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT h), '')")} AS own FROM g WHERE no > 0 GROUP BY ALL),
+lb AS (SELECT *, last_value(own) OVER (PARTITION BY page_id, title ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS body FROM b),
+r AS (SELECT *, no - coalesce(max(CASE WHEN body <> '' THEN no END) OVER (PARTITION BY page_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS in_run,
+    lead(title) OVER w AS next_title, lead(body) OVER w AS next_body, lag(body) OVER w AS prev_body FROM lb WINDOW w AS (PARTITION BY page_id ORDER BY no)),
+j AS (SELECT source, page_number, page_id, no, CASE WHEN body = '' AND next_title IS NOT NULL THEN {strip_sql("title || ' ' || next_title")} ELSE title END AS heading, CASE WHEN body = '' AND next_title IS NOT NULL THEN next_body ELSE body END AS body
+    FROM r WHERE in_run % 2 = 1),
+first_last AS (SELECT source, heading, min((page_number, page_id, no)) AS first, max_by(body, (page_number, page_id, no)) AS body FROM j GROUP BY ALL),
+sections AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY first) - 1 AS section_no, heading, body FROM first_last)
 """
 SQL["sections_from_headings"] = f"WITH {SECTIONS} SELECT source, section_no, heading, body FROM sections"
 
