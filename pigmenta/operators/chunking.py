@@ -31,32 +31,31 @@ def parent_child(pages: DataFrame, parent_size: int = 1024, parent_overlap: int
     parent and counted over the source; ``chunk_index`` is the place within the parent.
     """
     parents = sliding_pieces(F.col("text"), parent_size, parent_overlap)
-    nested = F.transform(parents, lambda p: sliding_pieces(p, child_size, child_overlap))
-    rows = pages.select("source", "page_number", "page_id", parents.alias("parents"), nested.alias("nested")).filter(F.size("parents") > 0)
+    # Pieces are cut once: a struct column that nothing above it can be folded into.
+    cut = pages.select("source", "page_number", "page_id", F.explode(F.array(parents)).alias("parents")).filter(F.size("parents") > 0)
+    cut = cut.select("source", "page_number", "page_id", F.explode(F.array(F.transform("parents", lambda p: F.struct(p.alias("parent_text"), sliding_pieces(p, child_size, child_overlap).alias("nested"))))).alias("cut"))
     # Counters over a source come from counts of its pages, which are narrow.
-    counts = rows.select("source", "page_number", "page_id", F.size("parents").alias("p"), F.aggregate("nested", F.lit(0), lambda n, c: n + F.size(c)).alias("c"))
+    counts = cut.select("source", "page_number", "page_id", F.size("cut").alias("p"), F.aggregate("cut", F.lit(0), lambda n, c: n + F.size(c["nested"])).alias("c"))
     offsets = totals_before(counts, ["source"], ["page_number", "page_id"], ["p", "c"]).select("page_id", "p_before", "c_before")
-    starts = F.aggregate("nested", F.array(F.lit(0)), lambda n, c: F.concat(n, F.array(F.element_at(n, -1) + F.size(c))))
-    placed = rows.join(offsets, "page_id").withColumn("starts", starts)
-    each = placed.select("source", "page_number", "page_id", "p_before", "c_before", "starts", F.posexplode(F.arrays_zip("parents", "nested")).alias("pos", "x"))
+    starts = F.aggregate("cut", F.array(F.lit(0)), lambda n, c: F.concat(n, F.array(F.element_at(n, -1) + F.size(c["nested"]))))
+    placed = cut.join(offsets, "page_id").withColumn("starts", starts)
+    each = placed.select("source", "page_number", "page_id", "p_before", "c_before", "starts", F.posexplode("cut").alias("pos", "x"))
     children = each.select(
         "source",
         "page_number",
         "page_id",
         (F.col("p_before") + F.col("pos")).alias("parent_no"),
-        F.col("x.parents").alias("parent_text"),
+        F.col("x.parent_text").alias("parent_text"),
         (F.col("c_before") + F.get("starts", F.col("pos"))).alias("first"),
         F.posexplode("x.nested").alias("chunk_index", "text"),
     )
-    counted = children.withColumn("child_no", F.col("first") + F.col("chunk_index")).drop("first")
+    return numbered_ids(children.withColumn("child_no", F.col("first") + F.col("chunk_index")).drop("first").withColumn("chunk_length", F.char_length("text")))
+
+
+def numbered_ids(chunks: DataFrame) -> DataFrame:
+    """Adds parent_id and child_id: the source without its suffix, and the number of the parent or child in it."""
     stem = F.regexp_replace("source", r"\.[^.]+$", "")
-    return counted.withColumns(
-        {
-            "parent_id": F.concat(stem, F.lit("_parent_"), F.col("parent_no")),
-            "child_id": F.concat(stem, F.lit("_child_"), F.col("child_no")),
-            "chunk_length": F.char_length("text"),
-        }
-    )
+    return chunks.withColumns({"parent_id": F.concat(stem, F.lit("_parent_"), F.col("parent_no")), "child_id": F.concat(stem, F.lit("_child_"), F.col("child_no"))})
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column | str]) -> DataFrame:

@@ -63,6 +63,45 @@ def test_stream_ingests_each_source_once(spark, tmp_path):
     assert first == children.count() == 2
 
 
+PAGE = "page_id long, source string, page_number int, text string"
+
+
+def test_later_pages_of_a_source_are_kept(spark, tmp_path):
+    for n, ids in enumerate([(1, 2), (3, 4), (4, 5)]):
+        spark.createDataFrame([(i, "s.pdf", i, chr(96 + i) * 300) for i in ids], PAGE).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    children, parents = (store.Collection(spark, str(tmp_path / x)) for x in ("children", "parents"))
+    ingest.ingest_stream(spark, str(tmp_path / "in/*"), children, str(tmp_path / "state"), parents, embed=providers.hashing_embedder(8), files_a_batch=1).awaitTermination()
+    rows = children.read().collect()
+    assert sorted({r["page_id"] for r in rows}) == [1, 2, 3, 4, 5] and len({r["id"] for r in rows}) == len(rows) == 10 and all(len(r["embedding"]) == 8 for r in rows)
+    assert sorted(r["id"] for r in parents.read().collect()) == [f"s_parent_{i}" for i in range(5)]
+
+
+def test_a_batch_written_again_changes_nothing(spark, tmp_path):
+    children = store.Collection(spark, str(tmp_path / "c"))
+    first, second = (spark.createDataFrame([(i, "s.pdf", i, "x" * 300)], PAGE) for i in (1, 2))
+    ingest.ingest(first, children, batch_no=0)
+    ingest.ingest(second, children, batch_no=1)
+    before = sorted(map(tuple, children.read().collect()))
+    ingest.ingest(second, children, batch_no=1)
+    assert sorted(map(tuple, children.read().collect())) == before and len(before) == 4
+
+
+def test_a_crash_in_an_upsert_loses_nothing(spark, tmp_path, monkeypatch):
+    c = store.Collection(spark, str(tmp_path / "c"))
+    c.add(spark.createDataFrame([("a", 1)], "id string, v int"))
+
+    def crash(version):
+        raise OSError("lost")
+
+    monkeypatch.setattr(c, "_switch", crash)
+    with pytest.raises(OSError, match="lost"):
+        c.upsert(spark.createDataFrame([("a", 2)], "id string, v int"), "v")
+    monkeypatch.undo()
+    assert [tuple(r) for r in c.read().collect()] == [("a", 1)]
+    c.upsert(spark.createDataFrame([("a", 3), ("b", 1)], "id string, v int"), "v")
+    assert sorted(tuple(r) for r in c.read().collect()) == [("a", 3), ("b", 1)]
+
+
 def test_hot_aware_join_keeps_rows(spark):
     rows = spark.range(2000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
