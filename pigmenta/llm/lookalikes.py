@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pigmenta.session import cut_lineage
+from pigmenta.session import attach_hot_aware, cut_lineage
 
 # Letters of other scripts that are drawn like a Latin letter, before it.
 DRAWN_ALIKE = (
@@ -157,8 +157,6 @@ def look_alike_map(counts: dict[str, int]) -> dict[str, str]:
 class Rewriter:
     """Rewrites texts by a map of patterns; picklable, the automaton is built where it is used."""
 
-    passes = 8  # each but the first only follows up what the one before brought together
-
     def __init__(self, rewrite: dict[str, str]) -> None:
         self.rewrite = rewrite
         self.automaton = None
@@ -170,8 +168,13 @@ class Rewriter:
         self.__init__(rewrite)
 
     def __call__(self, text: str | None) -> str | None:
-        """``text`` in its consistent form; null stays null. Passes repeat until nothing changes,
-        as taking out an invisible character can bring a letter and its mark together."""
+        """``text`` in its consistent form; null stays null.
+
+        Passes repeat until nothing changes, as taking out an invisible character can bring a letter
+        and its mark together. What a pass puts in is no pattern by itself, so it only changes again
+        with its neighbours, and then becomes shorter; were passes to come back to a text all the
+        same, the smallest text of the cycle is the form of all of them.
+        """
         if text is None or not self.rewrite:
             return text
         if self.automaton is None:
@@ -179,7 +182,8 @@ class Rewriter:
             for k, v in self.rewrite.items():
                 self.automaton.add_word(k, (len(k), v))
             self.automaton.make_automaton()
-        for _ in range(self.passes):
+        seen: list[str] = []
+        while True:
             text = unicodedata.normalize("NFC", text) if not text.isascii() else text
             out, last = [], 0
             for end, (length, to) in self.automaton.iter_long(text):
@@ -187,21 +191,25 @@ class Rewriter:
                 last = end + 1
             if not out:
                 return text
+            if text in seen:
+                return min(seen[seen.index(text) :])
+            seen.append(text)
             out.append(text[last:])
             text = "".join(out)
-        return text
 
 
 MARKED = re.compile("[^\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f][\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 
 
 def count_forms(texts: Iterable[str]) -> Counter:
-    """Frequencies of code points and of code points with their combining marks."""
+    """Frequencies of code points and of code points with a combining mark: of each mark in a stack of them, so
+    there are no more forms than pairs of code points, whatever the texts."""
     counts: Counter = Counter()
     for text in texts:
         counts.update(text)
         if not text.isascii():
-            counts.update(MARKED.findall(text))
+            for stack in MARKED.findall(text):
+                counts.update(stack[0] + mark for mark in stack[1:])
     return counts
 
 
@@ -234,30 +242,65 @@ def canonical_forms(records: DataFrame) -> DataFrame:
     return records.withColumn("form", rewrite(F.col("text")))
 
 
+PART = 10_000  # rows of one key that are joined together
+
+
+def _keyed(records: DataFrame) -> DataFrame:
+    """field_name, form_id, text_id, key of records with a text to see and a key; written once, so no text is rewritten for each use."""
+    formed = canonical_forms(records.select("field_name", "key", "text").filter("field_name is not null and text is not null and key is not null"))
+    return cut_lineage(
+        formed.filter(F.regexp_replace("form", r"(?U)^\s+$", "") != "")
+        .select(F.xxhash64("field_name").alias("_field"), "field_name", F.sha2("form", 256).alias("form_id"), F.sha2("text", 256).alias("text_id"), "key")
+        .select("field_name", F.concat_ws("/", "_field", "form_id").alias("form_id"), F.concat_ws("/", "_field", "text_id").alias("text_id"), "key")
+        .distinct()
+    )
+
+
+def _parts(n: str) -> F.Column:
+    return F.ceil(F.col(n) / PART).cast("int")
+
+
+def _classes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts with the number of their records, and classes of more than one text with the number of texts and records."""
+    texts = keyed.groupBy("field_name", "form_id", "text_id").agg(F.count("*").alias("n"))
+    return texts, texts.groupBy("form_id").agg(F.count("*").alias("texts"), F.sum("n").alias("records")).filter("texts > 1")
+
+
+def look_alike_classes(records: DataFrame) -> DataFrame:
+    """One row a record whose text looks like another text of its field: field_name, key, class_id, texts, records.
+
+    ``texts`` and ``records`` are those of the class. Records as in :func:`look_alike_pairs`; rows
+    grow with the records, not with their pairs.
+    """
+    keyed = _keyed(records)
+    _, classes = _classes(keyed)
+    members = attach_hot_aware(keyed, classes, "form_id", "records")
+    return members.select("field_name", "key", F.col("form_id").alias("class_id"), "texts", "records")
+
+
 def look_alike_pairs(records: DataFrame) -> DataFrame:
     """Pairs of keys of one field whose texts look the same and are not the same string.
 
     ``records``: field_name, key, text. Null and blank texts make no pair, a key makes none with
     itself, repeated rows count once. Within a class only texts that differ are brought
-    together, so exact copies are never paired; the rows given out are those asked for.
+    together, so exact copies are never paired; the rows given out are those asked for. A class of
+    many texts and a text of many records are joined in parts of PART rows.
     """
-    formed = canonical_forms(records.select("field_name", "key", "text").filter(F.col("text").isNotNull() & F.col("key").isNotNull()))
-    # Hashes and keys are narrow; written once, no text is rewritten for each of their uses.
-    keyed = cut_lineage(
-        formed.filter(F.regexp_replace("form", r"(?U)^\s+$", "") != "")
-        .select("field_name", F.sha2("form", 256).alias("form_id"), F.sha2("text", 256).alias("text_id"), "key")
-        .distinct()
-    )
-    texts = keyed.groupBy("field_name", "form_id", "text_id").agg(F.count("*").alias("n"))
-    classes = texts.groupBy("field_name", "form_id").agg(F.count("*").alias("texts")).filter("texts > 1").drop("texts")
-    mixed = texts.join(classes, ["field_name", "form_id"]).select("field_name", "form_id", "text_id")
-    other = mixed.withColumnRenamed("text_id", "other_id")
-    links = mixed.join(other, ["field_name", "form_id"]).filter("text_id < other_id").select("field_name", "text_id", "other_id")
-    left = keyed.select("field_name", "text_id", F.col("key").alias("key_1"))
-    right = keyed.select("field_name", F.col("text_id").alias("other_id"), F.col("key").alias("key_2"))
+    keyed = _keyed(records)
+    texts, classes = _classes(keyed)
+    mixed = cut_lineage(attach_hot_aware(texts, classes.drop("records"), "form_id", "texts"))
+    # Texts of a class: parts of it against the whole, the other way round for the same two only once.
+    one = mixed.select("form_id", "field_name", "text_id", "n", F.pmod(F.xxhash64("text_id"), _parts("texts")).cast("int").alias("part"))
+    other = mixed.select("form_id", F.col("text_id").alias("other_id"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), _parts("texts") - 1)).alias("part"))
+    links = one.join(other, ["form_id", "part"]).filter("text_id < other_id").select("field_name", "text_id", "n", "other_id", "m")
+    # Keys of both texts: parts of the one against parts of the other.
+    held = attach_hot_aware(keyed.select("text_id", "key"), mixed.select("text_id", "n"), "text_id", "n").select("text_id", "key", F.pmod(F.xxhash64("key"), _parts("n")).cast("int").alias("part"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), _parts(n) - 1))
+    left = links.withColumn("a", every("n")).join(held.select("text_id", F.col("part").alias("a"), F.col("key").alias("key_1")), ["text_id", "a"]).withColumn("b", every("m"))
+    right = links.withColumn("b", every("m")).join(held.select(F.col("text_id").alias("other_id"), F.col("part").alias("b"), F.col("key").alias("key_2")), ["other_id", "b"]).withColumn("a", every("n"))
     return (
-        links.join(left, ["field_name", "text_id"])
-        .join(right, ["field_name", "other_id"])
+        left.select("field_name", "text_id", "other_id", "a", "b", "key_1")
+        .join(right.select("text_id", "other_id", "a", "b", "key_2"), ["text_id", "other_id", "a", "b"])
         .filter("key_1 <> key_2")
         .select("field_name", F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b"))
         .distinct()

@@ -21,6 +21,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_alike_pairs(_named_texts(spark, d))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.look_alike_classes(_named_texts(spark, d))
+
+
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_forms(_named_texts(spark, d))
 
@@ -118,5 +122,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_records, p4_found, p4_similar, p5_found, p5_statistics, p6_found, p7_found, p7_coverage, p8_shares, p8_mixture, p9_found, p9_shares)
+    for f in (p1_found, p1_classes, p1_forms, p2_found, p2_pieces, p3_found, p3_records, p4_found, p4_similar, p5_found, p5_statistics, p6_found, p7_found, p7_coverage, p8_shares, p8_mixture, p9_found, p9_shares)
 }

@@ -40,6 +40,30 @@ def test_repeated_rows_and_hot_text_count_once(spark):
     assert len(pairs(spark, rows)) == 300
 
 
+def test_parts_of_hot_texts_and_classes_give_the_same_pairs(spark, monkeypatch):
+    rows = [("f", f"{i:02d}", "abc") for i in range(25)] + [("f", f"v{i}", "ab" + "\u200b" * (i + 1) + "c") for i in range(14)] + [("g", "00", "abc"), ("g", "z", "другое")]
+    whole = pairs(spark, rows)
+    assert len(whole) == 25 * 14 + 14 * 13 // 2
+    monkeypatch.setattr(la, "PART", 4)
+    assert pairs(spark, rows) == whole
+    got = la.look_alike_classes(spark.createDataFrame(rows, RECORDS)).collect()
+    assert len(got) == 39 and {(r["texts"], r["records"]) for r in got} == {(15, 39)} and len({r["class_id"] for r in got}) == 1
+
+
+def test_stacked_marks_give_pairs_not_stacks():
+    marks = [chr(0x300 + i) for i in range(20)]
+    forms = la.count_forms(["a" + "".join(marks[i:]) for i in range(19)])
+    assert len(forms) == 1 + 20 + 20 and all(len(f) <= 2 for f in forms)
+
+
+def test_rewriting_goes_on_until_nothing_changes():
+    text = "a" + "".join("\u200b" + chr(0x300 + i % 2) for i in range(40)) + "ﬁ"
+    rewrite = la.Rewriter(la.look_alike_map(la.count_forms([text])))
+    assert rewrite(rewrite(text)) == rewrite(text) and "\u200b" not in rewrite(text)
+    loop = la.Rewriter({"x": "y", "y": "x"})
+    assert loop("x") == loop("y") == "x"
+
+
 def test_forms_keep_rows_and_other_columns(spark):
     df = spark.createDataFrame([("á", 1, "old"), (None, 2, "old"), ("", 3, "old")], "text string, n int, form string")
     got = {r["n"]: r["form"] for r in la.canonical_forms(df).collect()}
@@ -87,6 +111,14 @@ def test_cuts_against_definition(text, limit, overlap):
     check_cuts(text, limit, overlap)
 
 
+def test_the_table_follows_the_window():
+    text = "Bir cümle var. " * 3000
+    assert sp.StretchMaximum(sp.boundary_strengths(text), 101).strongest(40_000, 40_100) == sp.RangeMaximum(sp.boundary_strengths(text), 101).strongest(40_000, 40_100)
+    index = sp.StretchMaximum(sp.boundary_strengths(text), 101)
+    index.strongest(40_000, 40_100)
+    assert sum(len(x) for x in index.index.levels) <= 8 * 405
+
+
 def test_long_texts():
     check_cuts("kelime " * 20_000, 1000, 100)
     check_cuts("x" * 50_000, 1000, 100)
