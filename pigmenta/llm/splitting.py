@@ -34,7 +34,7 @@ def boundary_strengths(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     n = len(codes)
     space = np.isin(codes, [ord(c) for c in SPACES])
-    strength = np.zeros(n + 1, dtype=np.int64)
+    strength = np.zeros(n + 1, dtype=np.int8)
     if not n:
         return strength
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
@@ -57,7 +57,7 @@ class RangeMaximum:
 
     def __init__(self, strength: np.ndarray, longest: int) -> None:
         self.base = len(strength) + 1
-        self.levels = [strength * self.base + np.arange(len(strength))]
+        self.levels = [strength.astype(np.int64) * self.base + np.arange(len(strength))]
         width = 1
         while 2 * width <= min(longest, len(strength)):
             row = self.levels[-1]
@@ -72,6 +72,22 @@ class RangeMaximum:
         return divmod(best, self.base)
 
 
+class StretchMaximum:
+    """Range maximum for windows that move on: the table is built over a stretch of a few windows at a time,
+    so it takes no more memory for a long text than for one of four windows."""
+
+    def __init__(self, strength: np.ndarray, longest: int) -> None:
+        self.strength, self.longest, self.first, self.last = strength, longest, 0, -1
+
+    def strongest(self, first: int, last: int) -> tuple[int, int]:
+        """(strength, place) over first..last, both included."""
+        if first < self.first or last > self.last:
+            self.first, self.last = first, min(len(self.strength) - 1, first + 4 * self.longest)
+            self.index = RangeMaximum(self.strength[self.first : self.last + 1], self.longest)
+        force, at = self.index.strongest(first - self.first, last - self.first)
+        return force, at + self.first
+
+
 def plan_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at the end) of each piece of ``text``; offsets in code points.
 
@@ -88,17 +104,21 @@ def plan_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]
     if n <= limit:
         return [(0, n, PARAGRAPH + 1)]
     strength = boundary_strengths(text)
-    index = RangeMaximum(strength, limit + 1)
-    solid = [i for i, c in enumerate(text) if c not in SPACES]
-    if not solid:
+    index = StretchMaximum(strength, limit + 1)
+    space = np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), [ord(c) for c in SPACES])
+    solid = np.flatnonzero(~space).astype(np.int32 if n < 1 << 31 else np.int64)
+    if not len(solid):
         return [(0, limit, WORD)]
-    first_solid = np.full(n + 1, n, dtype=np.int64)
-    first_solid[solid] = solid
-    first_solid = np.minimum.accumulate(first_solid[::-1])[::-1]
-    word_starts = np.array([i for i in solid if i == 0 or text[i - 1] in SPACES], dtype=np.int64)
-    end_of_text = solid[-1] + 1
+    word_starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])).astype(solid.dtype)
+    end_of_text = int(solid[-1]) + 1
+
+    def first_solid(at: int) -> int:
+        """The first place from ``at`` on that is no white space; the end of the text if there is none."""
+        k = int(np.searchsorted(solid, at))
+        return int(solid[k]) if k < len(solid) else n
+
     pieces = []
-    start, done = int(first_solid[0]), int(first_solid[0])
+    start = done = first_solid(0)
     while True:
         if end_of_text - start <= limit:
             pieces.append((start, end_of_text, PARAGRAPH + 1))
@@ -109,8 +129,8 @@ def plan_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]
         force, cut = index.strongest(low, top) if low <= top else (0, 0)
         if not force:
             force, cut = index.strongest(least, top) if least <= top else (0, 0)
-        if not force and start < first_solid[done]:
-            start = int(first_solid[done])
+        if not force and start < first_solid(done):
+            start = first_solid(done)
             continue
         if not force:
             cut = top
@@ -118,7 +138,7 @@ def plan_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]
         done = cut
         back = max(cut - overlap, start + 1)
         k = int(np.searchsorted(word_starts, back))
-        start = int(min(word_starts[k] if k < len(word_starts) else n, first_solid[cut]))
+        start = int(min(word_starts[k] if k < len(word_starts) else n, first_solid(cut)))
         if not force and start >= cut:
             start = back
 
@@ -176,8 +196,8 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
 def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Distinct (field_name, item_key, forced) of items that are longer than their limit.
 
-    Read off the cutting plans: an item was over the limit if the plan leaves any of it out of
-    its first piece by length, and forced if a cut had to be made inside a run without white space.
+    Whether an item is longer than its limit is a matter of its length; forced is read off the
+    cutting plan: a cut had to be made inside a run without white space.
     """
     plans = split_plans(items, limits).join(F.broadcast(limits.select("field_name", "max_chars").dropDuplicates(["field_name"])), "field_name")
     forced = F.exists("cuts", lambda c: c["cut_kind"] == KINDS[FORCED])
