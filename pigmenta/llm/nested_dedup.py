@@ -24,7 +24,11 @@ from pigmenta.session import attach_hot_aware, cut_lineage
 # A tree: ("text", words) | ("field", name, tree) | ("fields", [trees], unordered) | ("list", [trees], ordered).
 
 # What separates the named fields of a record, in the order tried.
-FIELD_SEPARATORS = [";", "|", "•", "\n"]
+FIELD_SEPARATORS = [";", "|", "•", "\n", "\t"]
+
+# A comma sets fields apart only before a name and its mark: there are commas in values.
+_COMMA = re.compile(r"\s*,\s+(?=[^\W\d_][^:=,\n]{0,60}[:=])")
+DEEPEST = 100  # levels of nesting that are read as a record; what is nested deeper is text
 
 _FIELD = re.compile(r"\s*([^\W\d_][^:=\n]{0,60}?)\s*[:=]\s*(\S.*?)\s*", re.DOTALL)
 _BULLET = re.compile(r"^[\s*•>\-–]+(?=\D)")
@@ -42,8 +46,18 @@ def _of_json(value: object) -> tuple:
     return ("text", tuple(number_aware_words("" if value is None else str(value))))
 
 
+def _too_deep(value: object) -> bool:
+    """Whether a JSON value has more than DEEPEST levels; level by level, so no depth breaks it."""
+    level = [value]
+    for _ in range(DEEPEST):
+        level = [x for v in level if isinstance(v, _Fields | list) for x in ((pair[1] for pair in v) if isinstance(v, _Fields) else v)]
+        if not level:
+            return False
+    return True
+
+
 def parse(content: str) -> tuple:
-    """The tree of a content. What is neither JSON nor at least two named fields is one text.
+    """The tree of a content. What is neither JSON (of at most DEEPEST levels) nor at least two named fields is one text.
 
     So is JSON of one plain field: in other layouts a single name isn't told from words before a colon.
     Numbers stay as they are written.
@@ -52,15 +66,17 @@ def parse(content: str) -> tuple:
     if stripped[:1] in "{[" and stripped[-1:] in "}]":
         try:
             value = json.loads(stripped, strict=False, parse_float=str, parse_int=str, parse_constant=str, object_pairs_hook=_Fields)
-        except ValueError:
+        except (ValueError, RecursionError):
+            value = None
+        if _too_deep(value):
             value = None
         if isinstance(value, _Fields) and len(value) == 1 and not isinstance(value[0][1], _Fields | list):
             name, plain = value[0]
             return ("text", (*number_aware_words(name), *_of_json(plain)[1]))
         if isinstance(value, _Fields | list):
             return _of_json(value)
-    for separator in FIELD_SEPARATORS:
-        parts = [p for p in stripped.split(separator) if p.strip()]
+    for separator in [*FIELD_SEPARATORS, _COMMA]:
+        parts = [p for p in (stripped.split(separator) if isinstance(separator, str) else separator.split(stripped)) if p.strip()]
         if len(parts) < 2:
             continue
         fields = [_FIELD.fullmatch(_BULLET.sub("", p)) for p in parts]

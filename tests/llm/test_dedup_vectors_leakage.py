@@ -26,6 +26,18 @@ def test_layouts_of_one_record(spark):
     assert groups(spark, rows) == [("a", "b"), ("a", "c"), ("a", "d")]
 
 
+def test_deep_nesting_is_text(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    some = '{"a": ' * 300 + '"x"' + "}" * 300
+    rows = [("1", deep), ("2", deep + " "), ("3", some), ("4", some.upper()), ("5", "[" * 90 + '"b"' + "]" * 90), ("6", " " + "[" * 90 + '"B"' + "]" * 90)]
+    assert groups(spark, rows) == [("1", "2"), ("3", "4"), ("5", "6")]
+
+
+def test_fields_by_tab_and_comma(spark):
+    rows = [("1", "Ürün: Silka Mat, Ambalaj: 2,5 L"), ("2", "Ambalaj: 2,5 L\tÜrün: Silka Mat"), ("3", "Ambalaj: 2,5 L; Ürün: Silka Mat"), ("4", "Ürün: Silka, Mat ve parlak")]
+    assert groups(spark, rows) == [("1", "2"), ("1", "3")]
+
+
 def test_texts_by_words_in_order(spark):
     rows = [("1", "Kuruma 6-7 saat sürer."), ("2", "  KURUMA   6-7 saat,\nsürer!"), ("3", "kuruma 67 saat sürer"), ("4", "saat kuruma 6-7 sürer"), ("5", "Isı +5"), ("6", "ısı 5"), ("7", "ISI: +5"), ("8", None), ("9", None)]
     assert groups(spark, rows) == [("1", "2"), ("5", "7")]
