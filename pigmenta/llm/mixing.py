@@ -92,6 +92,14 @@ def quotas(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total:
     return out
 
 
+MOST_BLOCKS = 500_000_000  # of all sources together: what hypergeometric draws take
+
+
+def block_size(copies: int, settings: MixSettings) -> int:
+    """Copies in a block: ``block``, or as many as it takes that there are no more than MOST_BLOCKS blocks."""
+    return max(settings.block, -(-copies // MOST_BLOCKS))
+
+
 def splitting_tree(blocks: dict[str, int], shards: int, seed: int) -> dict[str, list[int]]:
     """How many blocks of each source each shard gets; sums over shards are exact."""
     names = sorted(blocks)
@@ -171,8 +179,8 @@ def mixture(documents: DataFrame, targets: DataFrame, settings: MixSettings | No
     """
     settings = settings or MixSettings()
     spark = documents.sparkSession
-    size = F.coalesce("n_tokens", tokens_of("text").cast("long")) if "text" in documents.columns else F.col("n_tokens")
-    rows = documents.select("doc_id", "source", size.alias("n_tokens")).filter("source is not null and n_tokens > 0")
+    tokens = F.coalesce("n_tokens", tokens_of("text").cast("long")) if "text" in documents.columns else F.col("n_tokens")
+    rows = documents.select("doc_id", "source", tokens.alias("n_tokens")).filter("source is not null and n_tokens > 0")
     rows = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), "source", "doc_id"), 2))
     wanted: dict[str, tuple[float, int]] = {}
     for r in targets.filter("source is not null and target_share > 0 and max_repeats > 0").orderBy("source", "target_share", "max_repeats").collect():
@@ -198,7 +206,8 @@ def mixture(documents: DataFrame, targets: DataFrame, settings: MixSettings | No
     placed = used.withColumn("first", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(offsets, ["source", "bucket"])
     copies = placed.select("doc_id", "source", "n_tokens", (F.col("first") + F.col("offset")).alias("first"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
     totals = {r["source"]: r["n"] for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    blocks = {s: -(-n // settings.block) for s, n in totals.items()}
+    size = block_size(sum(totals.values()), settings)
+    blocks = {s: -(-n // size) for s, n in totals.items()}
     shares = splitting_tree(blocks, settings.shards, settings.seed)
     # Disjoint runs of permuted blocks: block b stands at (b * factor + shift) mod blocks.
     ranges = []
@@ -208,7 +217,7 @@ def mixture(documents: DataFrame, targets: DataFrame, settings: MixSettings | No
         bounds = np.concatenate([[0], np.cumsum(shares[s])])
         ranges.append((s, n, factor, int(rng.integers(0, n)), [int(b) for b in bounds[1:]]))
     runs = spark.createDataFrame(ranges, "source string, blocks long, factor long, shift long, bounds array<long>")
-    block = F.floor((F.col("first") + F.col("copy_no") - 1) / settings.block)
+    block = F.floor((F.col("first") + F.col("copy_no") - 1) / size)
     seat = ((block * F.col("factor").cast("decimal(38,0)") + F.col("shift")) % F.col("blocks")).cast("long")
     return copies.join(F.broadcast(runs), "source").select(
         "doc_id",

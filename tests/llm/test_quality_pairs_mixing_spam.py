@@ -165,6 +165,15 @@ def test_quotas():
     assert mx.quotas({}, t, None) == {}
 
 
+def test_blocks_grow_where_there_are_too_many():
+    assert mx.block_size(10**6, mx.MixSettings()) == 16
+    copies = {"a": 4 * 10**12, "b": 10**12, "c": 5}
+    size = mx.block_size(sum(copies.values()), mx.MixSettings())
+    blocks = {s: -(-n // size) for s, n in copies.items()}
+    tree = mx.splitting_tree(blocks, 64, 3)
+    assert {s: sum(x) for s, x in tree.items()} == blocks and max(tree["a"]) < 1.01 * min(tree["a"])
+
+
 def test_splitting_tree_is_exact():
     got = mx.splitting_tree({"a": 1000, "b": 37, "c": 0}, 7, 1)
     assert {s: sum(x) for s, x in got.items()} == {"a": 1000, "b": 37, "c": 0}
