@@ -39,6 +39,11 @@ def list_answer(df: DataFrame, per: list[str], name: str, label: Column) -> Data
     return df.groupBy(*per).agg(F.concat(head, names).alias("answer"))
 
 
+def no_list_answer(label: Column) -> Column:
+    """What is said where nothing matches."""
+    return F.concat(F.coalesce(F.nullif(label, F.lit("")), F.lit("Eşleşen")), F.lit(" ürün bulunamadı."))
+
+
 def value_lines(df: DataFrame, key: str, fields: list[tuple[str, Column]]) -> DataFrame:
     """key, answer: "Label: value" lines for the fields that are known; keys with none are left out."""
     lines = F.filter(F.array(*[F.when(v.isNotNull(), F.concat(F.lit(f"{label}: "), v)) for label, v in fields]), lambda x: x.isNotNull())
@@ -55,12 +60,3 @@ def parent_context(results: DataFrame) -> DataFrame:
     """query_id, context: the parents of the results once each, in order of their first result."""
     first = results.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "parent_id").orderBy("rank"))).filter("_r = 1")
     return first.groupBy("query_id").agg(ordered_text(F.col("context"), F.col("rank"), "\n\n").alias("context"))
-
-
-def compare_modes(modes: dict[str, DataFrame]) -> DataFrame:
-    """mode, query_id, pages (sorted, distinct), chunks of the results of each mode (query_id, id, page_number, rank)."""
-    out = None
-    for mode, results in modes.items():
-        part = results.groupBy("query_id").agg(F.sort_array(F.collect_set("page_number")).alias("pages"), F.count("*").alias("chunks")).withColumn("mode", F.lit(mode))
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -2,19 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pigmenta.functions.vectors import cosine_distance, dot, doubles, norm
+from pigmenta.functions.vectors import dot, doubles, norm
 from pigmenta.session import query_blocks
 
-METRICS = {
-    "cosine": cosine_distance,
-    "l2": lambda a, b: F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x),
-    "ip": lambda a, b: 1 - dot(a, b),
-}
+METRICS = ("cosine", "l2", "ip")
+
+
+def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each query (row) to each vector (column), in double precision."""
+    product = queries @ rows.T
+    if metric == "ip":
+        return 1 - product
+    if metric == "l2":
+        return np.maximum((queries**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :] - 2 * product, 0.0)
+    return 1 - product / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :] + 1e-10)
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, lengths, flat numbers) of the vectors of a list column that are neither null nor have null elements."""
+    lengths = np.asarray(column.value_lengths().fill_null(-1))
+    flat = column.flatten()
+    whole = lengths >= 0
+    if flat.null_count:
+        owner = np.repeat(np.flatnonzero(whole), lengths[whole])
+        whole[owner[np.asarray(flat.is_null())]] = False
+    at = np.flatnonzero(whole)
+    kept = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return at, lengths[at], kept
+
+
+class NearestRows:
+    """The k nearest rows of stated queries over the batches of one task, by matrix products; ties by the smaller id."""
+
+    def __init__(self, queries: pa.Table, k: int, metric: str, decimals: int) -> None:
+        self.k, self.metric, self.decimals = k, metric, decimals
+        self.ids = queries.column("query_id").combine_chunks()
+        column = queries.column("query_embedding").combine_chunks()
+        at, lengths, flat = _matrix(column)
+        starts = np.cumsum(lengths) - lengths
+        self.by_size = {int(n): (at[lengths == n], np.stack([flat[s : s + n] for s in starts[lengths == n]])) for n in np.unique(lengths) if n > 0}
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by size: query, distance, id
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            at, lengths, flat = _matrix(batch.column("embedding"))
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for size, (who, queries) in self.by_size.items():
+                pick = np.flatnonzero(lengths == size)
+                if not len(pick):
+                    continue
+                starts = (np.cumsum(lengths) - lengths)[pick]
+                rows = flat[starts[:, None] + np.arange(size)] if len(pick) < len(at) else flat.reshape(-1, size)
+                for s in range(0, len(queries), max(1, 8_000_000 // len(rows))):
+                    some = slice(s, s + max(1, 8_000_000 // len(rows)))
+                    d = np.round(distances(queries[some], rows, self.metric), self.decimals) + 0.0
+                    d[np.isnan(d)] = np.inf
+                    limit = np.partition(d, self.k - 1, axis=1)[:, self.k - 1] if self.k < d.shape[1] else np.full(len(d), np.inf)
+                    q, r = np.nonzero((d <= limit[:, None]) & (d < np.inf))
+                    new = (who[some][q], d[q, r], ids[at[pick[r]]])
+                    best[size] = self._first(tuple(np.concatenate(x) for x in zip(best[size], new, strict=True)) if size in best else new)
+        for q, d, i in best.values():
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(q)), pa.array(i, type=kind), pa.array(d)], names=["query_id", "id", "distance"])
+
+    def _first(self, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, d, i = found
+        order = np.lexsort((i.astype("U") if i.dtype == object else i, d, q))
+        q, d, i = q[order], d[order], i[order]
+        stay = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        return q[stay], d[stay], i[stay]
 
 
 def rank_within(df: DataFrame, per: str, order: list[Column | str], k: int | None) -> DataFrame:
@@ -27,14 +92,17 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, *, metric: str =
     """query_id, id, distance, rank of the ``k`` nearest rows of each query.
 
     ``corpus``: id, embedding and whatever ``where`` needs; the predicate goes to the scan.
-    ``queries``: query_id, query_embedding; the stated query set, sent to the corpus in blocks. Distances are rounded, ties go to the smaller id. The first ``k`` are taken in every
-    task before anything moves. Null vectors are left out.
+    ``queries``: query_id, query_embedding; the stated query set, which goes along with the tasks
+    in blocks of 65,536, so the corpus is read once for each of them. In a task a batch of rows
+    meets all queries of a block in one matrix product, and the first ``k`` are all that moves.
+    Distances are rounded, ties go to the smaller id. Vectors that are null, have a null element,
+    another length than the query's or no distance (not a number) are left out.
     """
     rows = corpus.filter(where) if where is not None else corpus
     known = rows.select("id", "embedding").filter("embedding is not null")
-    distance = (F.round(METRICS[metric](F.col("embedding"), F.col("query_embedding")), decimals) + F.lit(0.0)).alias("distance")
     asked = queries.select("query_id", "query_embedding").filter("query_embedding is not null")
-    parts = [rank_within(known.crossJoin(F.broadcast(q)).select("query_id", "id", distance), "query_id", ["distance", "id"], k) for q in query_blocks(asked, "query_id")]
+    shape = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, distance double"
+    parts = [rank_within(known.mapInArrow(NearestRows(q.toArrow(), k, metric, decimals), shape), "query_id", ["distance", "id"], k) for q in query_blocks(asked, "query_id", block=65_536)]
     return reduce(DataFrame.unionByName, parts)
 
 

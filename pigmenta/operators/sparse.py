@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.text import tokens
 from pigmenta.operators.dense import rank_within
-from pigmenta.session import cut_lineage, query_blocks
+from pigmenta.session import cut_lineage, query_blocks, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -28,10 +28,11 @@ class SparseIndex:
 def build_index(documents: DataFrame) -> SparseIndex:
     """Index of (id, text); documents without a token count towards the corpus.
 
-    Texts move once, by id, and are tokenised once: the postings are written and everything else
-    is read off them.
+    Texts are tokenised once, where they are read (few tasks' worth of them is spread over all
+    cores first); terms are counted there too, so only postings move. They are written and
+    everything else is read off them.
     """
-    words = documents.select("id", tokens(F.col("text")).alias("words")).repartition("id")
+    words = spread(documents.select("id", "text"), per_task_bytes=1 << 20).select("id", tokens(F.col("text")).alias("words"))
     counted = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     postings = cut_lineage(counted)
     ids = documents.select("id")

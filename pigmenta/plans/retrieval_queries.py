@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pigmenta.functions.vectors import rounded, similarity_of
-from pigmenta.operators import answers, chunking, dense, fusion, graph, sparse
+from pigmenta.operators import answers, chunking, dense, fusion, graph, modes, sparse
 from pigmenta.plans.text_queries import TOKENS, strip_sql
 from pigmenta.session import cut_lineage, table
 
@@ -143,9 +143,13 @@ FROM bm25 WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY r
 # Hybrid retrieval: documents that have a vector.
 
 
-def _lists(spark: SparkSession, d: str, k: int, *, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _asked_vectors(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    return _vectors(spark, d).join(queries.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+def _lists(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
     queries = _questions(spark, d)
-    vectors = _vectors(spark, d).join(queries.select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    vectors = _asked_vectors(spark, d, queries)
     docs = _documents(spark, d)
     embedded = _vectors(spark, d).select("id", "embedding").join(docs.select("id"), "id")
     return dense.dense_top_k(embedded, vectors, k), sparse.sparse_top_k(sparse.build_index(docs), queries, k)
@@ -299,16 +303,33 @@ WITH {CHUNK_RESULTS}, o AS (SELECT res.*, coalesce(parent_text, text) AS c FROM
 SELECT query_id, string_agg(c, chr(10) || chr(10) ORDER BY rank) AS context FROM o GROUP BY query_id"""
 
 
-def compare_modes(spark: SparkSession, d: str) -> DataFrame:
-    flat = _chunk_results(spark, d).withColumn("page_number", F.coalesce("page_number", F.lit(0)))
-    by_parent = fusion.best_per_parent(flat, F.col("parent_id"))
-    return answers.compare_modes({"flat": flat, "parent_child": by_parent})
+MODE_POOL = 15
 
 
+def compare_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The four modes over the child chunks, for the stated questions; vectors are asked for by those that have one."""
+    queries = _questions(spark, d)
+    rows = table(spark, d, "child_chunks").filter("text is not null").select(F.col("child_id").alias("id"), "parent_id", "text", "page_number", "embedding")
+    once = cut_lineage(chunking.keep_first(rows, F.col("id"), ["parent_id", "page_number"]))
+    near = dense.dense_top_k(once.filter(F.size("embedding") == 64), _asked_vectors(spark, d, queries), MODE_POOL)
+    sparse_list = sparse.sparse_top_k(sparse.build_index(once.select("id", "text")), queries, MODE_POOL)
+    parents = table(spark, d, "parent_chunks").filter("text is not null").groupBy("parent_id").agg(F.min("page_number").alias("page_number"))
+    return modes.mode_report(cut_lineage(near), cut_lineage(sparse_list), once, parents, FINAL)
+
+
+CHUNK_HYBRID = (
+    hybrid_sql(MODE_POOL)
+    .replace("FROM documents", "FROM ch")
+    .replace("doc_id AS id", "child_id AS id")
+    .replace("hv AS (SELECT v.* FROM v JOIN documents ON id = doc_id)", """hv AS (SELECT DISTINCT ON (child_id) child_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM child_chunks
+  WHERE text IS NOT NULL AND len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))))""")
+)
 SQL["compare_modes"] = f"""
-WITH {CHUNK_RESULTS}, f AS (SELECT *, coalesce(page_number, 0) AS p FROM res), g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) = 1)
-SELECT 'flat' AS mode, query_id, list_sort(list(DISTINCT p)) AS pages, count(*) AS chunks FROM f GROUP BY query_id
-UNION ALL SELECT 'parent_child', query_id, list_sort(list(DISTINCT p)), count(*) FROM g GROUP BY query_id"""
+WITH {CHILDREN}, {CHUNK_HYBRID}, pp AS (SELECT parent_id, coalesce(min(page_number), 0) AS above FROM parent_chunks WHERE text IS NOT NULL GROUP BY parent_id),
+m AS (SELECT 'semantic' AS mode, query_id, id FROM dl WHERE rank <= {FINAL} UNION ALL SELECT 'hybrid', query_id, id FROM fused WHERE rank <= {FINAL}),
+k AS (SELECT mode, query_id, coalesce(page_number, 0) AS own, above FROM m JOIN ch ON id = child_id LEFT JOIN pp USING (parent_id))
+SELECT mode, query_id, list_sort(list(DISTINCT own)) AS pages, count(*) AS chunks FROM k GROUP BY ALL
+UNION ALL SELECT mode || '_parent_child', query_id, coalesce(list_sort(list(DISTINCT above) FILTER (above IS NOT NULL)), []), count(*) FROM k GROUP BY ALL"""
 
 
 def _embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
