@@ -8,18 +8,19 @@ rules for copies, refusals and languages follow.
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pigmenta.llm.words import fold, plain_words
-from pigmenta.session import attach_hot_aware, cut_lineage, hash_sample, spread
+from pigmenta.session import attach_hot_aware, cut_lineage, spread
 
 EMPTY, TRUNCATED, REFUSAL, COPIES, OTHER_LANGUAGE = "empty", "truncated", "refusal", "copies_question", "other_language"
 
@@ -33,18 +34,18 @@ STAND_INS = frozenset(
 # What a copy of the question may be introduced with.
 QUESTION_LABELS = frozenset("soru sorunuz q question frage вопрос s f cevap yanit answer antwort a".split())
 
-# First persons that decline. Folded: every i is a plain one.
+# How a first person declines, by the grammar of each language and set phrases. Folded: every i is a plain one.
 DECLINING = [
     re.compile(x)
     for x in (
-        r"yard[i]mc[i] ol(?:am[i]yor|amam|mam mümkün değil|maktan)",
-        r"(?:yan[i]t|cevap) ver(?:ecek durumda değil|emem|emiyor|mem (?:mümkün değil|uygun ol))|yan[i]tla(?:yam|mam (?:mümkün değil|uygun ol))|cevapla(?:yam|mam (?:mümkün değil|uygun ol))",
-        r"yorum yap(?:ma yetkim|amam|am[i]yor)|yetkim (?:yok|bulunmuyor)|paylaşa(?:mam|m[i]yor)|söyle(?:mem (?:uygun olmaz|mümkün değil)|yemem|yemiyor)",
-        r"\bi(?: am|'m| was)? (?:not able|unable) to\b|\bi (?:cannot|can't|can not|won't|will not|must decline|am not allowed|do not have permission|don't have permission|have to decline|must refuse)\b|not permitted to (?:answer|comment)",
+        r"\b(?!tamam\b)\w+[ae]m[ae]m\b|\b\w+m[iuü]yor(?:um|uz)\b|\b\w+m[ae]yaca[gğ][iı](?:m|z)\b|\bdeğil(?:im|iz)\b|\b\w+[iuü]m[iuü]?z? (?:yok|bulunmuyor)\b|\breddedi?yor(?:um|uz)\b",
+        r"\byard[i]mc[i] ol(?:mam mümkün değil|maktan)|\b(?:yan[i]t|cevap) vermem (?:mümkün değil|uygun ol)|\b(?:yan[i]tla|cevapla|söyle|paylaş)mam (?:mümkün değil|uygun ol)|\bsöylemem (?:uygun olmaz|mümkün değil)",
+        r"\b(?:i|we)(?: am|'m| are|'re| was)? (?:not able|unable|not allowed|not permitted)\b|\b(?:i|we) (?:cannot|can't|can not|could not|won't|will not|don't|do not|refuse|must decline|have to decline|must refuse|have no)\b|not permitted to (?:answer|comment)",
         r"(?:kann|darf|möchte|werde) ich .{0,40}(?:nicht|nichts|keine)\b|ich .{0,20}(?:kann|darf|möchte|werde) .{0,40}(?:nicht|nichts|keine)\b|muss (?:ich )?(?:diese|die) (?:anfrage|bitte|frage) ablehnen|bin (?:ich )?nicht (?:befugt|berechtigt|in der lage)",
-        r"\bя не (?:могу|вправе|имею)\b|не могу (?:ответить|помочь|сказать|поделиться)",
+        r"\bя не (?:могу|вправе|имею|знаю)\b|не могу (?:ответить|помочь|сказать|поделиться)",
     )
 ]
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 
 # What a text doesn't end with.
 DANGLING = frozenset("ve veya ya ile için gibi kadar en and or of the a an in on at to for with from by und oder der die das dem den ein eine mit von für auf bei nach и или в на с для".split())
@@ -60,13 +61,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 ENDED = r"[.!?][\"'”’»)\]]*\s*$"
 _SPACE = re.compile(r"\s+")
 NAME, NUMBER = "\x01", "0"
+PAIR = ["id", "question", "answer", "refused"]
 
 
 @dataclass
 class PairSettings:
     """Parameters; the defaults are those of production."""
 
-    language_rows: int = 10_000  # rows that the language model is fitted on, at most
+    language_rounds: int = 3  # in which the language model is taught, each over all rows
     language_margin: float = 3.0  # in nats
     frequent: int = 20  # times that a word occurs to count as frequent
     final_share: float = 0.015  # of them at the end of an answer, at most, for a word that doesn't end one
@@ -145,10 +147,22 @@ def empty(answer: str | None) -> bool:
     return not words or " ".join(words) in STAND_INS
 
 
+def informs(answer: str, name: str | None, passages: list[str | None], common: frozenset[str]) -> bool:
+    """Whether an answer says what its evidence does: two words of four letters that aren't common ones or in a name stand in both."""
+    content = {w for w in plain_words(without_name(answer, name)) if len(w) >= 4 and w not in common}
+    told = {w for p in passages if p for w in plain_words(without_name(p, name))}
+    return len(content & told) >= 2
+
+
 def refuses(answer: str, name: str | None) -> bool:
-    """Whether an answer declines and gives no information: no number, and nothing said but that."""
+    """Whether an answer declines and gives no information: a first person declines in its first sentence
+    (behind an apology of three words at most, if that ends like one), and there is no number in it."""
     text = mask(answer, name)
-    return any(p.search(text) for p in DECLINING) and NUMBER not in text.replace(NAME, "")
+    if NUMBER in text.replace(NAME, ""):
+        return False
+    sentences = _SENTENCE.split(text)
+    head = " ".join(sentences[:2]) if len(sentences[0].split()) <= 3 else sentences[0]
+    return any(p.search(head) for p in DECLINING)
 
 
 def without_name(text: str, name: str | None) -> str:
@@ -156,14 +170,27 @@ def without_name(text: str, name: str | None) -> str:
     return masked
 
 
+BUCKETS = 1 << 18  # features are counted by hash, so the model is of one size whatever the vocabulary
+
+
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
 class LanguageModel:
-    """Naive Bayes over words and three-letter pieces, taught from seeds by a few rounds on unlabelled pairs."""
+    """Naive Bayes over words and three-letter pieces, counted in buckets of their hashes over all pairs.
+
+    What is labelled are questions, first by the common words of the languages, then by the model;
+    answers count towards the language of their question if the model doesn't find another one in them.
+    """
 
     def __init__(self, seeds: dict[str, set[str]]) -> None:
         self.seeds = seeds
-        self.logs: dict[str, dict[str, float]] = {}
-        self.unseen: dict[str, float] = {}
-        self.counts: dict[str, Counter] = {}
+        self.names = sorted(seeds)
+        self.counts = np.zeros((len(self.names), BUCKETS), dtype=np.float32)
+        self.known = b""  # whether a bucket was seen
+        self.logs: np.ndarray | None = None
+        self.buckets: dict[str, int] = {}
 
     @staticmethod
     def features(text: str) -> list[str]:
@@ -174,35 +201,56 @@ class LanguageModel:
             out += [padded[i : i + 3] for i in range(len(padded) - 2)]
         return out
 
+    def places(self, features: list[str]) -> list[int]:
+        known = self.buckets
+        if len(known) > 500_000:
+            known.clear()
+        return [known[f] if f in known else known.setdefault(f, _bucket(f)) for f in features]
+
     def seeded(self, text: str) -> str | None:
         words = re.findall(r"[^\W\d_]+", text)
         score = {lang: sum(w in s for w in words) for lang, s in self.seeds.items()}
         best = sorted(score.values(), reverse=True)
         return max(score, key=score.get) if best and best[0] > (best[1] if len(best) > 1 else 0) else None
 
-    def fit(self, questions: list[str], answers: list[str], rounds: int = 3) -> None:
-        labels = [self.seeded(q) for q in questions]
-        for turn in range(rounds):
-            counts: dict[str, Counter] = {lang: Counter() for lang in self.seeds}
-            for q, a, label in zip(questions, answers, labels, strict=True):
-                if label:
-                    counts[label].update(self.features(q))
-                    if turn:
-                        counts[label].update(self.features(a))
-            self.counts = counts
-            everything = set().union(*counts.values())
-            for lang, c in counts.items():
-                total = sum(c.values()) + 0.5 * (len(everything) + 1)
-                self.logs[lang] = {f: math.log((n + 0.5) / total) for f, n in c.items()}
-                self.unseen[lang] = math.log(0.5 / total)
-            labels = [self.best(q)[0] or label for q, label in zip(questions, labels, strict=True)]
+    def label(self, question: str) -> str | None:
+        return self.seeded(question) if self.logs is None else self.best(question)[0] or self.seeded(question)
+
+    def counted(self, batches: Iterator[pd.DataFrame], with_answers: bool) -> Iterator[pd.DataFrame]:
+        """lang, bucket, n of a task's labelled pairs."""
+        counts: dict[str, Counter] = {lang: Counter() for lang in self.names}
+        for batch in batches:
+            for q, a in zip(batch["question"], batch["answer"], strict=True):
+                name = name_of(q)
+                asked = without_name(q, name)
+                if lang := self.label(asked):
+                    counts[lang].update(self.features(asked))
+                    said = without_name(a, name)
+                    if with_answers and self.best(said)[0] in (None, lang):
+                        counts[lang].update(self.features(said))
+        for n, lang in enumerate(self.names):
+            sums: Counter = Counter()
+            for f, times in counts[lang].items():
+                sums[_bucket(f)] += times
+            yield pd.DataFrame({"lang": n, "bucket": list(sums), "n": list(sums.values())}).astype("int64")
+
+    def learned(self, sums: list[tuple[int, int, int]]) -> None:
+        """Takes over the sums of all tasks."""
+        counts = np.zeros((len(self.names), BUCKETS))
+        for lang, bucket, n in sums:
+            counts[lang, bucket] = n
+        seen = counts.any(axis=0)
+        total = counts.sum(axis=1, keepdims=True) + 0.5 * (int(seen.sum()) + 1)
+        self.logs = np.log((counts + 0.5) / total).astype(np.float32)
+        self.counts, self.known = counts.astype(np.float32), seen.astype(np.uint8).tobytes()
+        self.buckets = {}
 
     def best(self, text: str) -> tuple[str | None, dict[str, float]]:
         """(language, scores); features that no language has seen are left out."""
-        known = [f for f in self.features(text) if any(f in x for x in self.logs.values())]
-        if not known:
+        at = [b for b in self.places(self.features(text)) if self.known[b]] if self.logs is not None else []
+        if not at:
             return None, {}
-        score = {lang: sum(x.get(f, self.unseen[lang]) for f in known) for lang, x in self.logs.items()}
+        score = dict(zip(self.names, self.logs[:, at].sum(axis=1).tolist(), strict=True))
         return max(score, key=score.get), score
 
     def differs(self, question: str, answer: str, margin: float) -> bool:
@@ -218,22 +266,31 @@ class LanguageModel:
         if not (lang and said and said != lang and score[said] - score[lang] >= margin):
             return False
         words = [w for w in re.findall(r"[^\W\d_]+", answer) if len(w) > 1]
-        usual = [w for w in words if self.counts[lang][w] > 0.1 * sum(c[w] for c in self.counts.values())]
+        own = self.names.index(lang)
+        usual = [b for b in self.places(words) if self.counts[own, b] > 0.1 * self.counts[:, b].sum()]
         return len(usual) < 0.5 * len(words)  # a unit or a term may be common to both
 
 
-def fit_language_model(pairs: DataFrame, common_words: DataFrame, settings: PairSettings) -> LanguageModel:
-    """Fitted on a sample of ``language_rows`` rows, chosen by hash; the seeds are the common words."""
+def seed_words(common_words: DataFrame) -> dict[str, set[str]]:
+    """The common words of each language, folded: a table of a fixed size."""
     seeds: dict[str, set[str]] = {}
     for r in common_words.select("lang", "word").filter("lang is not null and word is not null").distinct().collect():
         seeds.setdefault(r["lang"], set()).add(fold(r["word"]))
+    return seeds
+
+
+def fit_language_model(pairs: DataFrame, common_words: DataFrame, settings: PairSettings) -> LanguageModel:
+    """Fitted on all pairs: tasks count features by language, the sums (languages times BUCKETS at most) make the model.
+
+    Words that several languages have in common don't label. Null questions and answers don't count.
+    """
+    seeds = seed_words(common_words)
     shared = Counter(w for s in seeds.values() for w in s)
-    seeds = {lang: {w for w in s if shared[w] == 1} for lang, s in seeds.items()}
-    known = pairs.filter("question is not null and answer is not null").withColumn("_pair", F.concat_ws(chr(0), "question", "answer"))
-    rows = hash_sample(known, "_pair", settings.language_rows, known.count()).select("question", "answer").collect()
-    model = LanguageModel(seeds)
-    names = [name_of(r["question"]) for r in rows]
-    model.fit([without_name(r["question"], n) for r, n in zip(rows, names, strict=True)], [without_name(r["answer"], n) for r, n in zip(rows, names, strict=True)])
+    model = LanguageModel({lang: {w for w in s if shared[w] == 1} for lang, s in seeds.items()})
+    known = pairs.select("question", "answer").filter("question is not null and answer is not null")
+    for turn in range(settings.language_rounds):
+        counted = known.mapInPandas(lambda batches, turn=turn: model.counted(batches, turn > 0), "lang long, bucket long, n long")
+        model.learned([tuple(r) for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()])
     return model
 
 
@@ -262,11 +319,15 @@ def goes_on(answer: str, name: str | None, passages: list[str | None], value_wor
     return False
 
 
-def _evidence_batches(batches: Iterator[pd.DataFrame], value_words: int) -> Iterator[pd.DataFrame]:
+def _evidence_batches(batches: Iterator[pd.DataFrame], value_words: int, common: frozenset[str]) -> Iterator[pd.DataFrame]:
+    """What needs the evidence of a pair: whether it goes on where the answer ends, and whether the answer declines without saying what it says."""
     for batch in batches:
-        each = zip(batch["question"], batch["answer"], batch["evidence"], strict=True)
-        out = [a is not None and e is not None and goes_on(a, name_of(q or ""), list(e), value_words) for q, a, e in each]
-        yield batch.drop(columns="evidence").assign(continued=pd.Series(out, index=batch.index, dtype=bool))
+        going, refused = [], []
+        for q, a, e in zip(batch["question"], batch["answer"], batch["evidence"], strict=True):
+            name, passages = name_of(q or ""), [] if e is None else list(e)
+            going.append(a is not None and bool(passages) and goes_on(a, name, passages, value_words))
+            refused.append(a is not None and refuses(a, name) and not informs(a, name, passages, common))
+        yield batch.drop(columns="evidence").assign(continued=pd.Series(going, index=batch.index, dtype=bool), refused=pd.Series(refused, index=batch.index, dtype=bool))
 
 
 def _mask_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,36 +408,37 @@ def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSet
     value_words = settings.value_words
     evidence = F.col("evidence") if "evidence" in pairs.columns else F.lit(None).cast("array<string>")
     read = spread(pairs.select("id", "question", "answer", evidence.alias("evidence")), per_task_bytes=1 << 20)
-    read = read.mapInPandas(lambda batches: _evidence_batches(batches, value_words), f"id {key}, question string, answer string, continued boolean")
-    once = read.groupBy("id", "question", "answer").agg(F.max("continued").alias("continued"))
+    common = frozenset(w for words in seed_words(common_words).values() for w in words)  # a fixed table
+    read = read.mapInPandas(lambda batches: _evidence_batches(batches, value_words, common), f"id {key}, question string, answer string, continued boolean, refused boolean")
+    once = read.groupBy("id", "question", "answer").agg(F.max("continued").alias("continued"), F.max("refused").alias("refused"))
     rows = cut_lineage(spread(once, per_task_bytes=1 << 20, scan=False))
-    continued = rows.filter("continued").select("id", "question", "answer", F.lit(True).alias("shortened"))
+    continued = rows.filter("continued").select(*PAIR, F.lit(True).alias("shortened"))
     rows = rows.drop("continued")
     model = fit_language_model(rows, common_words, settings)
     limits = set(length_limits(rows, settings))
-    masked = cut_lineage(rows.mapInPandas(_mask_batches, f"id {key}, question string, answer string, masked string"))
+    masked = cut_lineage(rows.mapInPandas(_mask_batches, f"id {key}, question string, answer string, refused boolean, masked string"))
     counted = masked.filter("masked <> ''").groupBy(F.col("masked").alias("text")).agg(F.count("*").alias("n"))
     shorter = counted.join(neighbour_comparison(counted, shortened).filter("hit"), "text", "left").select(F.col("text").alias("masked"), "n", F.coalesce("hit", F.lit(False)).alias("shortened"))
     last = F.when(~F.col("answer").rlike(ENDED), F.regexp_extract("masked", r"(?U)(?:^|[^\p{L}])(\p{L}+)$", 1))
     flagged = attach_hot_aware(masked.filter("masked <> ''").withColumn("last", last), shorter, "masked", "n").drop("n", "masked")
     ends = final_words(masked, settings).filter("unlikely")
-    open_ended = attach_hot_aware(flagged.filter("last <> ''"), ends, "last", "n").select("id", "question", "answer", F.lit(True).alias("shortened"))
-    judged = flagged.select("id", "question", "answer", "shortened").unionByName(open_ended).unionByName(continued)
-    bare = masked.filter("masked is null or masked = ''").select("id", "question", "answer", F.lit(False).alias("shortened"))
-    judged = judged.unionByName(bare).groupBy("id", "question", "answer").agg(F.max("shortened").alias("shortened"))
+    open_ended = attach_hot_aware(flagged.filter("last <> ''"), ends, "last", "n").select(*PAIR, F.lit(True).alias("shortened"))
+    judged = flagged.select(*PAIR, "shortened").unionByName(open_ended).unionByName(continued)
+    bare = masked.filter("masked is null or masked = ''").select(*PAIR, F.lit(False).alias("shortened"))
+    judged = judged.unionByName(bare).groupBy(*PAIR).agg(F.max("shortened").alias("shortened"))
     margin = settings.language_margin
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, q, a, short in zip(batch["id"], batch["question"], batch["answer"], batch["shortened"], strict=True):
+            for i, q, a, declined, short in zip(batch["id"], batch["question"], batch["answer"], batch["refused"], batch["shortened"], strict=True):
                 q = q or ""
                 name = name_of(q)
                 if empty(a):
                     out.append((i, EMPTY))
                 elif copies(q, a):
                     out.append((i, COPIES))
-                elif refuses(a, name):
+                elif declined:
                     out.append((i, REFUSAL))
                 elif truncated(a, name, short, limits):
                     out.append((i, TRUNCATED))

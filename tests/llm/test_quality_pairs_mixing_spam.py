@@ -153,6 +153,23 @@ def test_shortened():
     assert not pr.shortened("a", "b") and not pr.shortened("", "b")
 
 
+@pytest.mark.parametrize(("declines", "text"), [
+    (True, "As an AI language model, I don't provide such information."), (True, "Üzgünüm, bu konuda bilgi veremem."), (True, "Bunu cevaplamayı reddediyorum."),
+    (True, "Bilmiyorum, bu bilgiye erişimim yok."), (True, "I must decline. Please ask your dealer."), (True, "Özür dilerim. Bunu paylaşamam."), (True, "Das kann ich leider nicht beantworten."),
+    (False, "You should not use it; I cannot stress enough that the surface must be dry."), (False, "Hayır, inceltilmeden kullanılır."), (False, "Tamam, astar gerekir."),
+    (False, "No, the paint is ready to use."), (False, "Bu değer kataloğa bağlıdır."), (False, "Fırça temizlenir. Ben bunu önermem."),
+])
+def test_refusals_by_grammar(declines, text):
+    assert pr.refuses(text, None) == declines
+
+
+def test_an_answer_that_says_what_the_evidence_says_is_no_refusal(spark):
+    rows = [(1, "Can I paint it wet?", "I would say we do not recommend painting plastered surfaces while damp.", ["Painting plastered surfaces while damp is not recommended."]), (2, "Can I paint it wet?", "We do not share details about it.", [None, "Painting plastered surfaces is easy."])]
+    pairs = spark.createDataFrame(rows, "id long, question string, answer string, evidence array<string>")
+    words = spark.createDataFrame([("en", "would"), ("tr", "bir")], "lang string, word string")
+    assert {r["id"]: r["defect"] for r in pr.defective_pairs(pairs, words).collect()} == {2: "refusal"}
+
+
 # Mixing.
 
 
