@@ -39,12 +39,12 @@ class IndexSettings:
     posts: int = 3  # regions that hold a vector
     region: int = 65_536  # a region of more vectors than this is divided
     prefix: int = 12  # length of the order of pivots; 22 at most, so that footrule fits a byte
-    file: int = 256  # vectors that an inverted file should hold
+    file: int = 384  # vectors that an inverted file should hold
     probes: int = 8  # inverted files that a query reads
-    least_pivots: int = 32  # pivots of a small region
+    least_pivots: int = 48  # pivots of a small region
     most_pivots: int = 4_096  # pivots of a large one
-    rerank: int = 256  # candidates of a file that footrule leaves for exact similarity, at most
-    rerank_share: float = 0.75  # of the file, at most; but four times k at least
+    rerank: int = 384  # candidates of a file that footrule leaves for exact similarity, at most
+    rerank_share: float = 0.9  # of the file, at most; but four times k at least
     crowd: int = 1_000  # vectors of one direction that are too many to index each
 
 
