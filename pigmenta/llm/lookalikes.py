@@ -29,8 +29,12 @@ DRAWN_ALIKE = (
     # Greek
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ "
     "οo νv ϲc ϳj "
-    # Armenian and others
-    "օo հh ɑa ɡg"
+    # Palochka, Armenian and others
+    "ӀI ӏl օo հh ոn սu զq յj ցg ՏS ԼL ՕO ՍU ɑa ɡg "
+    # Cherokee
+    "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᏔW ᏃZ "
+    # Lisu
+    "ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ"
 ).split()
 
 # Hyphens of one length.
