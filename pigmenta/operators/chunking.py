@@ -58,6 +58,21 @@ def numbered_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"parent_id": F.concat(stem, F.lit("_parent_"), F.col("parent_no")), "child_id": F.concat(stem, F.lit("_child_"), F.col("child_no"))})
 
 
+def page_driver(pages: DataFrame, pieces: Column) -> DataFrame:
+    """Chunks of each page with ids that tell page, place on it and place in the source: source,
+    page_number, page_id, chunk_no, chunk_id ("p<page>_c<place>_<number in the source>"), text.
+
+    ``pages``: source, page_number, page_id (unique) and what ``pieces``, an array of texts, is made
+    of; pages of a source are counted in order of page number and id. An unknown page is page 0.
+    """
+    cut = pages.select("source", "page_number", "page_id", F.explode(F.array(pieces)).alias("pieces")).filter(F.size("pieces") > 0)
+    counts = cut.select("source", "page_number", "page_id", F.size("pieces").alias("n"))
+    before = totals_before(counts, ["source"], ["page_number", "page_id"], ["n"]).select("page_id", "n_before")
+    each = cut.join(before, "page_id").select("source", "page_number", "page_id", "n_before", F.posexplode("pieces").alias("chunk_no", "text"))
+    number = F.concat(F.lit("p"), F.coalesce("page_number", F.lit(0)), F.lit("_c"), "chunk_no", F.lit("_"), F.col("n_before") + F.col("chunk_no"))
+    return each.select("source", "page_number", "page_id", "chunk_no", number.alias("chunk_id"), "text")
+
+
 def keep_first(df: DataFrame, key: Column, order: list[Column | str]) -> DataFrame:
     """The first row of each key by an explicit order; null keys are one key."""
     return df.withColumn("_key", key).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).filter("_r = 1").drop("_key", "_r")

@@ -77,6 +77,17 @@ n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY parent_no, chunk
 SELECT page_id, stem || '_parent_' || parent_no AS parent_id, stem || '_child_' || child_no AS child_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(length(text) AS INTEGER) AS chunk_length, text FROM n""".replace("\\\\", "\\")
 
 
+def page_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").filter("text is not null and source is not null")
+    return chunking.page_driver(pages, chunking.sliding_pieces(F.col("text"), 500, 50)).select("page_id", "chunk_id", F.char_length("text").alias("chars"))
+
+
+SQL["page_chunk_ids"] = f"""
+WITH p AS (SELECT source, page_number, page_id, {pieces_sql('text', 500, 50)} AS l FROM pages WHERE text IS NOT NULL AND source IS NOT NULL),
+c AS (SELECT source, page_number, page_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS text FROM p)
+SELECT page_id, 'p' || coalesce(page_number, 0) || '_c' || i || '_' || (row_number() OVER (PARTITION BY source ORDER BY page_number NULLS FIRST, page_id, i) - 1) AS chunk_id, CAST(length(text) AS INTEGER) AS chars FROM c"""
+
+
 def chunk_dedupe(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "child_chunks").filter("text is not null").select("child_id", "text")
     return chunking.keep_first(chunks, F.col("text"), ["child_id"]).select("child_id", F.char_length("text").alias("chars"))
@@ -144,6 +155,11 @@ def body_size_mode(spark: SparkSession, d: str) -> DataFrame:
 SQL["body_size_mode"] = f"WITH {BODY} SELECT DISTINCT source, body_size FROM sized"
 
 
+def body_size_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    spans = layout.font_sizes(_spans(spark, d))
+    return layout.body_size(spans, "doc_id", "size", F.col("chars"), ["seq"]).select("doc_id", "body_size")
+
+
 def noise_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "blocks").filter("text is not null").select("block_id", layout.noise_tenths(F.col("text")).alias("tenths"))
 
@@ -354,6 +370,12 @@ def font_census(spark: SparkSession, d: str) -> DataFrame:
 SQL["font_census"] = f"WITH {SPANS} SELECT size, CAST(sum(length({strip_sql('text')})) AS BIGINT) AS chars, count(*) AS spans FROM sp WHERE {strip_sql('text')} <> '' GROUP BY size"
 
 
+SQL["body_size_by_chars"] = f"""
+WITH {SPANS}, s AS (SELECT doc_id, seq, round(size, 1) AS size, length({strip_sql('text')}) AS chars FROM sp WHERE {strip_sql('text')} <> ''),
+w AS (SELECT doc_id, size, sum(chars) AS w, min(seq) AS first FROM s GROUP BY ALL)
+SELECT DISTINCT ON (doc_id) doc_id, size AS body_size FROM w ORDER BY doc_id, w DESC, first"""
+
+
 def block_scan(spark: SparkSession, d: str) -> DataFrame:
     spans = _spans(spark, d).withColumns({"block_no": F.lit(0), "line_no": F.col("seq")})
     return readers.blocks_from_spans(spans).select("doc_id", "text", "font_size")
@@ -399,8 +421,8 @@ def semantic_children(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nonblank_pages, tokenize_counts, sentence_split, sliding_chunks, parent_child_chunks, chunk_dedupe, recursive_split, structural_units, unit_headings, size_constraints,
-        body_size_mode, noise_score, noise_filter, sections_from_fonts, structural_chunks, sections_from_headings, boilerplate_lines, hyphen_join, gap_projection, box_overlap,
+        nonblank_pages, tokenize_counts, sentence_split, sliding_chunks, parent_child_chunks, page_chunk_ids, chunk_dedupe, recursive_split, structural_units, unit_headings, size_constraints,
+        body_size_mode, body_size_by_chars, noise_score, noise_filter, sections_from_fonts, structural_chunks, sections_from_headings, boilerplate_lines, hyphen_join, gap_projection, box_overlap,
         page_subset, get_by_ids, collection_counts, font_census, block_scan, styled_words, flat_section_chunks, semantic_text_chunks, hybrid_chunks, semantic_children, dedupe_words, xy_cut, neighbour_window, upsert_last_wins, incremental_ingest,
     )
 }
