@@ -1,9 +1,11 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pigmenta.operators import dense, fusion, graph, sparse
+from pigmenta.operators import dense, fusion, graph, modes, sparse
 
 
 def corpus(spark):
@@ -124,3 +126,33 @@ def test_graph_rag_follows_edges_from_the_retrieved_chunks(spark, tmp_path):
     got = [(r["query_id"], r["chunk"], r["via"]) for r in registry.QUERIES["graph_rag"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert set(con.execute(registry.SQL["graph_rag"]).fetchall()) == want
+
+
+def test_dense_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i:03d}", [float(x) for x in rng.normal(size=4)]) for i in range(120)] + [("n1", None), ("n2", [1.0]), ("n3", [None, 1.0, 1.0, 1.0]), ("n4", [math.nan, 1.0, 1.0, 1.0]), ("z", [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(5)
+    asked = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(3)] + [(8, [2.0]), (9, None)]
+    q = spark.createDataFrame(asked, "query_id int, query_embedding array<double>")
+    for metric, distance in (("cosine", lambda a, b: 1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-10)), ("l2", lambda a, b: ((a - b) ** 2).sum()), ("ip", lambda a, b: 1 - a @ b)):
+        got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in dense.dense_top_k(df, q, 6, metric=metric).collect()}
+        for query_id, vector in asked[:3]:
+            known = [(i, np.array(v)) for i, v in rows if v is not None and len(v) == 4 and None not in v and not any(map(math.isnan, v))]
+            want = sorted((round(float(distance(np.array(vector), v)), 6), i) for i, v in known)[:6]
+            assert [got[query_id, n + 1][0] for n in range(6)] == [i for _, i in want]
+            assert [got[query_id, n + 1][1] for n in range(6)] == pytest.approx([d for d, _ in want], abs=2e-6)
+        assert {k for k in got if k[0] == 8} == {(8, 1)} and not {k for k in got if k[0] == 9}
+    assert dense.dense_top_k(df.limit(0), q, 3).count() == 0 and dense.dense_top_k(df, q.limit(0), 3).count() == 0
+
+
+def test_modes(spark):
+    near = spark.createDataFrame([(1, "a", 0.1, 1), (1, "b", 0.2, 2), (1, "c", 0.3, 3)], "query_id int, id string, distance double, rank int")
+    terms = spark.createDataFrame([(1, "c", 9.0, 1), (1, "d", 8.0, 2), (2, "d", 1.0, 1)], "query_id int, id string, score double, rank int")
+    chunks = spark.createDataFrame([("a", "p", 1), ("b", "p", 2), ("c", "q", None), ("d", "gone", 4)], "id string, parent_id string, page_number int")
+    parents = spark.createDataFrame([("p", 1), ("q", 7)], "parent_id string, page_number int")
+    got = {(r["mode"], r["query_id"]): (r["pages"], r["chunks"]) for r in modes.mode_report(near, terms, chunks, parents, 2).collect()}
+    assert got == {
+        ("semantic", 1): ([1, 2], 2), ("semantic_parent_child", 1): ([1], 2), ("hybrid", 1): ([0, 1], 2), ("hybrid_parent_child", 1): ([1, 7], 2), ("hybrid", 2): ([4], 1), ("hybrid_parent_child", 2): ([], 1),
+    }
+    with pytest.raises(ValueError, match="unknown mode"):
+        modes.run_mode("both", near, terms, 2)
