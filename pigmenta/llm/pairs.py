@@ -187,7 +187,7 @@ class LanguageModel:
     def __init__(self, seeds: dict[str, set[str]]) -> None:
         self.seeds = seeds
         self.names = sorted(seeds)
-        self.counts = np.zeros((len(self.names), BUCKETS), dtype=np.float32)
+        self.totals: list[float] = []
         self.known = b""  # whether a bucket was seen
         self.logs: np.ndarray | None = None
         self.buckets: dict[str, int] = {}
@@ -217,22 +217,21 @@ class LanguageModel:
         return self.seeded(question) if self.logs is None else self.best(question)[0] or self.seeded(question)
 
     def counted(self, batches: Iterator[pd.DataFrame], with_answers: bool) -> Iterator[pd.DataFrame]:
-        """lang, bucket, n of a task's labelled pairs."""
-        counts: dict[str, Counter] = {lang: Counter() for lang in self.names}
+        """lang, bucket, n of a task's labelled pairs (asked, said, n: how often)."""
+        sums: dict[str, Counter] = {lang: Counter() for lang in self.names}
         for batch in batches:
-            for q, a in zip(batch["question"], batch["answer"], strict=True):
-                name = name_of(q)
-                asked = without_name(q, name)
-                if lang := self.label(asked):
-                    counts[lang].update(self.features(asked))
-                    said = without_name(a, name)
-                    if with_answers and self.best(said)[0] in (None, lang):
-                        counts[lang].update(self.features(said))
+            for asked, said, times in zip(batch["asked"], batch["said"], batch["n"], strict=True):
+                lang = self.label(asked)
+                if not lang:
+                    continue
+                features = self.features(asked)
+                if with_answers and self.best(said)[0] in (None, lang):
+                    features += self.features(said)
+                own = sums[lang]
+                for f in self.places(features):
+                    own[f] += times
         for n, lang in enumerate(self.names):
-            sums: Counter = Counter()
-            for f, times in counts[lang].items():
-                sums[_bucket(f)] += times
-            yield pd.DataFrame({"lang": n, "bucket": list(sums), "n": list(sums.values())}).astype("int64")
+            yield pd.DataFrame({"lang": n, "bucket": list(sums[lang]), "n": list(sums[lang].values())}).astype("int64")
 
     def learned(self, sums: list[tuple[int, int, int]]) -> None:
         """Takes over the sums of all tasks."""
@@ -242,7 +241,7 @@ class LanguageModel:
         seen = counts.any(axis=0)
         total = counts.sum(axis=1, keepdims=True) + 0.5 * (int(seen.sum()) + 1)
         self.logs = np.log((counts + 0.5) / total).astype(np.float32)
-        self.counts, self.known = counts.astype(np.float32), seen.astype(np.uint8).tobytes()
+        self.totals, self.known = total[:, 0].tolist(), seen.astype(np.uint8).tobytes()
         self.buckets = {}
 
     def best(self, text: str) -> tuple[str | None, dict[str, float]]:
@@ -267,7 +266,8 @@ class LanguageModel:
             return False
         words = [w for w in re.findall(r"[^\W\d_]+", answer) if len(w) > 1]
         own = self.names.index(lang)
-        usual = [b for b in self.places(words) if self.counts[own, b] > 0.1 * self.counts[:, b].sum()]
+        times = np.exp(self.logs[:, self.places(words)]) * np.array(self.totals)[:, None] - 0.5 if words else np.zeros((len(self.names), 0))
+        usual = np.flatnonzero(times[own] > 0.1 * times.sum(axis=0) + 0.01)
         return len(usual) < 0.5 * len(words)  # a unit or a term may be common to both
 
 
@@ -280,16 +280,16 @@ def seed_words(common_words: DataFrame) -> dict[str, set[str]]:
 
 
 def fit_language_model(pairs: DataFrame, common_words: DataFrame, settings: PairSettings) -> LanguageModel:
-    """Fitted on all pairs: tasks count features by language, the sums (languages times BUCKETS at most) make the model.
+    """Fitted on all pairs (asked, said, n: how often), each different one once in a round.
 
-    Words that several languages have in common don't label. Null questions and answers don't count.
+    Tasks count features by language, the sums (languages times BUCKETS at most) make the model.
+    Words that several languages have in common don't label.
     """
     seeds = seed_words(common_words)
     shared = Counter(w for s in seeds.values() for w in s)
     model = LanguageModel({lang: {w for w in s if shared[w] == 1} for lang, s in seeds.items()})
-    known = pairs.select("question", "answer").filter("question is not null and answer is not null")
     for turn in range(settings.language_rounds):
-        counted = known.mapInPandas(lambda batches, turn=turn: model.counted(batches, turn > 0), "lang long, bucket long, n long")
+        counted = pairs.mapInPandas(lambda batches, turn=turn: model.counted(batches, turn > 0), "lang long, bucket long, n long")
         model.learned([tuple(r) for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()])
     return model
 
@@ -320,14 +320,18 @@ def goes_on(answer: str, name: str | None, passages: list[str | None], value_wor
 
 
 def _evidence_batches(batches: Iterator[pd.DataFrame], value_words: int, common: frozenset[str]) -> Iterator[pd.DataFrame]:
-    """What needs the evidence of a pair: whether it goes on where the answer ends, and whether the answer declines without saying what it says."""
+    """What needs the evidence of a pair: whether it goes on where the answer ends, and whether the answer
+    declines without saying what it says; and question and answer without names and numbers."""
     for batch in batches:
-        going, refused = [], []
+        out = []
         for q, a, e in zip(batch["question"], batch["answer"], batch["evidence"], strict=True):
             name, passages = name_of(q or ""), [] if e is None else list(e)
-            going.append(a is not None and bool(passages) and goes_on(a, name, passages, value_words))
-            refused.append(a is not None and refuses(a, name) and not informs(a, name, passages, common))
-        yield batch.drop(columns="evidence").assign(continued=pd.Series(going, index=batch.index, dtype=bool), refused=pd.Series(refused, index=batch.index, dtype=bool))
+            going = a is not None and bool(passages) and goes_on(a, name, passages, value_words)
+            refused = a is not None and refuses(a, name) and not informs(a, name, passages, common)
+            both = q is not None and a is not None
+            out.append((going, refused, without_name(q, name) if both else None, without_name(a, name) if both else None))
+        columns = pd.DataFrame(out, columns=["continued", "refused", "asked", "said"], index=batch.index, dtype=object)
+        yield pd.concat([batch.drop(columns="evidence"), columns], axis=1)
 
 
 def _mask_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -409,12 +413,13 @@ def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSet
     evidence = F.col("evidence") if "evidence" in pairs.columns else F.lit(None).cast("array<string>")
     read = spread(pairs.select("id", "question", "answer", evidence.alias("evidence")), per_task_bytes=1 << 20)
     common = frozenset(w for words in seed_words(common_words).values() for w in words)  # a fixed table
-    read = read.mapInPandas(lambda batches: _evidence_batches(batches, value_words, common), f"id {key}, question string, answer string, continued boolean, refused boolean")
-    once = read.groupBy("id", "question", "answer").agg(F.max("continued").alias("continued"), F.max("refused").alias("refused"))
+    read = read.mapInPandas(lambda batches: _evidence_batches(batches, value_words, common), f"id {key}, question string, answer string, continued boolean, refused boolean, asked string, said string")
+    once = read.groupBy("id", "question", "answer").agg(*[F.max(c).alias(c) for c in ("continued", "refused", "asked", "said")])
     rows = cut_lineage(spread(once, per_task_bytes=1 << 20, scan=False))
     continued = rows.filter("continued").select(*PAIR, F.lit(True).alias("shortened"))
-    rows = rows.drop("continued")
-    model = fit_language_model(rows, common_words, settings)
+    texts = rows.filter("asked is not null").groupBy("asked", "said").agg(F.count("*").alias("n"))
+    model = fit_language_model(cut_lineage(spread(texts, per_task_bytes=1 << 20, scan=False)), common_words, settings)
+    rows = rows.drop("continued", "asked", "said")
     limits = set(length_limits(rows, settings))
     masked = cut_lineage(rows.mapInPandas(_mask_batches, f"id {key}, question string, answer string, refused boolean, masked string"))
     counted = masked.filter("masked <> ''").groupBy(F.col("masked").alias("text")).agg(F.count("*").alias("n"))
@@ -429,6 +434,15 @@ def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSet
     margin = settings.language_margin
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, str], bool] = {}  # of the last texts without names, which many pairs share
+
+        def differs(asked: str, said: str) -> bool:
+            if len(known) > 100_000:
+                known.clear()
+            if (asked, said) not in known:
+                known[asked, said] = model.differs(asked, said, margin)
+            return known[asked, said]
+
         for batch in batches:
             out = []
             for i, q, a, declined, short in zip(batch["id"], batch["question"], batch["answer"], batch["refused"], batch["shortened"], strict=True):
@@ -442,7 +456,7 @@ def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSet
                     out.append((i, REFUSAL))
                 elif truncated(a, name, short, limits):
                     out.append((i, TRUNCATED))
-                elif model.differs(without_name(q, name), without_name(a, name), margin):
+                elif differs(without_name(q, name), without_name(a, name)):
                     out.append((i, OTHER_LANGUAGE))
             yield pd.DataFrame(out, columns=["id", "defect"], dtype=object)
 
