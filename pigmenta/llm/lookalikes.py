@@ -14,7 +14,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -182,6 +181,8 @@ class Rewriter:
         if text is None or not self.rewrite:
             return text
         if self.automaton is None:
+            import ahocorasick
+
             self.automaton = ahocorasick.Automaton()
             for k, v in self.rewrite.items():
                 self.automaton.add_word(k, (len(k), v))
