@@ -61,7 +61,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 ENDED = r"[.!?][\"'”’»)\]]*\s*$"
 _SPACE = re.compile(r"\s+")
 NAME, NUMBER = "\x01", "0"
-PAIR = ["id", "question", "answer", "refused"]
+PAIR = ["id", "question", "answer", "refused", "asked", "said"]
 
 
 @dataclass
@@ -155,9 +155,12 @@ def informs(answer: str, name: str | None, passages: list[str | None], common: f
 
 
 def refuses(answer: str, name: str | None) -> bool:
-    """Whether an answer declines and gives no information: a first person declines in its first sentence
+    return declines(mask(answer, name))
+
+
+def declines(text: str) -> bool:
+    """Whether a masked answer declines and gives no information: a first person declines in its first sentence
     (behind an apology of three words at most, if that ends like one), and there is no number in it."""
-    text = mask(answer, name)
     if NUMBER in text.replace(NAME, ""):
         return False
     sentences = _SENTENCE.split(text)
@@ -165,9 +168,13 @@ def refuses(answer: str, name: str | None) -> bool:
     return any(p.search(head) for p in DECLINING)
 
 
+def nameless(masked: str) -> str:
+    """A masked text without names and numbers."""
+    return masked.replace(NAME, " ").replace(NUMBER, " ")
+
+
 def without_name(text: str, name: str | None) -> str:
-    masked = mask(text, name).replace(NAME, " ").replace(NUMBER, " ")
-    return masked
+    return nameless(mask(text, name))
 
 
 BUCKETS = 1 << 18  # features are counted by hash, so the model is of one size whatever the vocabulary
@@ -321,25 +328,19 @@ def goes_on(answer: str, name: str | None, passages: list[str | None], value_wor
 
 def _evidence_batches(batches: Iterator[pd.DataFrame], value_words: int, common: frozenset[str]) -> Iterator[pd.DataFrame]:
     """What needs the evidence of a pair: whether it goes on where the answer ends, and whether the answer
-    declines without saying what it says; and question and answer without names and numbers."""
+    declines without saying what it says; question and answer without names and numbers, and the masked answer."""
     for batch in batches:
         out = []
         for q, a, e in zip(batch["question"], batch["answer"], batch["evidence"], strict=True):
             name, passages = name_of(q or ""), [] if e is None else list(e)
             going = a is not None and bool(passages) and goes_on(a, name, passages, value_words)
-            refused = a is not None and refuses(a, name) and not informs(a, name, passages, common)
-            both = q is not None and a is not None
-            out.append((going, refused, without_name(q, name) if both else None, without_name(a, name) if both else None))
-        columns = pd.DataFrame(out, columns=["continued", "refused", "asked", "said"], index=batch.index, dtype=object)
+            masked = None if a is None else mask(a, name)
+            refused = a is not None and declines(masked) and not informs(a, name, passages, common)
+            out.append((going, refused, without_name(q or "", name), None if a is None else nameless(masked), None if a is None else stem(masked)))
+        columns = pd.DataFrame(out, columns=["continued", "refused", "asked", "said", "masked"], index=batch.index, dtype=object)
         yield pd.concat([batch.drop(columns="evidence"), columns], axis=1)
 
 
-def _mask_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [None if a is None else stem(mask(a, name_of(q or ""))) for q, a in zip(batch["question"], batch["answer"], strict=True)]
-        yield batch.assign(masked=pd.Series(texts, index=batch.index, dtype=object))
-
-
 def _neighbours(batches: Iterator[pd.DataFrame], compare: Callable[[str, str], bool]) -> Iterator[pd.DataFrame]:
     """In sorted order: how each text compares with its successor; the last one is left open."""
     last: str | None = None
@@ -413,15 +414,14 @@ def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSet
     evidence = F.col("evidence") if "evidence" in pairs.columns else F.lit(None).cast("array<string>")
     read = spread(pairs.select("id", "question", "answer", evidence.alias("evidence")), per_task_bytes=1 << 20)
     common = frozenset(w for words in seed_words(common_words).values() for w in words)  # a fixed table
-    read = read.mapInPandas(lambda batches: _evidence_batches(batches, value_words, common), f"id {key}, question string, answer string, continued boolean, refused boolean, asked string, said string")
-    once = read.groupBy("id", "question", "answer").agg(*[F.max(c).alias(c) for c in ("continued", "refused", "asked", "said")])
+    read = read.mapInPandas(lambda batches: _evidence_batches(batches, value_words, common), f"id {key}, question string, answer string, continued boolean, refused boolean, asked string, said string, masked string")
+    once = read.groupBy("id", "question", "answer").agg(*[F.max(c).alias(c) for c in ("continued", "refused", "asked", "said", "masked")])
     rows = cut_lineage(spread(once, per_task_bytes=1 << 20, scan=False))
     continued = rows.filter("continued").select(*PAIR, F.lit(True).alias("shortened"))
-    texts = rows.filter("asked is not null").groupBy("asked", "said").agg(F.count("*").alias("n"))
+    texts = rows.filter("question is not null and answer is not null").groupBy("asked", "said").agg(F.count("*").alias("n"))
     model = fit_language_model(cut_lineage(spread(texts, per_task_bytes=1 << 20, scan=False)), common_words, settings)
-    rows = rows.drop("continued", "asked", "said")
     limits = set(length_limits(rows, settings))
-    masked = cut_lineage(rows.mapInPandas(_mask_batches, f"id {key}, question string, answer string, refused boolean, masked string"))
+    masked = rows.drop("continued")
     counted = masked.filter("masked <> ''").groupBy(F.col("masked").alias("text")).agg(F.count("*").alias("n"))
     shorter = counted.join(neighbour_comparison(counted, shortened).filter("hit"), "text", "left").select(F.col("text").alias("masked"), "n", F.coalesce("hit", F.lit(False)).alias("shortened"))
     last = F.when(~F.col("answer").rlike(ENDED), F.regexp_extract("masked", r"(?U)(?:^|[^\p{L}])(\p{L}+)$", 1))
@@ -445,7 +445,7 @@ def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSet
 
         for batch in batches:
             out = []
-            for i, q, a, declined, short in zip(batch["id"], batch["question"], batch["answer"], batch["refused"], batch["shortened"], strict=True):
+            for i, q, a, declined, asked, said, short in zip(*[batch[c] for c in [*PAIR, "shortened"]], strict=True):
                 q = q or ""
                 name = name_of(q)
                 if empty(a):
@@ -456,7 +456,7 @@ def defective_pairs(pairs: DataFrame, common_words: DataFrame, settings: PairSet
                     out.append((i, REFUSAL))
                 elif truncated(a, name, short, limits):
                     out.append((i, TRUNCATED))
-                elif differs(without_name(q, name), without_name(a, name)):
+                elif differs(asked, said):
                     out.append((i, OTHER_LANGUAGE))
             yield pd.DataFrame(out, columns=["id", "defect"], dtype=object)
 
