@@ -85,7 +85,7 @@ def properties(documents: DataFrame) -> DataFrame:
         strip(F.regexp_replace(first_match(F.col("first_page"), TITLE, 1), TRADE_MARKS, "")).alias("ürün_adı"),
         F.coalesce(intro.rlike(FLAGS + WATER_BASED), F.lit(False)).alias("su_bazlı"),
         F.coalesce(intro.rlike(FLAGS + LOW_VOC), F.lit(False)).alias("voc_uyumlu"),
-        F.lower(F.regexp_replace(first_match(intro, PLACES, 1), r"\s+", " ")).alias("kullanım_alanı"),
+        F.lower(F.regexp_replace(first_match(intro, PLACES, 1), r"(?U)\s+", " ")).alias("kullanım_alanı"),
         first_match(intro, TEXTURES, 1).alias("doku"),
         *[c.alias(f"dokunma_kuruması_{n}") for c, n in zip(touch, ("min", "max", "birimi"), strict=True)],
         *[c.alias(f"katlar_arası_bekleme_{n}") for c, n in zip(recoat, ("min", "max", "birimi"), strict=True)],

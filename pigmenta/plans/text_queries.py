@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pigmenta.functions.text import hyphen_joined, hyphen_wrapped, tokens
 from pigmenta.operators import chunking, layout, semantic
-from pigmenta.session import table
+from pigmenta.session import spread, table
 from pigmenta.sources import readers, store
 
 STRIP = r"regexp_replace(regexp_replace({x}, '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '')"
@@ -63,7 +63,7 @@ SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk_no, unnes
 
 
 def parent_child_chunks(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").filter("text is not null")
+    pages = spread(table(spark, d, "pages").filter("text is not null"))
     return chunking.parent_child(pages).select("page_id", "parent_id", "child_id", "chunk_index", "chunk_length", "text")
 
 
@@ -206,7 +206,7 @@ def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sections_from_headings(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").filter("text is not null")
+    pages = spread(table(spark, d, "pages").filter("text is not null"))
     return layout.sections(pages, "source", ["page_number", "page_id"]).select("source", F.col("section_no").cast("long").alias("section_no"), "heading", "body")
 
 
