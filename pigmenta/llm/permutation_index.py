@@ -245,7 +245,7 @@ def search_region(ids: np.ndarray, vectors: np.ndarray, is_query: np.ndarray, se
     place = np.empty(n, dtype=np.int64)
     place[np.argsort(ids, kind="stable")] = np.arange(n)
     units = unit_rows(vectors)
-    # Pivots are spread evenly over the region's vectors, whose order is that of a shuffle.
+    # Pivots are spread evenly over the region's vectors in their given order, that of ids.
     m = min(n, max(settings.least_pivots, min(settings.most_pivots, n * settings.prefix // settings.file)))
     order = nearest_pivots(units, units[np.arange(m) * n // m], settings.prefix)
     if n <= settings.file:
@@ -291,7 +291,7 @@ def search_table(table: pa.Table, size: int, settings: IndexSettings) -> pa.Tabl
     keys = ids.to_numpy(zero_copy_only=False).astype("U")
     asks = table.column("is_query").to_numpy()
     _, first = np.unique(keys[np.argsort(~asks, kind="stable")], return_index=True)
-    first = np.sort(np.argsort(~asks, kind="stable")[first])  # a copy that is a query goes first
+    first = np.argsort(~asks, kind="stable")[first]  # in order of ids, whatever the order of arrival; a copy that is a query goes first
     q, m, similarity, rank = search_region(keys[first], _binary(table, "vector", size)[first], asks[first], settings)
     own = ids.take(pa.array(first))
     return pa.table({"id": own.take(pa.array(q)), "neighbour": own.take(pa.array(m)), "similarity": pa.array(similarity), "rank": pa.array(rank.astype(np.int32))})
