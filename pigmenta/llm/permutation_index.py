@@ -1,21 +1,28 @@
-"""For every vector the k most similar vectors of a collection, within a small stated loss.
+"""For every vector the k most similar vectors of a collection, without loss.
 
-Method: *permutation index*. A vector is represented by its nearest pivots in order. It is posted
+Method: *permutation index*, whose answer is then proved or mended. A vector is represented by its nearest pivots in order. It is posted
 in the inverted files of the first few of them; a query reads the files of its nearest pivots,
 ranks what it finds there by the footrule distance of the two orders of pivots, and reranks the
 best by exact cosine.
 
-The index has two levels. Outer pivots, fitted on a bounded sample, make regions: a vector goes to
-the regions of its nearest outer pivots, which is the only time that vectors move. Each region is
+The index has two levels. Centres, one near to every vector, are found in bounded samples of what
+isn't covered yet; the first of them are outer pivots and make regions. A vector goes to the
+regions of the outer pivots nearest to its centre, so a cluster stays together. Each region is
 indexed by the task that gets it: it has pivots of its own, as many as its vectors need, and
 inverted files by those. So the number of pivots grows with the number of vectors, while no task
 sees more than its region. A region of too many vectors is divided on the executors, by pivots
 chosen among its own vectors, as often as it takes. Vectors of one direction in great number are
 represented by as many as can be among the nearest of anything.
+
+What the index finds is a bound: the k nearest of a query are no further away than the k-th found.
+Every vector belongs to one cell, that of its nearest centre, of known radius; a query reads its
+own cell and all others that the triangle inequality of angles doesn't rule out, in full. So
+whatever the index missed is found, at a cost that grows with what the bounds leave open.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pigmenta.session import attach_hot_aware, cut_lineage, hash_sample
+from pigmenta.session import attach_hot_aware, cut_lineage
 
 
 @dataclass
@@ -32,11 +39,11 @@ class IndexSettings:
     """Parameters of the index; the defaults are those of production."""
 
     k: int = 10
-    sample: int = 65_536  # vectors to fit the outer pivots on at most
+    sample: int = 65_536  # vectors to find centres in at most, each round
     max_pivots: int = 16_384  # outer pivots
     separation: float = 0.8  # outer pivots are less similar to each other than this
     vectors_a_pivot: int = 16  # there are no more outer pivots than that many vectors give
-    posts: int = 3  # regions that hold a vector
+    posts: int = 3  # regions that hold a vector, at most; besides the first only such as its cell reaches into
     region: int = 65_536  # a region of more vectors than this is divided
     prefix: int = 12  # length of the order of pivots; 22 at most, so that footrule fits a byte
     file: int = 384  # vectors that an inverted file should hold
@@ -46,6 +53,8 @@ class IndexSettings:
     rerank: int = 384  # candidates of a file that footrule leaves for exact similarity, at most
     rerank_share: float = 0.9  # of the file, at most; but four times k at least
     crowd: int = 1_000  # vectors of one direction that are too many to index each
+    centres: int = 1_048_576  # cells at most; fewer than the vectors have clusters make the search slower, not less exact
+    block: int = 131_072  # vectors of a cell that a task compares with as many queries at once
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -88,11 +97,6 @@ def nearest_pivots(units: np.ndarray, pivots: np.ndarray, length: int) -> np.nda
     return out
 
 
-def fit(sample: np.ndarray, total: int, settings: IndexSettings) -> np.ndarray:
-    """Outer pivots for ``total`` vectors of which ``sample`` is a random part."""
-    return thin(unit_rows(sample), settings.separation, max(1, min(settings.max_pivots, total // settings.vectors_a_pivot)))
-
-
 def _vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, vectors) of the usable rows of a list column: ``size`` finite numbers, not all zero."""
     lengths = np.asarray(column.value_lengths().fill_null(-1))
@@ -114,17 +118,20 @@ def _rows(ids: pa.Array, values: np.ndarray, pick: np.ndarray, files: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(files.astype(np.int64)), pa.array(query), ids.take(pa.array(pick)), vectors], names=["file", "is_query", "id", "vector"])
 
 
-def post_batches(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
-    """Each usable vector once for every region that holds it, as a query in the first of them."""
+def post_batches(batches: Iterator[pa.RecordBatch], centres: Centres, regions: np.ndarray, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
+    """Each usable vector once for every region that holds it, as a query in the first of them; ``regions``: those of each centre, in order.
+
+    Vectors go where their centre goes, so a cluster that is no outer pivot's stays together. A region of -1 is none.
+    """
     for batch in batches:
         where, vectors = _vectors(batch.column("vector"), size)
         if not len(where):
             continue
         ids = batch.column("id").take(pa.array(where))
-        order = nearest_pivots(unit_rows(vectors), pivots, settings.posts)
-        every = np.arange(len(vectors))
+        order = regions[centres.near(unit_rows(vectors), settings.separation)[0]]
         for rank in range(order.shape[1]):
-            yield _rows(ids, vectors, every, order[:, rank], np.full(len(every), rank == 0))
+            there = np.flatnonzero(order[:, rank] >= 0)
+            yield _rows(ids, vectors, there, order[there, rank], np.full(len(there), rank == 0))
 
 
 def _binary(table: pa.Table, name: str, size: int) -> np.ndarray:
@@ -285,16 +292,291 @@ USABLE = "forall(vector, x -> x is not null and not isnan(x) and abs(x) <> doubl
 FOUND = "id string, neighbour string, similarity double, rank int"
 
 
-def search_table(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table:
-    """Neighbours of the queries of one region; rows that repeat an id are taken once."""
+def bound_table(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table:
+    """The queries of one region with the similarity of the k-th that the index finds there, -1 if there are fewer;
+    rows that repeat an id are taken once."""
     ids = table.column("id").combine_chunks()
     keys = ids.to_numpy(zero_copy_only=False).astype("U")
     asks = table.column("is_query").to_numpy()
     _, first = np.unique(keys[np.argsort(~asks, kind="stable")], return_index=True)
     first = np.argsort(~asks, kind="stable")[first]  # in order of ids, whatever the order of arrival; a copy that is a query goes first
-    q, m, similarity, rank = search_region(keys[first], _binary(table, "vector", size)[first], asks[first], settings)
-    own = ids.take(pa.array(first))
-    return pa.table({"id": own.take(pa.array(q)), "neighbour": own.take(pa.array(m)), "similarity": pa.array(similarity), "rank": pa.array(rank.astype(np.int32))})
+    q, _, similarity, rank = search_region(keys[first], _binary(table, "vector", size)[first], asks[first], settings)
+    low = np.full(len(first), -1.0)
+    low[q[rank == settings.k]] = similarity[rank == settings.k]
+    own = pa.array(first[asks[first]])
+    return pa.table({"id": ids.take(own), "vector": table.column("vector").combine_chunks().take(own), "low": pa.array(low[asks[first]])})
+
+
+# Cells: where neighbours can be that the index has not found.
+
+SLACK = 1e-5  # more than products of float32 unit vectors are wrong by
+
+
+@dataclass
+class Centres:
+    """Centres of cells. The first ``coarse`` of them lead to the others: those posted to one of them are ``member[start[g] : start[g + 1]]``."""
+
+    units: np.ndarray
+    coarse: int
+    start: np.ndarray
+    member: np.ndarray
+
+    @classmethod
+    def of(cls, units: np.ndarray) -> Centres:
+        if len(units) <= 2048:
+            return cls(units, 0, np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32))
+        coarse = 4 * int(len(units) ** 0.5)
+        posts = nearest_pivots(units, units[:coarse], 8)
+        order = np.argsort(posts.ravel(), kind="stable")
+        return cls(units, coarse, np.searchsorted(posts.ravel()[order], np.arange(coarse + 1)), (order // posts.shape[1]).astype(np.int32))
+
+    def nearest(self, units: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(number, similarity) of the nearest of all centres; with ``least``, of those that are at least so similar."""
+        where, value = np.empty(len(units), dtype=np.int64), np.empty(len(units), dtype=np.float32)
+        step = max(1, 8_000_000 // len(self.units))
+        for s in range(0, len(units), step):
+            near = units[s : s + step] @ self.units.T
+            if least is not None:
+                near[near < least] = -2
+            where[s : s + step] = near.argmax(axis=1)
+            value[s : s + step] = near.max(axis=1)
+        return where, value
+
+    def near(self, units: np.ndarray, separation: float) -> tuple[np.ndarray, np.ndarray]:
+        """(number, similarity) of a centre that is near, if there is one, else of the nearest of all."""
+        if not self.coarse or not len(units):
+            return self.nearest(units)
+        where, value = np.zeros(len(units), dtype=np.int64), np.full(len(units), -2, dtype=np.float32)
+        probes = nearest_pivots(units, self.units[: self.coarse], 4)
+        order = np.argsort(probes.ravel(), kind="stable")
+        at = np.searchsorted(probes.ravel()[order], np.arange(self.coarse + 1))
+        for g in np.flatnonzero(np.diff(at)):
+            rows, listed = order[at[g] : at[g + 1]] // probes.shape[1], self.member[self.start[g] : self.start[g + 1]]
+            if len(listed):
+                near = units[rows] @ self.units[listed].T
+                best = near.argmax(axis=1)
+                most = near[np.arange(len(rows)), best]
+                better = most > value[rows]
+                where[rows[better]], value[rows[better]] = listed[best[better]], most[better]
+        far = np.flatnonzero(value < separation)
+        if len(far):
+            where[far], value[far] = self.nearest(units[far])
+        return where, value
+
+
+def uncovered_batches(batches: Iterator[pa.RecordBatch], centres: Centres, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
+    """The usable vectors that no centre is near to."""
+    for batch in batches:
+        where, vectors = _vectors(batch.column("vector"), size)
+        if len(where):
+            far = pa.array(where[centres.near(unit_rows(vectors), settings.separation)[1] < settings.separation])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(far) for c in ("id", "vector")], names=["id", "vector"])
+
+
+def cover(rows: DataFrame, total: int, size: int, settings: IndexSettings) -> Centres:
+    """Centres with one near to every vector, if ``centres`` of them suffice.
+
+    Each round brings a bounded sample of what isn't covered yet to the driver, looked for among
+    more and more rows, at last among all.
+    """
+    rows = rows.filter(USABLE).select("id", "vector")
+    lot = F.shiftrightunsigned(F.xxhash64("id"), 33)
+    units, share = np.zeros((0, size), dtype=np.float32), min(1.0, 1.2 * settings.sample / max(total, 1))
+    while len(units) < settings.centres:
+        left = rows.filter(lot < F.lit(int(share * (1 << 31))))
+        if len(units):
+            left = left.mapInArrow(lambda batches, c=Centres.of(units): uncovered_batches(batches, c, size, settings), rows.schema)
+        picked = left.orderBy(lot, "id").limit(settings.sample).select("vector").toArrow().column("vector").combine_chunks()
+        sample = _vectors(picked, size)[1]
+        if len(sample):
+            units = np.vstack([units, thin(unit_rows(sample), settings.separation, settings.centres - len(units))])
+        if len(sample) < settings.sample:
+            if share >= 1:
+                break
+            share = min(1.0, 4 * share)
+    return Centres.of(units)
+
+
+def reach_batches(batches: Iterator[pa.RecordBatch], centres: Centres, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
+    """(cell, smallest similarity to its centre, vectors, hashes of k + 1 ids of it at most), once a task and cell."""
+    low, n = np.full(len(centres.units), 2.0), np.zeros(len(centres.units), dtype=np.int64)
+    seen = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    for batch in batches:
+        usable, vectors = _vectors(batch.column("vector"), size)
+        where, value = centres.near(unit_rows(vectors), settings.separation)
+        np.minimum.at(low, where, value)
+        n += np.bincount(where, minlength=len(n))
+        seen.append((where, batch.column("h").to_numpy()[usable]))
+    cell, h = (np.concatenate(x) for x in zip(*seen, strict=True))
+    order = np.lexsort((h, cell))
+    cell, h = cell[order], h[order]
+    new = np.append(True, (cell[1:] != cell[:-1]) | (h[1:] != h[:-1]))[: len(cell)]
+    cell, h = cell[new], h[new]
+    few = np.arange(len(cell)) - np.searchsorted(cell, cell) <= settings.k
+    cell, h = cell[few], h[few]
+    some = np.flatnonzero(n)
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(cell, np.append(some, len(n))).astype(np.int32)), pa.array(h))
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(low[some]), pa.array(n[some]), lists], names=["cell", "low", "n", "some"])
+
+
+ALL, FIRST, SECOND, VISITOR = range(4)  # in a group, a vector meets: all, the second side, the first side, all as a query only
+VISITS = "file long, side int, low double, id string, vector binary"
+
+
+def visit_batches(batches: Iterator[pa.RecordBatch], measured: Cells, blocks: np.ndarray, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
+    """Each vector in its cell, and as a query in every other cell that may hold what is as near as its bound.
+
+    x can be within the angle t of q only if q is within t + r of the centre of x's cell, r being its radius, and
+    that centre within a + t + r of q's own, a being q's distance from it. If the index found too little, the whole
+    of q's own cell, within a + r, is the bound. A cell of several blocks is compared by pairs of blocks.
+    """
+    centres, radius = measured.centres, measured.radius()
+    against = np.hstack([centres.units, np.cos(radius)[:, None], np.sin(radius)[:, None]]).astype(np.float32)
+    against[radius >= np.pi / 2] = 0  # all go there
+    inside = (measured.least - SLACK).astype(np.float32)
+
+    def asked(units: np.ndarray, angle: np.ndarray) -> np.ndarray:
+        """Rows whose product with a row of ``against`` is cos(distance) - cos(angle + radius)."""
+        out = np.hstack([units, -np.cos(angle)[:, None], np.sin(angle)[:, None]]).astype(np.float32)
+        out[angle >= np.pi / 2] = 0
+        return out
+
+    step = max(1, 8_000_000 // len(against))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, raw, low = batch.column("id"), batch.column("vector"), batch.column("low").to_numpy()
+        units = unit_rows(_binary(pa.Table.from_batches([batch]), "vector", size))
+        home, value = centres.near(units, settings.separation)
+        astray = np.flatnonzero(value < inside[home])  # a tie that went otherwise when cells were measured
+        if len(astray):
+            home[astray], value[astray] = centres.nearest(units[astray], inside)
+        t = np.arccos(np.clip(low - SLACK, -1, 1))
+        a = np.arccos(np.clip(value.astype(np.float64) - SLACK, -1, 1))
+        whole = np.flatnonzero(measured.full[home] & (a + radius[home] < t))
+        t[whole] = a[whole] + radius[home[whole]]
+        low = low.copy()
+        low[whole] = np.cos(t[whole])
+        order = np.argsort(home, kind="stable")
+        homes, start = np.unique(home[order], return_index=True)
+        ends = np.append(start[1:], len(order))
+        widest = asked(centres.units[homes], np.maximum.reduceat((a + t)[order], start))
+        query = asked(units, t)
+        rows, cells = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for s in range(0, len(homes), step):
+            h, c = np.divmod(np.flatnonzero(widest[s : s + step] @ against.T >= -SLACK), len(against))
+            other = c != homes[h + s]
+            h, c = h[other] + s, c[other]
+            at = np.searchsorted(h, np.arange(s, min(s + step, len(homes)) + 1))
+            for i in np.flatnonzero(np.diff(at)):
+                mine, there = order[start[i + s] : ends[i + s]], c[at[i] : at[i + 1]]
+                for j in range(0, len(there), 65_536):
+                    x, y = np.nonzero(query[mine] @ against[there[j : j + 65_536]].T >= -SLACK)
+                    rows.append(mine[x])
+                    cells.append(there[j + y])
+        q, cell = np.concatenate(rows), np.concatenate(cells)
+        for pick, file, side in [*_in_blocks(np.arange(len(units)), home, ids, blocks), *((q[n], (cell[n] << 24) + b * 4097, VISITOR) for b in range(int(blocks[cell].max()) if len(cell) else 0) for n in [blocks[cell] > b])]:
+            if len(pick):
+                at = pa.array(pick)
+                yield pa.RecordBatch.from_arrays([pa.array(file), pa.array(np.full(len(pick), side, dtype=np.int32)), pa.array(low[pick]), ids.take(at), raw.take(at)], names=["file", "side", "low", "id", "vector"])
+
+
+def _in_blocks(rows: np.ndarray, cell: np.ndarray, ids: pa.Array, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, groups, side): vectors with those of their own block and, of a cell of several, with each other block."""
+    n = blocks[cell]
+    own = np.zeros(len(rows), dtype=np.int64)
+    for i in np.flatnonzero(n > 1):
+        own[i] = zlib.crc32(ids[i].as_py().encode()) % n[i]
+    yield rows, (cell << 24) + own * 4097, ALL
+    for other in range(int(n.max()) if len(n) else 0):
+        for side, there in ((FIRST, (other > own) & (other < n)), (SECOND, other < own)):
+            yield rows[there], (cell[there] << 24) + np.minimum(own[there], other) * 4096 + np.maximum(own[there], other), side
+
+
+def search_cell(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table:
+    """The k most similar of a group for each query of it, by comparing all, as far as its bound lets them be of use."""
+    ids = table.column("id").combine_chunks()
+    _, first = np.unique(ids.to_numpy(zero_copy_only=False).astype("U"), return_index=True)  # in order of ids
+    ids = ids.take(pa.array(first))
+    side, low = table.column("side").to_numpy()[first], table.column("low").to_numpy()[first]
+    vectors = _binary(table, "vector", size)[first]
+    units = np.concatenate([unit_rows(vectors[s : s + 16_384]) for s in range(0, len(vectors), 16_384)])
+    meets = ((FIRST, SECOND), (SECOND, FIRST)) if (side == FIRST).any() or (side == SECOND).any() else ((ALL, ALL), (VISITOR, ALL))
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    for asks, answers in meets:
+        queries, members = np.flatnonzero(side == asks), np.flatnonzero(side == answers)
+        step = max(1, 8_000_000 // max(len(members), 1))
+        for s in range(0, len(queries) if len(members) else 0, step):
+            found.append(_best_by_bound(units, vectors, queries[s : s + step], members, low, settings.k))
+    q, c, similarity = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, queries = np.argsort(q, kind="stable"), np.unique(q)
+    start = np.searchsorted(q[order], np.append(queries, len(side)))
+    near = pa.StructArray.from_arrays([pa.array(-similarity[order]), ids.take(pa.array(c[order]))], names=["away", "neighbour"])
+    return pa.table({"id": ids.take(pa.array(queries)), "near": pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), near)})
+
+
+def _best_by_bound(units: np.ndarray, vectors: np.ndarray, queries: np.ndarray, members: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    near = units[queries] @ units[members].T
+    least = (low[queries] - SLACK).astype(np.float32)
+    a, b = np.divmod(np.flatnonzero(near >= least[:, None]), len(members))
+    loose = np.flatnonzero(np.bincount(a, minlength=len(queries)) > 8 * k)
+    if len(loose) and len(members) > k:  # what is as near as the k-th here; the query itself may be one
+        for i in loose:
+            least[i] = np.partition(near[i], len(members) - k - 1)[len(members) - k - 1] - 2 * SLACK
+        stay = near[a, b] >= least[a]
+        a, b = a[stay], b[stay]
+    q, c = queries[a], members[b]
+    q, c = q[q != c], c[q != c]
+    similarity = np.empty(len(q))
+    for s in range(0, len(q), 65_536):
+        x, y = (vectors[p[s : s + 65_536]].astype(np.float64) for p in (q, c))
+        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+        similarity[s : s + 65_536] = np.round(np.einsum("ij,ij->i", x, y), 6)
+    order = np.lexsort((c, -similarity, q))
+    q, c, similarity = q[order], c[order], similarity[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], c[best], similarity[best]
+
+
+@dataclass
+class Cells:
+    """Centres, the smallest similarity of each one's vectors to it, their number, and whether they have more than k ids."""
+
+    centres: Centres
+    least: np.ndarray
+    count: np.ndarray
+    full: np.ndarray
+
+    def radius(self) -> np.ndarray:
+        """The angle from its centre that no vector of a cell is beyond."""
+        return np.arccos(np.clip(self.least - 2 * SLACK, -1, 1))
+
+
+def measure_cells(rows: DataFrame, total: int, size: int, settings: IndexSettings) -> Cells | None:
+    """The cells of the usable vectors; none without one."""
+    centres = cover(rows, total, size, settings)
+    if not len(centres.units):
+        return None
+    hashed = rows.select("vector", F.xxhash64("id").alias("h"))
+    reach = hashed.mapInArrow(lambda batches: reach_batches(batches, centres, size, settings), "cell long, low double, n long, some array<long>")
+    several = F.size(F.array_distinct(F.flatten(F.collect_list("some")))) > settings.k
+    found = reach.groupBy("cell").agg(F.min("low").alias("low"), F.sum("n").alias("n"), several.alias("full")).toArrow()
+    n = len(centres.units)
+    cells = Cells(centres, np.full(n, 2.0), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool))
+    at = found.column("cell").to_numpy()
+    cells.least[at], cells.count[at], cells.full[at] = (found.column(c).to_numpy() for c in ("low", "n", "full"))
+    return cells
+
+
+def search_cells(bounds: DataFrame, cells: Cells, size: int, settings: IndexSettings) -> DataFrame:
+    """id, neighbour, similarity, rank: exact, however loose the bounds (id, vector, low) are."""
+    blocks = np.clip(-(-cells.count // settings.block), 1, 4096)
+    visits = bounds.mapInArrow(lambda batches: visit_batches(batches, cells, blocks, size, settings), VISITS)
+    near = visits.groupBy("file").applyInArrow(lambda t: search_cell(t, size, settings), "id string, near array<struct<away: double, neighbour: string>>")
+    every = near.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # nearly always of one group
+    best = every.select("id", F.posexplode(F.slice(F.sort_array("near"), 1, settings.k)).alias("place", "x"))
+    return best.select("id", "x.neighbour", (-F.col("x.away")).alias("similarity"), (F.col("place") + 1).alias("rank"))
 
 
 def direction_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -317,18 +599,21 @@ def direction_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(where)), pa.array(h[0]), pa.array(h[1])], names=["id", "h1", "h2"])
 
 
-def region_rows(rows: DataFrame, total: int, size: int, settings: IndexSettings) -> tuple[DataFrame | None, bool]:
+def region_rows(rows: DataFrame, total: int, size: int, settings: IndexSettings, cells: Cells | None = None) -> tuple[DataFrame | None, bool]:
     """Vectors by the regions that hold them (file, is_query, id, vector), and whether some were divided,
     so that a query may be in several; none without a usable vector."""
-    picked = hash_sample(rows.filter(USABLE), "id", settings.sample, total).select("vector").toArrow().column("vector").combine_chunks()
-    sample = _vectors(picked, size)[1]
-    if not len(sample):
+    cells = cells or measure_cells(rows, total, size, settings)
+    if cells is None:
         return None, False
-    pivots = fit(sample, total, settings)  # bounded, whatever the data; goes along with the task
-    posted = rows.select("id", "vector").mapInArrow(lambda batches: post_batches(batches, pivots, size, settings), POSTED)
-    share = np.bincount(nearest_pivots(unit_rows(sample), pivots, settings.posts).ravel(), minlength=len(pivots)) / len(sample)
-    # Whether a region may be too long: as the sample shows, or where it is too thin to show it. Then regions are counted.
-    if 2 * max(share.max(), 1 / len(sample)) * total > settings.region:
+    centres = cells.centres
+    pivots = centres.units[: max(1, min(settings.max_pivots, total // settings.vectors_a_pivot))]
+    regions = nearest_pivots(centres.units, pivots, settings.posts)
+    radius = cells.radius()
+    for rank in range(1, regions.shape[1]):
+        apart = np.arccos(np.clip(np.einsum("ij,ij->i", centres.units, pivots[regions[:, rank]]), -1, 1))
+        regions[apart > radius + radius[regions[:, rank]], rank] = -1  # the two cells don't meet
+    posted = rows.select("id", "vector").mapInArrow(lambda batches: post_batches(batches, centres, regions, size, settings), POSTED)
+    if np.bincount(regions.ravel() + 1, np.repeat(cells.count, regions.shape[1]))[1:].max() > settings.region:
         return divide_long(posted, size, settings), True
     return posted, False
 
@@ -339,14 +624,13 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
     ``vectors``: id string, vector array<float or double>. Usable are vectors of ``size`` finite
     numbers that are not all zero, with an id; others take no part. Each id is taken once: where
     it has several different vectors, the one whose hash is smallest counts. Similarity is the
-    cosine, rounded to 6 decimals, ties by the smaller neighbour. A vector whose region holds
-    fewer than k others gets those. An empty input gives an empty result.
+    cosine, rounded to 6 decimals, ties by the smaller neighbour. Where there are fewer than k
+    others, a vector gets those. An empty input gives an empty result.
 
     Of vectors of one direction (whose cosines round to 1) in greater number than ``crowd`` the
     k + 1 smallest ids are indexed; the others get what the smallest of them found, itself included.
 
-    Loss: neighbours that are in none of the files that the query reads are missed (see README
-    for what was measured).
+    Nothing is missed: the index gives bounds, ``search_cells`` all that they leave open.
     """
     settings = settings or IndexSettings()
     spark = vectors.sparkSession
@@ -369,14 +653,14 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
         leaders = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= settings.k + 1)
         followers = members.join(leaders.select("id"), "id", "left_anti")
         rows = rows.join(followers.select("id"), "id", "left_anti")
-    regions, divided = region_rows(rows, total, size, settings) if total else (None, False)
-    if regions is None:
+    cells = measure_cells(rows, total, size, settings) if total else None
+    if cells is None:
         return spark.createDataFrame([], FOUND)
-    out = regions.groupBy("file").applyInArrow(lambda t: search_table(t, size, settings), FOUND)
+    regions, divided = region_rows(rows, total, size, settings, cells)
+    bounds = regions.groupBy("file").applyInArrow(lambda t: bound_table(t, size, settings), "id string, vector binary, low double")
     if divided:
-        once = out.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
-        best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-        out = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.k).select("id", "neighbour", "similarity", "rank")
+        bounds = bounds.groupBy("id").agg(F.max_by("vector", "low").alias("vector"), F.max("low").alias("low"))
+    out = search_cells(bounds, cells, size, settings)
     if followers is None:
         return out
     out = cut_lineage(out)

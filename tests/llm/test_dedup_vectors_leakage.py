@@ -171,6 +171,37 @@ def test_one_id_with_two_vectors_counts_once(spark):
     assert sorted((r["id"], r["neighbour"]) for r in rows) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "b")]
 
 
+def test_nothing_is_missed_where_footrule_leaves_out(spark):
+    """The bounds of a weak index, and none at all, give the rows of brute force; a ball without structure in many blocks too."""
+    v = with_blob(1800, 16, seed=5)
+    want = brute(v, 10)
+    for s in (
+        pi.IndexSettings(rerank_share=0.1, probes=1, posts=1),
+        pi.IndexSettings(sample=200, max_pivots=8, region=300, file=128, rerank=100, block=60),
+        pi.IndexSettings(sample=100, centres=3, rerank_share=0.1, block=500),
+    ):
+        rows = pi.most_similar(table(spark, v), 16, s).collect()
+        assert len(rows) == len(want) and {(r["id"], r["neighbour"]) for r in rows} == want
+
+
+def test_shapeless_vectors_and_few_of_them(spark):
+    rng = np.random.default_rng(8)
+    for n, d in ((700, 6), (9, 6), (2, 3)):
+        v = {f"v{i:04d}": [float(x) for x in np.float32(r)] for i, r in enumerate(rng.normal(size=(n, d)))}
+        got = pi.most_similar(table(spark, v), d, pi.IndexSettings(rerank_share=0.1, block=50)).collect()
+        assert {(r["id"], r["neighbour"]) for r in got} == brute(v, 10) and len(got) == n * min(10, n - 1)
+
+
+def test_centres_by_way_of_others_are_near():
+    rng = np.random.default_rng(4)
+    centres = pi.unit_rows(rng.normal(size=(3000, 64)))
+    x = pi.unit_rows(centres[rng.integers(0, 3000, 500)] + 0.05 * rng.normal(size=(500, 64)))
+    index = pi.Centres.of(centres)
+    assert index.coarse and (index.near(x, 0.8)[0] == index.nearest(x)[0]).all()
+    far = pi.unit_rows(rng.normal(size=(50, 64)))
+    assert (index.near(far, 0.8)[0] == index.nearest(far)[0]).all()
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.permutations(range(6)), st.permutations(range(6)), st.integers(1, 5))
 def test_footrule(a, b, length):
