@@ -184,6 +184,20 @@ def test_nothing_is_missed_where_footrule_leaves_out(spark):
         assert len(rows) == len(want) and {(r["id"], r["neighbour"]) for r in rows} == want
 
 
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_rows_of_a_whole_table_are_those_of_the_sql(spark):
+    import duckdb
+
+    from pigmenta.llm import queries, sql
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW child_chunks AS SELECT * FROM '{d}/child_chunks.parquet'")
+    want = con.execute(sql.SQL["p4_found"]).fetchall()
+    got = [tuple(r) for r in queries.p4_found(spark, d).collect()]
+    assert len(got) == len(want) and set(got) == set(want)
+
+
 def test_shapeless_vectors_and_few_of_them(spark):
     rng = np.random.default_rng(8)
     for n, d in ((700, 6), (9, 6), (2, 3)):
