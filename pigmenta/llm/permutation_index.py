@@ -118,8 +118,8 @@ def _rows(ids: pa.Array, values: np.ndarray, pick: np.ndarray, files: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(files.astype(np.int64)), pa.array(query), ids.take(pa.array(pick)), vectors], names=["file", "is_query", "id", "vector"])
 
 
-def post_batches(batches: Iterator[pa.RecordBatch], centres: Centres, regions: np.ndarray, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
-    """Each usable vector once for every region that holds it, as a query in the first of them; ``regions``: those of each centre, in order.
+def post_batches(batches: Iterator[pa.RecordBatch], centres: Centres, regions: np.ndarray, wanted: np.ndarray, size: int, settings: IndexSettings) -> Iterator[pa.RecordBatch]:
+    """Each usable vector once for every wanted region that holds it, as a query in the first of them; ``regions``: those of each centre, in order.
 
     Vectors go where their centre goes, so a cluster that is no outer pivot's stays together. A region of -1 is none.
     """
@@ -130,7 +130,7 @@ def post_batches(batches: Iterator[pa.RecordBatch], centres: Centres, regions: n
         ids = batch.column("id").take(pa.array(where))
         order = regions[centres.near(unit_rows(vectors), settings.separation)[0]]
         for rank in range(order.shape[1]):
-            there = np.flatnonzero(order[:, rank] >= 0)
+            there = np.flatnonzero((order[:, rank] >= 0) & wanted[order[:, rank]])
             yield _rows(ids, vectors, there, order[there, rank], np.full(len(there), rank == 0))
 
 
@@ -505,7 +505,7 @@ def search_cell(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table
     found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
     for asks, answers in meets:
         queries, members = np.flatnonzero(side == asks), np.flatnonzero(side == answers)
-        step = max(1, 8_000_000 // max(len(members), 1))
+        step = max(64, 4_000_000 // max(len(members), 1))
         for s in range(0, len(queries) if len(members) else 0, step):
             found.append(_best_by_bound(units, vectors, queries[s : s + step], members, low, settings.k))
     q, c, similarity = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -516,16 +516,18 @@ def search_cell(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table
 
 
 def _best_by_bound(units: np.ndarray, vectors: np.ndarray, queries: np.ndarray, members: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    near = units[queries] @ units[members].T
-    least = (low[queries] - SLACK).astype(np.float32)
-    a, b = np.divmod(np.flatnonzero(near >= least[:, None]), len(members))
-    loose = np.flatnonzero(np.bincount(a, minlength=len(queries)) > 8 * k)
-    if len(loose) and len(members) > k:  # what is as near as the k-th here; the query itself may be one
-        for i in loose:
-            least[i] = np.partition(near[i], len(members) - k - 1)[len(members) - k - 1] - 2 * SLACK
-        stay = near[a, b] >= least[a]
-        a, b = a[stay], b[stay]
-    q, c = queries[a], members[b]
+    own, least, pairs = units[queries], (low[queries] - SLACK).astype(np.float32), []
+    for s in range(0, len(members), 2048):  # products that stay in the processor's cache
+        near = own @ units[members[s : s + 2048]].T
+        a, b = np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
+        pairs.append((a, b + s, near[a, b]))
+    a, b, value = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.argsort(a, kind="stable")
+    start = np.searchsorted(a[order], np.arange(len(queries) + 1))
+    for i in np.flatnonzero(np.diff(start) > 8 * k):  # what is as near as the k-th here; the query itself may be one
+        least[i] = -np.partition(-value[order[start[i] : start[i + 1]]], k)[k] - 2 * SLACK
+    stay = value >= least[a]
+    q, c = queries[a[stay]], members[b[stay]]
     q, c = q[q != c], c[q != c]
     similarity = np.empty(len(q))
     for s in range(0, len(q), 65_536):
@@ -612,10 +614,14 @@ def region_rows(rows: DataFrame, total: int, size: int, settings: IndexSettings,
     for rank in range(1, regions.shape[1]):
         apart = np.arccos(np.clip(np.einsum("ij,ij->i", centres.units, pivots[regions[:, rank]]), -1, 1))
         regions[apart > radius + radius[regions[:, rank]], rank] = -1  # the two cells don't meet
-    posted = rows.select("id", "vector").mapInArrow(lambda batches: post_batches(batches, centres, regions, size, settings), POSTED)
-    if np.bincount(regions.ravel() + 1, np.repeat(cells.count, regions.shape[1]))[1:].max() > settings.region:
-        return divide_long(posted, size, settings), True
-    return posted, False
+    long = np.bincount(regions.ravel() + 1, np.repeat(cells.count, regions.shape[1]), minlength=len(pivots) + 1)[1:] > settings.region
+
+    def posted(wanted: np.ndarray) -> DataFrame:
+        return rows.select("id", "vector").mapInArrow(lambda batches: post_batches(batches, centres, regions, wanted, size, settings), POSTED)
+
+    if not long.any():
+        return posted(~long), False
+    return posted(~long).unionByName(divide_long(posted(long), size, settings)), True
 
 
 def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | None = None) -> DataFrame:
