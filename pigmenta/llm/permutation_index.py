@@ -1,4 +1,4 @@
-"""For every vector the k most similar vectors of a collection, without loss.
+"""For every vector the k most similar vectors of a collection; what the index misses is found too.
 
 Method: *permutation index*, whose answer is then proved or mended. A vector is represented by its nearest pivots in order. It is posted
 in the inverted files of the first few of them; a query reads the files of its nearest pivots,
@@ -636,7 +636,8 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
     Of vectors of one direction (whose cosines round to 1) in greater number than ``crowd`` the
     k + 1 smallest ids are indexed; the others get what the smallest of them found, itself included.
 
-    Nothing is missed: the index gives bounds, ``search_cells`` all that they leave open.
+    Of what is indexed nothing is missed: the index gives bounds, ``search_cells`` all that they leave open. Members
+    of a crowd that are not quite of one direction can differ in what they are near to; its leaders stand for all.
     """
     settings = settings or IndexSettings()
     spark = vectors.sparkSession
