@@ -11,8 +11,8 @@ regions of the outer pivots nearest to its centre, so a cluster stays together.
 indexed by the task that gets it: it has pivots of its own, as many as its vectors need, and
 inverted files by those. So the number of pivots grows with the number of vectors, while no task
 sees more than its region. A region of too many vectors is divided on the executors, by pivots
-chosen among its own vectors, as often as it takes. Vectors of one direction in great number are
-represented by as many as can be among the nearest of anything.
+chosen among its own vectors, as often as it takes. Vectors of about one direction in great number
+are represented in it by as many as can be among the nearest of any of them.
 
 What the index finds is a bound: the k nearest of a query are no further away than the k-th found.
 Every vector belongs to one cell, that of its nearest centre, of known radius; a query reads its
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ class IndexSettings:
     most_pivots: int = 4_096  # pivots of a large one
     rerank: int = 384  # candidates of a file that footrule leaves for exact similarity, at most
     rerank_share: float = 0.9  # of the file, at most; but four times k at least
-    crowd: int = 1_000  # vectors of one direction that are too many to index each
+    crowd: int = 1_000  # vectors of about one direction that are too many to index each
     centres: int = 1_048_576  # cells at most; fewer than the vectors have clusters make the search slower, not less exact
     block: int = 131_072  # vectors of a cell that a task compares with as many queries at once
 
@@ -64,6 +65,34 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _doubles(vectors: np.ndarray) -> np.ndarray:
+    """In double precision. Squares of what were doubles could overflow, so these are scaled, by powers of two: nothing is rounded."""
+    if vectors.dtype != np.float64:
+        return vectors.astype(np.float64)
+    power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]
+    return vectors * np.ldexp(1.0, np.clip(-power, -1000, 1000))
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows as SQL takes them: in double precision, rounded to 6 decimals, halves away from zero.
+
+    What is next to a half is summed up again in the order of elements, as the last bit decides there.
+    """
+    x, y = _doubles(x), _doubles(y)
+    millionths = 1e6 * (np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y)))
+    half = np.flatnonzero(np.abs(np.abs(millionths - np.trunc(millionths)) - 0.5) < 1e-6)
+    if len(half):
+        dot, xx, yy = (np.add.accumulate(a[half] * b[half], axis=1)[:, -1] for a, b in ((x, y), (x, x), (y, y)))
+        millionths[half] = 1e6 * (dot / np.sqrt(xx * yy))
+    whole = np.trunc(millionths)
+    return np.clip((whole + np.copysign(np.abs(millionths - whole) >= 0.5, millionths)) / 1e6 + 0.0, -1, 1)
+
+
+def id_order(ids: pa.Array) -> np.ndarray:
+    """A number for each id, in their order; equal for equal ones. (Strings of numpy lose a NUL at their end.)"""
+    return pc.rank(ids, "ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
 def thin(units: np.ndarray, separation: float, most: int) -> np.ndarray:
     """The rows in order, without those that are too similar to one kept before; ``most`` at most."""
     kept = np.zeros((0, units.shape[1]), dtype=np.float32)
@@ -277,10 +306,7 @@ def search_region(ids: np.ndarray, vectors: np.ndarray, is_query: np.ndarray, se
     last = value[np.minimum(start + k - 1, ends)]  # of the k-th, in float; what may be level with it in double stays
     stay = value >= last - 2e-6
     q, c = q[stay], c[stay]
-    exact = vectors.astype(np.float64)
-    exact /= np.abs(exact).max(axis=1, keepdims=True)
-    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
-    similarity = np.concatenate([np.round(np.einsum("ij,ij->i", exact[q[s : s + 65_536]], exact[c[s : s + 65_536]]), 6) for s in range(0, len(q), 65_536)])
+    similarity = np.concatenate([cosines(vectors[q[s : s + 65_536]], vectors[c[s : s + 65_536]]) for s in range(0, len(q), 65_536)])
     final = np.lexsort((place[c], -similarity, q))
     q, c, similarity = q[final], c[final], similarity[final]
     rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
@@ -296,7 +322,7 @@ def bound_table(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table
     """The queries of one region with the similarity of the k-th that the index finds there, -1 if there are fewer;
     rows that repeat an id are taken once."""
     ids = table.column("id").combine_chunks()
-    keys = ids.to_numpy(zero_copy_only=False).astype("U")
+    keys = id_order(ids)
     asks = table.column("is_query").to_numpy()
     _, first = np.unique(keys[np.argsort(~asks, kind="stable")], return_index=True)
     first = np.argsort(~asks, kind="stable")[first]  # in order of ids, whatever the order of arrival; a copy that is a query goes first
@@ -496,7 +522,7 @@ def _in_blocks(rows: np.ndarray, cell: np.ndarray, ids: pa.Array, blocks: np.nda
 def search_cell(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table:
     """The k most similar of a group for each query of it, by comparing all, as far as its bound lets them be of use."""
     ids = table.column("id").combine_chunks()
-    _, first = np.unique(ids.to_numpy(zero_copy_only=False).astype("U"), return_index=True)  # in order of ids
+    _, first = np.unique(id_order(ids), return_index=True)  # in order of ids
     ids = ids.take(pa.array(first))
     side, low = table.column("side").to_numpy()[first], table.column("low").to_numpy()[first]
     vectors = _binary(table, "vector", size)[first]
@@ -506,8 +532,9 @@ def search_cell(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table
     for asks, answers in meets:
         queries, members = np.flatnonzero(side == asks), np.flatnonzero(side == answers)
         step = max(64, 4_000_000 // max(len(members), 1))
+        doubles: dict[int, np.ndarray] = {}
         for s in range(0, len(queries) if len(members) else 0, step):
-            found.append(_best_by_bound(units, vectors, queries[s : s + step], members, low, settings.k))
+            found.append(_best_by_bound(units, vectors, queries[s : s + step], members, low, settings.k, doubles))
     q, c, similarity = (np.concatenate(x) for x in zip(*found, strict=True))
     order, queries = np.argsort(q, kind="stable"), np.unique(q)
     start = np.searchsorted(q[order], np.append(queries, len(side)))
@@ -515,12 +542,51 @@ def search_cell(table: pa.Table, size: int, settings: IndexSettings) -> pa.Table
     return pa.table({"id": ids.take(pa.array(queries)), "near": pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), near)})
 
 
-def _best_by_bound(units: np.ndarray, vectors: np.ndarray, queries: np.ndarray, members: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _double_units(vectors: np.ndarray) -> np.ndarray:
+    v = _doubles(vectors)
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _of_use(own: np.ndarray, units: np.ndarray, queries: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members, in order of ids, can be among the k best of each query, and how many surely have cosine 1.
+
+    Of no use is what k members are better than, or level with and smaller by id; what is next to a half counts as either.
+    """
+    millionths = 1e6 * (own @ units.T)
+    millionths[queries[:, None] == members[None, :]] = -2e6
+    low, high = np.floor(millionths + (0.5 - 1e-6)), np.floor(millionths + (0.5 + 1e-6))
+    kth = np.partition(low, len(members) - k, axis=1)[:, len(members) - k][:, None]
+    sure = low >= kth
+    return (high > kth) | ((high == kth) & (np.cumsum(sure, axis=1, dtype=np.int32) - sure < k)), (low >= 1e6).sum(axis=1)
+
+
+def _best_by_bound(units: np.ndarray, vectors: np.ndarray, queries: np.ndarray, members: np.ndarray, low: np.ndarray, k: int, doubles: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, neighbour, similarity): the best of the members, which are in order of ids, for the queries.
+
+    Where many members of a tile are within the bound, as in a crowd, products in double precision leave few of them;
+    ``doubles`` keeps the tiles for them. A query that has found k members of cosine 1 is done: those that follow can only be level with them.
+    """
     own, least, pairs = units[queries], (low[queries] - SLACK).astype(np.float32), []
+    ones, open_ = np.zeros(len(queries), dtype=np.int64), np.arange(len(queries))
     for s in range(0, len(members), 2048):  # products that stay in the processor's cache
-        near = own @ units[members[s : s + 2048]].T
-        a, b = np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
-        pairs.append((a, b + s, near[a, b]))
+        tile = members[s : s + 2048]
+        near = (own if len(open_) == len(own) else own[open_]) @ units[tile].T
+        a, b = np.divmod(np.flatnonzero(near >= least[open_][:, None]), len(tile))
+        many = np.flatnonzero(np.bincount(a, minlength=len(open_)) > 8 * k)
+        if len(many):
+            if s not in doubles:
+                doubles[s] = _double_units(vectors[tile])
+            asked = queries[open_[many]]
+            use, alike = _of_use(_double_units(vectors[asked]), doubles[s], asked, tile, k)
+            at = np.full(len(open_), -1)
+            at[many] = np.arange(len(many))
+            stay = (at[a] < 0) | use[at[a], b]
+            a, b = a[stay], b[stay]
+            ones[open_[many]] += alike
+        pairs.append((open_[a], b + s, near[a, b]))
+        open_ = open_[ones[open_] < k]
+        if not len(open_):
+            break
     a, b, value = (np.concatenate(x) for x in zip(*pairs, strict=True))
     order = np.argsort(a, kind="stable")
     start = np.searchsorted(a[order], np.arange(len(queries) + 1))
@@ -531,10 +597,7 @@ def _best_by_bound(units: np.ndarray, vectors: np.ndarray, queries: np.ndarray,
     q, c = q[q != c], c[q != c]
     similarity = np.empty(len(q))
     for s in range(0, len(q), 65_536):
-        x, y = (vectors[p[s : s + 65_536]].astype(np.float64) for p in (q, c))
-        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
-        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-        similarity[s : s + 65_536] = np.round(np.einsum("ij,ij->i", x, y), 6)
+        similarity[s : s + 65_536] = cosines(vectors[q[s : s + 65_536]], vectors[c[s : s + 65_536]])
     order = np.lexsort((c, -similarity, q))
     q, c, similarity = q[order], c[order], similarity[order]
     best = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -582,10 +645,11 @@ def search_cells(bounds: DataFrame, cells: Cells, size: int, settings: IndexSett
 
 
 def direction_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """id and two hashes of the direction of each usable vector.
+    """id and two hashes of the direction of each usable vector, about (h1, h2) and exactly (e1, e2).
 
-    Directions are taken on a grid of 1e-4, so vectors that share both hashes differ in cosine by
-    less than 4e-7 in 64 dimensions, and their cosine rounds to 1 at 6 decimals.
+    Directions are taken on a grid of 1e-4, so vectors that share h1 and h2 differ in cosine by
+    less than 4e-7 in 64 dimensions, and their cosine rounds to 1 at 6 decimals. Those that share e1
+    and e2 are the same but for a power of two, so they have the same cosines with all others, to the last bit.
     """
     mix = np.random.default_rng(5).integers(1, 1 << 63, size=(2, size), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
@@ -593,12 +657,24 @@ def direction_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[
         if not len(where):
             continue
         v = vectors.astype(np.float64)
+        power = np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]
+        bits = (np.ldexp(v, -power) + 0.0).view(np.uint64)
+        bits = (bits ^ (bits >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)  # the lower halves of what were floats are empty
         v /= np.abs(v).max(axis=1, keepdims=True)
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         grid = np.round(v * 10_000).astype(np.int64).astype(np.uint64)
-        h = [(grid * m).sum(axis=1) for m in mix]
+        h = [(x * m).sum(axis=1) for x in (grid, bits ^ (bits >> np.uint64(29))) for m in mix]
         h = [((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64) for x in h]
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(where)), pa.array(h[0]), pa.array(h[1])], names=["id", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(where)), *map(pa.array, h)], names=["id", "h1", "h2", "e1", "e2"])
+
+
+def sure_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Usable vectors that are known to have k others of cosine 1, with that as their bound."""
+    for batch in batches:
+        where, vectors = _vectors(batch.column("vector"), size)
+        if len(where):
+            rows = _rows(batch.column("id").take(pa.array(where)), vectors, np.arange(len(where)), np.zeros(len(where)), np.ones(len(where), dtype=bool))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("vector"), pa.array(np.ones(len(where)))], names=["id", "vector", "low"])
 
 
 def region_rows(rows: DataFrame, total: int, size: int, settings: IndexSettings, cells: Cells | None = None) -> tuple[DataFrame | None, bool]:
@@ -633,11 +709,12 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
     cosine, rounded to 6 decimals, ties by the smaller neighbour. Where there are fewer than k
     others, a vector gets those. An empty input gives an empty result.
 
-    Of vectors of one direction (whose cosines round to 1) in greater number than ``crowd`` the
-    k + 1 smallest ids are indexed; the others get what the smallest of them found, itself included.
+    Of vectors of about one direction (whose cosines round to 1) in greater number than ``crowd`` the
+    k + 1 smallest ids are indexed; the others have k of cosine 1, a bound that needs no index. Of vectors
+    that are the same but for a power of two in greater number than ``crowd`` only the k + 1 smallest ids are searched;
+    the others get what the smallest of them found, itself included, as their cosines are the same.
 
-    Of what is indexed nothing is missed: the index gives bounds, ``search_cells`` all that they leave open. Members
-    of a crowd that are not quite of one direction can differ in what they are near to; its leaders stand for all.
+    Nothing is missed: the index gives bounds, ``search_cells`` all that they leave open.
     """
     settings = settings or IndexSettings()
     spark = vectors.sparkSession
@@ -652,30 +729,43 @@ def most_similar(vectors: DataFrame, size: int = 64, settings: IndexSettings | N
         rows = rows.join(several.select("id"), "id", "left_anti").unionByName(kept)
     rows = rows.select("id", "vector")
     total = seen["total"] or 0
-    aimed = rows.mapInArrow(lambda batches: direction_batches(batches, size), "id string, h1 long, h2 long").select("id", F.struct("h1", "h2").alias("h"))
+    aimed = rows.mapInArrow(lambda batches: direction_batches(batches, size), "id string, h1 long, h2 long, e1 long, e2 long").select("id", F.struct("h1", "h2").alias("h"), F.struct("e1", "e2").alias("e"))
     crowds = cut_lineage(aimed.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > settings.crowd))
-    leaders = followers = None
+    indexed, sure, followers = rows, None, None
     if crowds.limit(1).count():
-        members = cut_lineage(attach_hot_aware(aimed, crowds, "h", "n").select("id", "h").distinct())
-        leaders = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).filter(F.col("r") <= settings.k + 1)
-        followers = members.join(leaders.select("id"), "id", "left_anti")
-        rows = rows.join(followers.select("id"), "id", "left_anti")
+
+        def after_the_first(members: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+            """The k + 1 smallest ids of each crowd, and the other members."""
+            first = members.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("id"))).filter(F.col("r") <= settings.k + 1)
+            return first, members.join(first.select("id"), "id", "left_anti")
+
+        members = cut_lineage(attach_hot_aware(aimed, crowds, "h", "n").select("id", "h", "e").distinct())
+        same = cut_lineage(members.groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") > settings.crowd))
+        if same.limit(1).count():
+            leaders, followers = after_the_first(attach_hot_aware(members.select("id", "e"), same, "e", "n").select("id", "e"), "e")
+            leaders, followers = cut_lineage(leaders), cut_lineage(followers)
+            rows, members = (x.join(followers.select("id"), "id", "left_anti") for x in (rows, members))
+        others = cut_lineage(after_the_first(members, "h")[1].select("id"))
+        indexed = rows.join(others, "id", "left_anti")
+        sure = rows.join(others, "id", "left_semi").dropDuplicates(["id"])
     cells = measure_cells(rows, total, size, settings) if total else None
     if cells is None:
         return spark.createDataFrame([], FOUND)
-    regions, divided = region_rows(rows, total, size, settings, cells)
+    regions, divided = region_rows(indexed, total, size, settings, cells)
     bounds = regions.groupBy("file").applyInArrow(lambda t: bound_table(t, size, settings), "id string, vector binary, low double")
     if divided:
         bounds = bounds.groupBy("id").agg(F.max_by("vector", "low").alias("vector"), F.max("low").alias("low"))
+    if sure is not None:
+        bounds = bounds.unionByName(sure.mapInArrow(lambda batches: sure_batches(batches, size), "id string, vector binary, low double"))
     out = search_cells(bounds, cells, size, settings)
     if followers is None:
         return out
     out = cut_lineage(out)
-    first = leaders.filter("r = 1").select("id", "h")
-    listed = out.join(first, "id").select("h", "neighbour", "similarity").unionByName(first.select("h", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity")))
-    ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("similarity"), "neighbour"))).filter(F.col("rank") <= settings.k)
-    near = ranked.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("near")).join(crowds, "h")
-    extra = attach_hot_aware(followers, near, "h", "n").select("id", F.explode("near").alias("x")).select("id", "x.neighbour", "x.similarity", F.col("x.rank").cast("int").alias("rank"))
+    first = leaders.filter("r = 1").select("id", "e")
+    listed = out.join(first, "id").select("e", "neighbour", "similarity").unionByName(first.select("e", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity")))
+    ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("e").orderBy(F.desc("similarity"), "neighbour"))).filter(F.col("rank") <= settings.k)
+    near = ranked.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("near")).join(same, "e")
+    extra = attach_hot_aware(followers, near, "e", "n").select("id", F.explode("near").alias("x")).select("id", "x.neighbour", "x.similarity", F.col("x.rank").cast("int").alias("rank"))
     return out.unionByName(extra)
 
 

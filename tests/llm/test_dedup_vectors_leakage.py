@@ -198,6 +198,66 @@ def test_rows_of_a_whole_table_are_those_of_the_sql(spark):
     assert len(got) == len(want) and set(got) == set(want)
 
 
+def of_sql(spark, folder, vectors):
+    """(rows of p4_found, rows of its SQL) over vectors of 64 elements."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from pigmenta.llm import queries, sql
+
+    embedding = pa.array([[float(x) for x in v] for v in vectors.values()], pa.list_(pa.float32()))
+    pq.write_table(pa.table({"child_id": pa.array(list(vectors)), "embedding": embedding}), folder / "child_chunks.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW child_chunks AS SELECT * FROM '{folder}/child_chunks.parquet'")
+    return sorted(tuple(r) for r in queries.p4_found(spark, str(folder)).collect()), sorted(con.execute(sql.SQL["p4_found"]).fetchall())
+
+
+def test_ids_that_end_in_nul_are_ids(spark, tmp_path):
+    v = dict(zip(["", "\0", "a", "a\0", "a\0\0", "é", "\uffee", "\U0001f600"], np.ones((8, 64)), strict=True))
+    got, want = of_sql(spark, tmp_path, v | {f"k{i}": x for i, x in enumerate(np.eye(64)[:20] + 0.1)})
+    assert got == want and ("a", "a\0") in want
+
+
+def test_halves_are_rounded_as_in_the_sql(spark, tmp_path):
+    """Whole numbers with 128 as sum of squares have cosines of n / 128, which end in a half after 6 decimals."""
+    rng = np.random.default_rng(1)
+    v = {}
+    while len(v) < 500:
+        x = rng.choice([-2, -1, 0, 1, 2], size=64, p=[0.2, 0.2, 0.1, 0.2, 0.3])
+        if (x * x).sum() == 128 or len(v) % 2 and rng.random() < 0.02:
+            v[f"v{len(v):05d}"] = x
+    got, want = of_sql(spark, tmp_path, v)
+    assert got == want
+    x, y = np.array([2.0] * 31 + [1.0] * 4 + [0.0] * 29), np.array([2.0] * 31 + [0.0] * 3 + [1.0] * 4 + [0.0] * 26)
+    assert pi.cosines(np.array([x, -x, 3 * x]), np.array([y, y, y])).tolist() == [0.976563, -0.976563, 0.976563]  # 125 / 128 is 0.9765625
+
+
+@pytest.mark.parametrize("crowd", [20, 1000])
+@pytest.mark.parametrize("noise", [0.0, 1e-7, 1e-5])
+def test_crowd_of_about_one_direction(spark, crowd, noise):
+    """Its members differ in what they are near to, and others in which of them they are near to."""
+    rng = np.random.default_rng(3)
+    c = np.round(1e4 * pi.unit_rows(rng.normal(size=(1, 64)))[0].astype(float)) / 1e4
+    x = np.vstack([c + noise * rng.uniform(-1, 1, size=(90, 64)), c + 2e-5 * rng.normal(size=(30, 64)), c + 0.01 * rng.normal(size=(60, 64))])
+    x[:30] *= 2.0 ** rng.integers(-9, 9, size=(30, 1))
+    v = {f"v{i:03d}": [float(e) for e in np.float32(r)] for i, r in zip(rng.permutation(180), x, strict=True)}
+    rows = pi.most_similar(table(spark, v), 64, pi.IndexSettings(crowd=crowd, block=50)).collect()
+    assert len(rows) == 1800 and {(r["id"], r["neighbour"]) for r in rows} == brute(v, 10)
+
+
+def test_search_stops_where_k_are_alike():
+    rng = np.random.default_rng(6)
+    x = np.vstack([np.ones((3000, 8)) + 1e-3 * rng.normal(size=(3000, 8)) * (np.arange(3000)[:, None] % 3 > 0), rng.normal(size=(3000, 8))])[rng.permutation(6000)].astype(np.float32)
+    units, every = pi.unit_rows(x), np.arange(6000)
+    q, c, similarity = pi._best_by_bound(units, x, every[::40], every, np.full(6000, -1.0), 10, {})
+    got = set(zip(q.tolist(), c.tolist(), strict=True))
+    for i in every[::40].tolist():
+        exact = pi.cosines(np.repeat(x[i : i + 1], 6000, axis=0), x)
+        best = [j for j in np.lexsort((every, -exact)).tolist() if j != i][:10]
+        assert {j for a, j in got if a == i} == set(best)
+
+
 def test_shapeless_vectors_and_few_of_them(spark):
     rng = np.random.default_rng(8)
     for n, d in ((700, 6), (9, 6), (2, 3)):
