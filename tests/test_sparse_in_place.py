@@ -82,3 +82,13 @@ def test_rows_whose_key_stands_once_stay(spark):
     single, several = apart(df, F.col("k"), most=1)
     assert single.count() == 0 and several.count() == 5
     assert apart(df.filter("k = 1"), F.col("k"))[1] is None
+
+
+def test_a_filter_on_the_documents_joins_nothing(spark, tmp_path):
+    from pigmenta.plans import registry
+
+    spark.createDataFrame([(i, f"w{i % 3} x", "en" if i % 2 else "tr") for i in range(20)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(50, "w1 w2")], "id long, question string").write.parquet(str(tmp_path / "questions_df.parquet"))
+    top = registry.QUERIES["bm25_topk_filtered"](spark, str(tmp_path))
+    assert "Join" not in top._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] % 2 for r in top.collect()} == {1} and top.count() == 10
