@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pigmenta.operators import chunking
+from pigmenta.operators import chunking, graph
 from pigmenta.plans import registry
 from pigmenta.session import attach_asked, only_asked
 
@@ -27,3 +27,16 @@ def test_texts_of_chunks_and_parents_stay(spark, tmp_path):
     flat = registry.QUERIES["context_flat"](spark, str(tmp_path))
     moved = [x for x in flat._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(child_id" in x or "Exchange hashpartitioning(_key" in x]
     assert len(moved) <= 1 and flat.count() == 1  # only chunks whose id stands twice
+
+
+def test_pairs_of_queries_and_sheets_are_not_moved(spark):
+    """Two hundred queries, three of whose sheets lead to all of three hundred; one leads nowhere, one sheet is in no triple."""
+    triples = spark.createDataFrame([(f"p{i}", "r", f"t{i % 3}", f"s{i}") for i in range(300)] + [("q", "r", None, "s999")], "subject string, relation string, object string, source_chunk string")
+    seeds = [(q, f"s{q % 250}") for q in range(200)] + [(199, "s0"), (199, "s1"), (500, "other"), (None, "s0")]
+    got = graph.graph_context(spark.createDataFrame(seeds, "query_id long, chunk string"), triples, 1)
+    rows = [tuple(r) for r in got.collect()]
+    kinds = {q: {int(s[1:]) % 3 for x, s in seeds if x == q and s != "other"} for q, _ in seeds}
+    want = {(q, f"s{i}", "vector" if (q, f"s{i}") in seeds else "graph") for q in kinds for i in range(300) if i % 3 in kinds[q]} | {(500, "other", "vector")}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan
