@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pigmenta.operators import chunking, graph
@@ -40,3 +41,43 @@ def test_pairs_of_queries_and_sheets_are_not_moved(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan
+
+
+def _folder_bytes(spark):
+    from pathlib import Path
+
+    set_up = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = Path(set_up.get().removeprefix("file:") if set_up.isDefined() else spark.conf.get("spark.checkpoint.dir"))
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_vectors_of_chunks_are_not_written(spark, tmp_path):
+    vector = lambda i: [float((i * j) % 7 + 1) for j in range(64)]
+    chunks = [(f"c{i}", f"p{i // 2}", f"w{i % 10} " + "x" * 300, i, vector(i)) for i in range(600)]
+    spark.createDataFrame(chunks, "child_id string, parent_id string, text string, page_number int, embedding array<float>").write.parquet(str(tmp_path / "child_chunks.parquet"))
+    spark.createDataFrame([(f"p{i}", f"text {i}", i) for i in range(300)], "parent_id string, text string, page_number int").write.parquet(str(tmp_path / "parent_chunks.parquet"))
+    spark.createDataFrame([(50, "w3 w3"), (100, "w4")], "id long, question string").write.parquet(str(tmp_path / "questions_df.parquet"))
+    spark.createDataFrame([(50, vector(3), 1)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    before = _folder_bytes(spark)
+    rows = registry.QUERIES["compare_modes"](spark, str(tmp_path)).collect()
+    assert {(r["mode"], r["query_id"]): r["chunks"] for r in rows} == {(m, q): 5 for q in (50, 100) for m in ("hybrid", "hybrid_parent_child")} | {(m, 50): 5 for m in ("semantic", "semantic_parent_child")}
+    assert _folder_bytes(spark) - before < 150_000
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_texts_are_taken_for_what_was_found(spark, tmp_path, monkeypatch):
+    from pigmenta.operators import answers
+
+    spark.createDataFrame([(i, f"w{i % 10} x", f"site{i % 4}") for i in range(60)], "doc_id long, text string, site string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(50, "w3 w3"), (100, "Alfa ile Beta arasındaki fark nedir?")], "id long, question string").write.parquet(str(tmp_path / "questions_df.parquet"))
+    spark.createDataFrame([(i, [1.0 + i, 2.0], 1) for i in range(101)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    answer = registry.QUERIES["default_qa"](spark, str(tmp_path))
+    assert "Window" not in answer._jdf.queryExecution().executedPlan().toString() and answer.count() == 2
+    properties = spark.read.parquet("/root/testdata/sf0.001/paint_properties.parquet").limit(2)
+    named = properties.withColumns({"source": F.concat(F.lit("s"), F.monotonically_increasing_id()), "ürün_adı": F.element_at(F.array(F.lit("Alfa"), F.lit("Beta")), (F.monotonically_increasing_id() + 1).cast("int"))})
+    named.coalesce(1).write.parquet(str(tmp_path / "paint_properties.parquet"))
+    spark.createDataFrame([(f"p{i}", f"text {i}", f"s{i}") for i in range(50)], "parent_id string, text string, source string").write.parquet(str(tmp_path / "parent_chunks.parquet"))
+    given = {}
+    monkeypatch.setattr(answers, "representative", lambda df, key, order, real=answers.representative: given.update({key: df.count()}) or real(df, key, order))
+    rows = {r["id"]: r for r in registry.QUERIES["routed_answers"](spark, str(tmp_path)).collect()}
+    assert (rows[100]["intent"], rows[100]["answer"]) == ("comparison", "text 0\n\ntext 1") and given["source"] == 2
